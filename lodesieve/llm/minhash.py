@@ -30,7 +30,7 @@ from lodesieve.llm.components import components
 from lodesieve.llm.scratch import Scratch
 from lodesieve.llm.words import Minima, mix, shingle_sets
 
-TILE = 64
+TILE = 512
 SEED = 20240229
 U = np.uint64
 

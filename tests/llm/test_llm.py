@@ -247,8 +247,9 @@ def test_near_duplicates_with_repeated_ids(spark):
     assert sorted(r["doc_id"] or 0 for r in minhash.keep_one(spark, docs).collect()) == [0, 1, 1, 3, 3]
 
 
-def test_tiles_find_links_that_stars_miss(spark):
-    """A chain in which no text is close to all others, many times the size of a tile."""
+def test_tiles_find_links_that_stars_miss(spark, monkeypatch):
+    """A chain in which no text is close to all others, many times the size of a tile (made small here)."""
+    monkeypatch.setattr(minhash, "TILE", 16)
     words = prose(80, 400).split()
     texts = [" ".join(words[4 * k : 4 * k + 160]) for k in range(50)] + [" ".join(words[4 * k : 4 * k + 160]) + " end" for k in range(50)]
     label = linked({k: shingles(t) for k, t in enumerate(texts)}, 85)
