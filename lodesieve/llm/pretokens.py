@@ -1,33 +1,44 @@
 """Encoding with a tokenizers file at the speed of a table look-up.
 
 A byte-level tokenizer splits a text into pieces and merges within a piece, and a
-space before a character that is no space always begins one.  So a text is cut
-at such spaces, the library encodes each distinct piece once per task, and a
-table of bounded size holds the result.  Texts in which a space meets other white
+space before a character that is no space always begins one.  So texts are cut
+at such spaces, the library encodes the pieces that aren't known yet, and tables
+of bounded size hold the results.  Texts in which a space meets other white
 space, and texts that hold an added token, go to the library whole.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import re
 import sys
 from array import array
 from functools import lru_cache
+
+import numpy as np
 import numpy as np
 
-#: Distinct pieces that a task remembers; a full table is emptied.
-TABLE = 300_000
+#: The character that stands for a space in a byte-level vocabulary.
+SPACE = "\u0120"
+#: Distinct pieces in either of the two tables that a process remembers: when the younger is full it becomes the older, whose pieces move up as they are met again.
+TABLE = 400_000
+#: Marks that are cut off the end of a new piece, so that the word before them is encoded once.
+TAIL = ".,!?*&%$#|;:"
+#: Pieces that the library encodes in one string.
+TOGETHER = 200
 
 
-class _Odd(Exception):
-    """A piece whose split depends on what stands before it."""
+def _odd(piece: str) -> bool:
+    """Whether the split before this piece depends on what stands further left."""
+    return not piece or piece[0].isspace()
 
 
 class PieceEncoder:
     """Ids of whole texts, as bytes of little-endian integers of two or four bytes."""
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -36,7 +47,14 @@ class PieceEncoder:
         self.kind = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
         added = [t["content"] for t in json.loads(self.library.to_str())["added_tokens"]]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
-        self.pieces: dict[str, bytes] = {}
+        self.marks = {t[0] for t in added}
+        names = self.library.get_vocab(with_added_tokens=False)
+        #: ids of the tokens that begin with a space
+        self.opening = np.zeros(self.library.get_vocab_size(), bool)
+        self.opening[[i for t, i in names.items() if t[0] == SPACE]] = True
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
 
     def packed(self, ids: list[int]) -> bytes:
         out = array("H" if self.kind == "<u2" else "I", ids)
@@ -47,32 +65,69 @@ class PieceEncoder:
     def _whole(self, text: str) -> bytes:
         return self.packed(self.library.encode(text, add_special_tokens=False).ids)
 
-    def _learn(self, pieces: list[str]) -> None:
-        new = [p for p in set(pieces) if p not in self.pieces]
-        for p in new:
-            if not p or p[0].isspace() or p[0] in "\x1c\x1d\x1e\x1f\x85":
-                raise _Odd
-        if len(self.pieces) + len(new) > TABLE:
-            self.pieces.clear()
-            new = list(set(pieces))
-        for p, e in zip(new, self.library.encode_batch([" " + p for p in new], add_special_tokens=False), strict=True):
-            self.pieces[p] = self.packed(e.ids)
-
-    def ids(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if self.added is not None and "<" in text and self.added.search(text):
-            return self._whole(text)
-        first, *rest = text.split(" ")
-        head = self._whole(first) if first else b""
-        try:
+    def _learn(self, new: set[str]) -> None:
+        if len(self.young) + len(new) > TABLE:
+            self.old, self.young = self.young, {}
+        again = new & self.old.keys()
+        for p in again:
+            self.young[p] = self.old[p]
+        fresh, tailed = set(), []
+        for p in new - again:
+            core = p.rstrip(TAIL)
+            if core and len(core) < len(p) and core[-1].isalnum() and not core[0].isspace():
+                tailed.append((p, core))
+                if core not in self.young:
+                    if core in self.old:
+                        self.young[core] = self.old[core]
+                    else:
+                        fresh.add(core)
+            elif not _odd(p):
+                fresh.add(p)
+        fresh = list(fresh)
+        parts = [fresh[k : k + TOGETHER] for k in range(0, len(fresh), TOGETHER)]
+        width = int(self.kind[2])
+        for part, e in zip(parts, self.library.encode_batch_fast([" " + " ".join(p) for p in parts], add_special_tokens=False), strict=True):
+            data = self.packed(e.ids)
+            begins = np.flatnonzero(self.opening[np.frombuffer(data, self.kind)]).tolist()
+            if len(begins) != len(part):  # not one space a piece
+                self.young.update((p, self._whole(" " + p)) for p in part)
+                continue
+            begins.append(len(data) // width)
+            self.young.update((p, data[a * width : b * width]) for p, a, b in zip(part, begins, begins[1:], strict=False))
+        for p, core in tailed:  # a run of marks after a letter or digit is a piece of its own to the tokenizer
+            tail = p[len(core) :]
+            known = self.tails.get(tail)
+            if known is None:
+                known = self._whole(tail)
+                if len(self.tails) < TABLE:
+                    self.tails[tail] = known
+            self.young[p] = self.young[core] + known
+
+    def all(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text; a null text has none."""
+        cut = [None if not t or any(m in t for m in self.marks) and self.added.search(t) else t.split(" ") for t in texts]
+        wanted: set[str] = set()
+        for c in cut:
+            if c is not None:
+                wanted.update(c)
+        new = wanted - self.young.keys()
+        if new:
+            if len(self.young) + len(new) > TABLE:
+                new = wanted  # the table of this call starts empty
+            self._learn(new)
+        table, out = self.young.__getitem__, []
+        for t, c in zip(texts, cut, strict=True):
+            if not t:
+                out.append(b"")
+                continue
             try:
-                return head + b"".join(map(self.pieces.__getitem__, rest))
-            except KeyError:
-                self._learn(rest)
-                return head + b"".join(map(self.pieces.__getitem__, rest))
-        except _Odd:
-            return self._whole(text)
+                if c is None:
+                    raise KeyError
+                first = self._whole(c[0]) if c[0] else b""
+                out.append(first + b"".join(map(table, c[1:])))
+            except KeyError:  # an odd piece, or an added token
+                out.append(self._whole(t))
+        return out
 
 
 @lru_cache(2)

@@ -77,8 +77,7 @@ def embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "records")
-    sequences = records.encoded(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=2)
-    records.write_records(spark, sequences, scratch.root, scratch)
+    records.write_records(spark, table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), 2, scratch.root)
     return records.read_records(spark, scratch.root).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
