@@ -51,6 +51,21 @@ def _powers_of(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def powers() -> None:
+    """Make the tables of powers, which a process keeps."""
+    _powers_of(_BASE, CHUNK), _powers_of(_INVERSE, CHUNK)
+
+
+def run_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """A hash of data[starts[i]:stops[i]] for each i."""
+    n = len(data)
+    sums = np.zeros(n + 1, U)
+    np.cumsum((data.astype(U) + U(1)) * _powers_of(_BASE, n), out=sums[1:])
+    hashes = (sums[stops] - sums[starts]) * _powers_of(_INVERSE, n)[starts]
+    hashes ^= (stops - starts).astype(U) << U(56)
+    return mix(hashes)
+
+
 def hashed_words(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word, and the text that it is in.  Text i is data[begins[i]:ends[i]]; texts follow one another."""
     n = len(data)
@@ -66,11 +81,7 @@ def hashed_words(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tupl
     opening[first] = word[first]
     closing[last] = word[last]
     starts, stops = np.flatnonzero(opening), np.flatnonzero(closing) + 1
-    sums = np.zeros(n + 1, U)
-    np.cumsum((low.astype(U) + U(1)) * _powers_of(_BASE, n), out=sums[1:])
-    hashes = (sums[stops] - sums[starts]) * _powers_of(_INVERSE, n)[starts]
-    hashes ^= (stops - starts).astype(U) << U(56)
-    return mix(hashes), np.searchsorted(ends, starts, side="right")
+    return run_hashes(low, starts, stops), np.searchsorted(ends, starts, side="right")
 
 
 def shingled(hashes: np.ndarray, text_of: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray]:

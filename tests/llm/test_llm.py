@@ -7,6 +7,7 @@ import zlib
 from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -257,8 +258,6 @@ def test_tiles_find_links_that_stars_miss(spark, monkeypatch):
 
 
 def test_shingle_sets_are_those_of_the_words():
-    import pyarrow as pa
-
     texts = odd_texts()
     sets = list(shingle_sets(pa.array(texts, pa.string())))
     assert [len(s) for s in sets] == [len(shingles(t)) for t in texts]
@@ -377,13 +376,13 @@ def test_bpe_rows(spark):
 
 
 def test_pieces_are_the_librarys(monkeypatch):
-    monkeypatch.setattr(pretokens, "TABLE", 500)
+    monkeypatch.setattr(pretokens, "KNOWN", 500)
     t, own = library("byte_bpe_50k.json"), pretokens.PieceEncoder(tokenizer("byte_bpe_50k.json"))
     texts = [*odd_texts(), *random_texts(1500), " ", "  a", "a \n b", "a\n  b ", " a", "\n a", "a \n", "<|endoftext|> x"]
     for at in range(0, len(texts), 70):
         part = texts[at : at + 70]
-        for text, ids in zip(part, own.all(part), strict=True):
-            assert np.frombuffer(ids, own.kind).tolist() == t.encode(text or "", add_special_tokens=False).ids, repr(text)
+        for text, ids in zip(part, own.encoded(pa.array(part, pa.string())), strict=True):
+            assert ids.tolist() == t.encode(text or "", add_special_tokens=False).ids, repr(text)
 
 
 def test_token_histogram(spark):
