@@ -63,6 +63,13 @@ def thread_nodes(spark: SparkSession, turns: DataFrame, scratch: Scratch) -> Dat
     return numbered.join(above, ["tree", "node"], "left").select("tree", "node", "parent", F.lit(0.0).alias("score"), "role", "text")
 
 
+def _reached(done: list[DataFrame]) -> DataFrame:
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def format_trees(nodes: DataFrame, scratch: Scratch, per_tree: int = 1, trained_role: str = "assistant") -> DataFrame:
     """``tree, leaf, rank, path_score, n_turns, formatted, loss_spans`` for the per_tree best paths of every tree.
 
@@ -78,22 +85,27 @@ def format_trees(nodes: DataFrame, scratch: Scratch, per_tree: int = 1, trained_
     turns = nodes.where("tree is not null and node is not null").select("tree", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"), (role == trained_role).alias("trained"), F.concat(F.lit("### "), _role_in(role), F.lit("\n")).alias("head"), F.concat(escaped(text), F.lit("\n" + END)).alias("body"))
     turns = scratch.save(turns, "turns")
     up = turns.select("tree", "node", "parent", "score", (F.length("head") + F.length("body")).cast("long").alias("chars"))
-    # a node's own figures; those of the nodes above it are added round by round
-    own = up.select(F.col("node").alias("parent"), F.col("score").alias("pscore"), F.col("chars").alias("pchars"))
-    start = up.join(own, "parent", "left")
-    reach = scratch.save(start.select("tree", "node", F.when(F.col("pscore").isNotNull(), F.col("parent")).alias("above"), F.coalesce("pchars", F.lit(0)).alias("offset"), (F.col("score") + F.coalesce("pscore", F.lit(0.0))).alias("total"), F.when(F.col("pscore").isNotNull(), 1).otherwise(0).cast("long").alias("depth")), "reach-0")
+    # figures of a node cover it and what stands between it and its pointer, the pointer's node left out
+    exists = up.select(F.col("node").alias("parent"), F.lit(True).alias("there"))
+    above = up.where("parent is not null").select("tree", "node", "parent", "score", "chars").join(exists, "parent", "left").select("tree", "node", F.when(F.col("there"), F.col("parent")).alias("above"), "score", "chars")
+    start = above.unionByName(up.where("parent is null").select("tree", "node", F.lit(None).cast(up.schema["parent"].dataType).alias("above"), "score", "chars"))
+    reach = scratch.save(start.select("tree", "node", "above", F.col("score").alias("total"), F.col("chars").alias("sum"), F.lit(1).cast("long").alias("count")), "reach-0")
+    done = [reach.where("above is null")]
     rounds, pending = 0, -1
     while True:
-        left = reach.where("above is not null").count()
+        waiting = reach.where("above is not null")
+        left = waiting.count()
         if left in (0, pending):  # none, or only nodes that hang on a cycle
             break
         pending = left
-        higher = reach.select(F.col("node").alias("above"), F.col("above").alias("next"), F.col("offset").alias("o"), F.col("total").alias("t"), F.col("depth").alias("d"))
-        # a node's total has the node at its pointer in it, whose own is in the other total too
-        joined = reach.join(higher, "above", "left").join(up.select(F.col("node").alias("above"), F.col("score").alias("s")), "above", "left")
+        # a pointer's node has its root already or waits too
+        higher = waiting.unionByName(_reached(done))
+        higher = higher.select(F.col("node").alias("above"), F.col("above").alias("next"), F.col("total").alias("t"), F.col("sum").alias("s"), F.col("count").alias("c"))
         rounds += 1
-        reach = scratch.save(joined.select("tree", "node", F.col("next").alias("above"), (F.col("offset") + F.coalesce("o", F.lit(0))).alias("offset"), (F.col("total") + F.coalesce(F.col("t") - F.col("s"), F.lit(0.0))).alias("total"), (F.col("depth") + F.coalesce("d", F.lit(0))).alias("depth")), f"reach-{rounds}")
-    rooted = reach.where("above is null")
+        reach = scratch.save(waiting.join(higher, "above").select("tree", "node", F.col("next").alias("above"), (F.col("total") + F.col("t")).alias("total"), (F.col("sum") + F.col("s")).alias("sum"), (F.col("count") + F.col("c")).alias("count")), f"reach-{rounds}")
+        done.append(reach.where("above is null"))
+    rooted = _reached(done).join(up.select("node", "chars"), "node").select("tree", "node", "total", (F.col("count") - 1).alias("depth"), (F.col("sum") - F.col("chars")).alias("offset"))
+    rooted = scratch.save(rooted, "rooted")
     leaves = rooted.join(up.select(F.col("parent").alias("node")).where("node is not null"), "node", "left_anti")
     if per_tree == 1:
         best = leaves.groupBy("tree").agg(F.max(F.struct("total", (-F.col("node")).alias("neg"), "depth")).alias("b")).select("tree", (-F.col("b.neg")).alias("leaf"), F.lit(1).alias("rank"), F.col("b.total").alias("path_score"))
