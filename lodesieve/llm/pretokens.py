@@ -10,7 +10,6 @@ space or the end, and texts that hold an added token, go to the library whole.
 
 from __future__ import annotations
 
-import json
 import os
 from collections.abc import Iterator
 from functools import lru_cache
@@ -99,7 +98,7 @@ class PieceEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.kind = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
-        self.added = [t["content"].encode() for t in json.loads(self.library.to_str())["added_tokens"]]
+        self.added = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         names = self.library.get_vocab(with_added_tokens=False)
         #: ids of the tokens that begin with a space
         self.opening = np.zeros(self.library.get_vocab_size(), bool)
@@ -124,8 +123,8 @@ class PieceEncoder:
         """New pieces, first those with a space before them, then those without."""
         bare = next((k for k, p in enumerate(pieces) if p[:1] != b" "), len(pieces))
         parts = [pieces[k : min(k + TOGETHER, bare)] for k in range(0, bare, TOGETHER)]
-        for part, e in zip(parts, self.library.encode_batch_fast([b"".join(p).decode() for p in parts], add_special_tokens=False), strict=True):
-            ids = self.packed(e.ids)
+        for part in parts:
+            ids = self.packed(self.library.encode_batch_fast([b"".join(part).decode()], add_special_tokens=False)[0].ids)
             begins = np.flatnonzero(self.opening[ids])
             if len(begins) == len(part):  # one space a piece
                 self._put(ids, np.diff(np.append(begins, len(ids))))
@@ -135,8 +134,9 @@ class PieceEncoder:
         self.table.add(hashes)
 
     def _one_by_one(self, pieces: list[bytes]) -> None:
-        for e in self.library.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False):
-            self._put(self.packed(e.ids), np.array([len(e.ids)]))
+        for p in pieces:
+            ids = self.whole(p)
+            self._put(ids, np.array([len(ids)]))
 
     def _odd(self, data: np.ndarray, raw: bytes, begins: np.ndarray, ends: np.ndarray, spaces: np.ndarray) -> np.ndarray:
         """Which texts go to the library whole."""
