@@ -22,7 +22,7 @@ from lodesieve.llm.words import chunks, powers, run_hashes
 #: The character that stands for a space in a byte-level vocabulary.
 SPACE = "Ġ"
 #: Distinct pieces that a process remembers (about 40 bytes each); a full table is emptied.
-KNOWN = 2_000_000
+KNOWN = 1_000_000
 #: Pieces that the library encodes in one string.
 TOGETHER = 200
 U = np.uint64

@@ -16,7 +16,7 @@ import pyarrow as pa
 
 SHINGLE = 5
 #: Bytes of text that are hashed at once; a longer text is hashed by itself.
-CHUNK = 2_000_000
+CHUNK = 500_000
 
 U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
