@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodesieve.llm.memory import tidy
 from lodesieve.llm.scratch import Scratch
 from lodesieve.llm.words import Minima, shingle_runs, shingle_sets
 
@@ -70,6 +71,7 @@ FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("shared", p
 
 
 def _search(index: Index, percent: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         minima = Minima(HASHES, SEED)
         for batch in batches:

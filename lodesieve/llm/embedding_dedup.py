@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodesieve.llm.components import components
+from lodesieve.llm.memory import tidy
 from lodesieve.llm.scratch import Scratch
 
 #: Vectors of one tile.
@@ -37,6 +38,7 @@ def _directions(size: int) -> np.ndarray:
     return d / np.linalg.norm(d, axis=1, keepdims=True)
 
 
+@tidy
 def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """mapInArrow: id, vector -> id, size (0: links with nothing), unit vector in double precision, and a sort key."""
     directions: dict[int, np.ndarray] = {}
@@ -65,6 +67,7 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 TILES = "tile long, n int, size long, ids binary, whole binary, scale binary, error binary, unit binary, centre binary, angle double"
 
 
+@tidy
 def _tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """mapInArrow on rows sorted by size and place: one row per tile, numbered within the task."""
     held: list[dict] = []
@@ -102,6 +105,7 @@ OUT = pa.schema([("vec", pa.int64()), ("links", pa.int64()), ("v", pa.int64())])
 def _multiplied(threshold: float):
     """mapInArrow on pairs of tiles: rows (vec, links) of counts, and rows (vec, 0, v) of links that join."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):

@@ -20,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodesieve.llm.memory import tidy
 from lodesieve.llm.scratch import Scratch
 from lodesieve.llm.words import mix
 
 ORDER = 4
-CHUNK = 1_000_000
+CHUNK = 250_000
 #: Deviations above a language's mean at which a text is rejected.
 Z = 8.0
-#: Lengths by which deviations are gathered: powers of two.
 #: Entries of the models that go to the executors at once; more languages than fit take several passes.
 ENTRIES = 40_000_000
 UNKNOWN = "und"
@@ -90,6 +90,7 @@ def _pieces(texts: list[str | None]) -> Iterator[list[str]]:
         yield held
 
 
+@tidy
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """mapInArrow: lang, text -> lang, gram, n; summed over what a task has seen since it last gave rows back."""
     grams = Grams()
@@ -200,6 +201,7 @@ class Models:
 def _scored(models: Models):
     """mapInArrow: id, text -> id, characters scored, and cross-entropies by language, in the order of names."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams()
         for batch in batches:

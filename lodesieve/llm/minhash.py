@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodesieve.llm.components import components
+from lodesieve.llm.memory import tidy
 from lodesieve.llm.scratch import Scratch
 from lodesieve.llm.words import Minima, mix, shingle_sets
 
@@ -38,6 +39,7 @@ U = np.uint64
 def _described(bands: int, rows: int):
     """mapInArrow: id, text -> id, set size, two sums over the set, minima as bytes."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         minima = Minima(bands * rows, SEED)
         for batch in batches:
@@ -56,6 +58,7 @@ def _sum(s: np.ndarray) -> int:
     return int(s.sum(dtype=U).astype(np.int64))
 
 
+@tidy
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """mapInArrow: id, text -> id, sum over the shingle set, the set as bytes."""
     for batch in batches:
@@ -91,6 +94,7 @@ def _lowest_estimate(percent: int, count: int) -> int:
 def _estimated(least: int):
     """mapInArrow on u, v, two signatures: the pairs with at least so many equal minima."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = [int((np.frombuffer(a, np.uint32) == np.frombuffer(b, np.uint32)).sum()) >= least for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
@@ -102,6 +106,7 @@ def _estimated(least: int):
 def _verified(percent: int):
     """mapInArrow on u, v, two sets: the pairs whose sets are close."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = [_close(np.frombuffer(a, U), np.frombuffer(b, U), percent) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
@@ -131,6 +136,7 @@ def _sides(tile: list[dict]) -> tuple[list[dict], list[dict], bool]:
 def _possible(least: int, percent: int):
     """mapInArrow on tiles with signatures: the members that have a possible partner in another component."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[dict] = []
         for tile in _tiles(batches):
@@ -162,6 +168,7 @@ POSSIBLE = pa.schema([("bucket", pa.int64()), ("i", pa.int32()), ("j", pa.int32(
 def _joined(percent: int):
     """mapInArrow on tiles with sets: links that join two components of a tile, each tested on the full sets."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tile in _tiles(batches):
             left, right, same = _sides(tile)

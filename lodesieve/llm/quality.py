@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodesieve.llm.memory import tidy
 from lodesieve.llm.scratch import Scratch
 
 #: Bound on the labelled documents of either label that fitting takes.
@@ -81,6 +82,7 @@ def fit(rows: np.ndarray, labels: np.ndarray, share: float) -> np.ndarray:
 
 
 def _fitted(share: float):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((r["doc_id"], r["label"], features(r["text"])) for batch in batches for r in batch.to_pylist())
         w = fit(np.array([r[2] for r in rows]), np.array([r[1] for r in rows], float), share) if rows else np.zeros(2 * N_FEATURES - 1)
@@ -105,6 +107,7 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, target: str =
 
 
 def _evidence(weights: np.ndarray):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:

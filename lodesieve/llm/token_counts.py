@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodesieve.llm.memory import tidy
 from lodesieve.llm.pretokens import loaded
 from lodesieve.llm.scratch import Scratch
 
@@ -22,6 +23,7 @@ BLOCK = 1024
 
 
 def _lengths(path: str):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = loaded(path)
         for batch in batches:

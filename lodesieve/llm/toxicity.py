@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodesieve.llm.memory import tidy
 from lodesieve.llm.scratch import Scratch
 
 #: Bound on the labelled documents of either label that training takes.
@@ -101,6 +102,7 @@ def fit(texts: list[str], labels: np.ndarray, share: float) -> tuple[dict[str, f
 
 
 def _trained(share: float):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((r["doc_id"], r["text"] or "", r["label"]) for batch in batches for r in batch.to_pylist())
         weights, bias = fit([r[1] for r in rows], np.array([r[2] for r in rows], np.int64), share) if rows else ({}, -10.0)
@@ -156,6 +158,7 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, target: str =
 
 
 def _scores(model: Model, spans: bool):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1)
