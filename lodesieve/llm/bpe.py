@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from lodesieve.llm.memory import tidy
 
 #: Distinct pieces whose ids a task remembers; a full table is emptied.
-TABLE = 200_000
+TABLE = 300_000
 #: What the split's pattern calls white space: Unicode's White_Space, without U+001C to U+001F, which Python adds.
 SPACES = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Characters whose class or case may differ between Unicode versions: texts with one take the library's own normal form and split.
@@ -77,7 +77,7 @@ class Merges:
         #: longest proper prefix of a token that is a token
         self.shorter: dict[str, str] = {}
         #: the pair-compatibility table, filled as pairs are met
-        self.compatible = lru_cache(1 << 15)(self._compatible)
+        self.compatible = lru_cache(1 << 17)(self._compatible)
 
     def _compatible(self, a: str, b: str) -> bool:
         """Whether merging all of a + b by rank leaves exactly a and b.
