@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodesieve.sources.hits import spread
+
 H40 = "Zx9Yw8Vu7Ts6Rq5Po4Nm3Lk2Ji1Hg0Fe9Dc8Ba7"
 TEMPLATES = [
     "pan 4111 1111 1111 1111 order {k}", "pan 5555-5555-5555-4444, 378282246310005 order {k}", "pan 4111111111111112 id {k}", "digits 12345678901234567890123 {k}", "6011111111111117 and 3530111333300000 {k}", "30569309025904 62{k}",
@@ -39,7 +41,7 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     templates = spark.createDataFrame(list(enumerate(TEMPLATES)), "n int, template string")  # a fixed list
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")
     rows = orders.withColumn("n", (F.col("o_orderkey") % len(TEMPLATES)).cast("int")).join(F.broadcast(templates), "n")
-    return rows.select(F.col("o_orderkey").alias("id"), F.lit("orders").alias("index"), F.replace("template", F.lit("{k}"), F.col("o_orderkey").cast("string")).alias("message"))
+    return spread(rows).select(F.col("o_orderkey").alias("id"), F.lit("orders").alias("index"), F.replace("template", F.lit("{k}"), F.col("o_orderkey").cast("string")).alias("message"))
 
 
 def log_lines_sql() -> str:

@@ -72,7 +72,7 @@ def all_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def documents_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), F.col("source").alias("index"), F.col("text").alias("message"))
-    return matches(docs).groupBy("rule_id", "severity").agg(F.count("*").alias("n"), F.countDistinct("id").alias("n_docs"))
+    return matches(H.spread(docs)).groupBy("rule_id", "severity").agg(F.count("*").alias("n"), F.countDistinct("id").alias("n_docs"))
 
 
 def gate_default(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,15 @@ STRUCTURED = 16_384
 MESSAGE_FIELDS = ["$.message", "$.msg", "$.event.original", "$.log.message"]
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows over all cores where the input has fewer partitions than there are cores; a large input stays as it was read.
+
+    The scan costs far more than moving its lines once, and a small file is one partition.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def resolved(source: Column) -> tuple[Column, Column]:
     """Message (the first field that isn't empty, then the document itself on a new line) and length of its first part."""
     primary = F.coalesce(*[F.nullif(F.get_json_object(source, f), F.lit("")) for f in MESSAGE_FIELDS], F.lit(""))
