@@ -61,9 +61,13 @@ def scan(hits: DataFrame, name: str | None = None) -> DataFrame:
     return capped.withColumn("matches", scan_line(F.col("_scanned"), F.col("_low"), numbers_of(name) if name else None)).drop("_scanned", "_low")
 
 
-def redacted(line: Column, start: Column, end: Column, others: Column) -> Column:
-    """The match with CONTEXT characters on each side, every match in it masked, and an ellipsis where it is cut."""
-    left, right = F.greatest(F.lit(0), start - CONTEXT), F.least(F.length(line), end + CONTEXT)
+def redacted(line: Column, start: Column, end: Column, others: Column, lo: Column | None = None, hi: Column | None = None) -> Column:
+    """The match with CONTEXT characters on each side, every match in it masked, and an ellipsis where it is cut.
+
+    The excerpt stays between lo and hi (default: the whole line).
+    """
+    lo, hi = F.lit(0) if lo is None else lo, F.length(line) if hi is None else F.least(F.length(line), hi)
+    left, right = F.greatest(lo, start - CONTEXT), F.least(hi, end + CONTEXT)
     every = F.concat(F.array(F.struct(start.alias("start"), end.alias("end"))), F.transform(others, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"))))
     inside = F.array_sort(F.transform(F.filter(every, lambda m: (m["end"] > left) & (m["start"] < right)), lambda m: F.struct(F.greatest(m["start"], left).alias("start"), F.least(m["end"], right).alias("end"))))
     # islands: touching or overlapping intervals become one
@@ -72,7 +76,17 @@ def redacted(line: Column, start: Column, end: Column, others: Column) -> Column
     cut = lambda a, b: F.substring(line, (a + 1).cast("int"), (b - a).cast("int"))
     state = F.struct(F.lit("").alias("out"), left.cast("int").alias("at"))
     text = F.aggregate(merged, state, lambda s, m: F.struct(F.concat(s["out"], cut(s["at"], m["start"]), masked(cut(m["start"], m["end"]))).alias("out"), m["end"].alias("at")), lambda s: F.concat(s["out"], cut(s["at"], right)))
-    return F.concat(F.when(left > 0, F.lit("…")).otherwise(F.lit("")), text, F.when(right < F.length(line), F.lit("…")).otherwise(F.lit("")))
+    return F.concat(F.when(left != lo, F.lit("…")).otherwise(F.lit("")), text, F.when(right != hi, F.lit("…")).otherwise(F.lit("")))
+
+
+def field(message: Column, primary: Column, at: Column) -> tuple[Column, Column, Column]:
+    """Whether a place is in the structured part, which follows the primary one and a line break, and the bounds of its part."""
+    inside = (at >= primary) & (primary < F.length(message))
+    return inside, F.when(inside, primary + 1).otherwise(F.lit(0)), F.when(inside, F.length(message)).otherwise(primary)
+
+
+def labelled(inside: Column, excerpt: Column) -> Column:
+    return F.concat(F.when(inside, F.lit("[_source] ")).otherwise(F.lit("")), excerpt)
 
 
 def fingerprint(rule: Column, file: Column, line: Column, code: Column) -> Column:
@@ -83,13 +97,19 @@ def fingerprint(rule: Column, file: Column, line: Column, code: Column) -> Colum
 
 
 def findings(scanned: DataFrame, excerpts: bool = True) -> DataFrame:
-    """One row per match, with its excerpt, column and fingerprint; the matched value isn't among them."""
-    rows = scanned.select("id", "index", "message", "matches", F.explode("matches").alias("m"))
+    """One row per match, with its excerpt, column and fingerprint; the matched value isn't among them.
+
+    Columns count from the start of the match's part where the hits have ``message_field_length``.
+    """
+    message = F.coalesce("message", F.lit(""))
+    primary = F.coalesce("message_field_length", F.length(message)) if "message_field_length" in scanned.columns else F.length(message)
+    rows = scanned.select("id", "index", message.alias("message"), primary.alias("_primary"), "matches", F.explode("matches").alias("m"))
+    inside, lo, hi = field(F.col("message"), F.col("_primary"), F.col("m.start"))
     file = F.concat_ws("/", F.col("index"), F.col("id").cast("string"))
-    columns = [F.col("id"), F.col("m.ord").alias("ord"), F.col("m.rule_id").alias("rule_id"), F.col("m.severity").alias("severity"), F.col("m.category").alias("category"), file.alias("file"), F.lit(1).alias("line"), (F.col("m.start") + 1).alias("column")]
+    columns = [F.col("id"), F.col("m.ord").alias("ord"), F.col("m.rule_id").alias("rule_id"), F.col("m.severity").alias("severity"), F.col("m.category").alias("category"), file.alias("file"), F.lit(1).alias("line"), F.greatest(F.lit(1), F.col("m.start") - lo + 1).alias("column")]
     columns.append(fingerprint(F.col("m.rule_id"), F.concat_ws("/", file, F.col("m.match")), F.lit(None), F.lit("")).alias("fingerprint"))
     if excerpts:
-        columns.append(redacted(F.col("message"), F.col("m.start"), F.col("m.end"), F.col("matches")).alias("excerpt"))
+        columns.append(labelled(inside, redacted(F.col("message"), F.col("m.start"), F.col("m.end"), F.col("matches"), lo, hi)).alias("excerpt"))
     return rows.select(*columns)
 
 

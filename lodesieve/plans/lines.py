@@ -47,3 +47,22 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def log_lines_sql() -> str:
     values = ", ".join(f"({n}, '{t.replace(chr(39), chr(39) * 2)}')" for n, t in enumerate(TEMPLATES))
     return f"select o_orderkey as id, 'orders' as index, replace(t.template, '{{k}}', o_orderkey::varchar) as message from orders join (values {values}) t(n, template) on o_orderkey % {len(TEMPLATES)} = t.n"
+
+
+SOURCES = [
+    "const a = 1; // bcr-disable-line BCR-VAL-001 -- known\n// bcr-disable-next-line bcr-auth-001,BCR-AUTH-002\nlet {n} = 2; // bcr-disable-line * -- all of it\n",
+    "// bcr-disable-next-line BCR-KEY-001 -- first {n}\r\nx(); // bcr-disable-line BCR-KEY-001,BCR-KEY-002 -- second\r\ny();",
+    "no marks {n}\n/* bcr-disable-line BCR-KEY-001 */\n// bcr-disable-line ,\n//bcr-disable-next-line BCR-PT-001",
+]
+
+
+def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """file, content."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    key = F.col("o_orderkey").cast("string")
+    return orders.select(F.concat(F.lit("src/f"), key, F.lit(".ts")).alias("file"), F.replace(F.get(F.array(*map(F.lit, SOURCES)), (F.col("o_orderkey") % len(SOURCES)).cast("int")), F.lit("{n}"), key).alias("content"))
+
+
+def code_files_sql() -> str:
+    texts = ", ".join("replace(replace('" + t.replace("'", "''").replace("\r", "<r>").replace("\n", "<n>") + "', '<r>', chr(13)), '<n>', chr(10))" for t in SOURCES)
+    return f"select 'src/f' || o_orderkey || '.ts' as file, replace([{texts}][(o_orderkey % {len(SOURCES)})::int + 1], '{{n}}', o_orderkey::varchar) as content from orders"

@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from lodesieve.functions import checks
 from lodesieve.functions import patterns as P
+from lodesieve.functions import rules as R
 from lodesieve.functions.checks import CHECKS, quoted
+from lodesieve.operators import report
 from lodesieve.operators import scan as S
-from lodesieve.plans.lines import log_lines, log_lines_sql
+from lodesieve.plans.lines import code_files, code_files_sql, log_lines, log_lines_sql
 from lodesieve.sources import hits as H
+from lodesieve.sources.search import condition_sql, matched_total, search
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -105,7 +108,7 @@ def count_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def count_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.dense_counts(_findings(spark, sf_dir), "category", ["LOG_PCI", "LOG_PII", "LOG_SECRET", "LOG_OPS", "AUTHENTICATION"])
+    return S.dense_counts(_findings(spark, sf_dir), "category", R.CATEGORIES)
 
 
 def report_top(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,13 +134,92 @@ def event_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("container").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
 
 
-EVENTS_SQL = "select event_id as id, event_type as container, ts, json_extract_string(props, '$.message') as m from events"
+SEARCHES = {"search_terms": "the then* AND on", "search_phrase": '"of the"', "search_and_or_not": "(th?s OR by) -source:src1 NOT lang:fr +the", "search_field": 'source:src3 (lang:"en" OR lang:de)'}
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), "source", "lang", F.col("text").alias("message"))
+
+
+def _search(query: str) -> Query:
+    return lambda spark, sf_dir: search(_documents(spark, sf_dir), query).select("id", "source", "lang")
+
+
+def total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matched_total(_documents(spark, sf_dir), SEARCHES["search_and_or_not"])
+
+
+def enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.enriched(_findings(spark, sf_dir)).select(*SHOWN, F.array_join("cwe", ",").alias("cwe"), "owasp", "heuristic", "confidence")
+
+
+def count_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.count_by_rule(_findings(spark, sf_dir))
+
+
+def count_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.dense_counts(report.enriched(_findings(spark, sf_dir)), "confidence", R.CONFIDENCES)
+
+
+def exploitable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.exploitable(_findings(spark, sf_dir)).select(*SHOWN)
+
+
+def exchange(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = report.sarif_rows(S.suppressed(_findings(spark, sf_dir), _baseline(spark, sf_dir)))
+    return rows.withColumn("cwe", F.array_join("cwe", ",")).drop("snippet", "justification")
+
+
+def taxa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.sarif_taxa(R.rules(spark)).withColumn("first_seen", F.col("first_seen").cast("long"))
+
+
+def chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over categories dealt to the orders, since a log's own make no chain."""
+    names = F.array(*[F.lit(c) for c in R.CATEGORIES])
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey", F.get(names, (F.col("o_orderkey") % len(R.CATEGORIES)).cast("int")).alias("category"))
+    return report.chains(rows, "o_custkey")
+
+
+def suppressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.suppressions(code_files(spark, sf_dir)).withColumn("rule_ids", F.array_join("rule_ids", ","))
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    source = F.when(F.col("event_id") % 3 == 0, F.col("props")).when(F.col("event_id") % 3 == 1, F.concat(F.lit('{"message":"'), "event_type", F.lit(' é"}'))).otherwise(F.concat(F.lit('{"msg":"","log":{"message":"'), "event_type", F.lit('"}}')))
+    message, length = H.resolved(source)
+    return e.select("event_id", F.sha2(message.cast("binary"), 256).alias("message_sha256"), length.alias("message_field_length"))
+
+
+def times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    number = F.col("event_id") * 86_399_977
+    source = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"t":'), number.cast("string"), F.lit("}"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit('{"t":"2024-01-'), F.col("event_id").cast("string"), F.lit('"}'))).otherwise(F.lit('{"u":1}'))
+    return e.select("event_id", H.timestamp(source, "$.t").alias("resolved"))
+
+
+def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    name = F.concat_ws(" ", F.lit("é!'()*~/\"&+%"), F.col("event_id").cast("string"))
+    return e.select("event_id", H.deep_link("https://logs.example.com", "app-*", name, F.lit("2024-01-01T00:00:00.000Z")).alias("link"))
+
+
+def hit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = H.event_hits(spark, sf_dir)
+    return H.window_scan(hits.unionByName(hits), "2024-01-01", "2025-01-01").groupBy("container").agg(F.count("*").alias("n"))
+
+
+def max_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.window_scan(H.event_hits(spark, sf_dir), "2024-01-05", "2024-02-01", None, 100).select("id", "container")
 
 
 def queries() -> dict[str, Query]:
     return {f"log_{n}": _one(n) for n in names()} | {
         "scan_all_by_rule": all_by_rule, "scan_documents_by_rule": documents_by_rule, "gate_default": gate_default, "gate_heuristic": gate_heuristic, "gate_disabled": gate_disabled, "dedup_first": dedup_first,
         "baseline_split": baseline_split, "count_severity_dense": count_severity, "count_category_dense": count_category, "report_top": report_top, "mask_values": mask_values, "scalar_checks": values, "event_window": event_window,
+        "enrich_rules": enrich, "count_rule": count_rule, "count_confidence_dense": count_confidence, "exploitable": exploitable, "sarif_results": exchange, "sarif_taxa": taxa, "chains_from_categories": chains, "inline_suppressions": suppressions,
+        "resolve_message": messages, "resolve_timestamp": times, "deep_link": links, "hit_dedup": hit_dedup, "max_hits": max_hits, "matched_total": total, **{n: _search(q) for n, q in SEARCHES.items()},
     }
 
 
@@ -159,9 +241,37 @@ def oracle_sql() -> dict[str, str]:
         "dedup_first": _all_matches(f", {first.format(rows='findings')} select {SHOWN_SQL} from d where k = 1"),
         "baseline_split": _all_matches(f", g as (select * from findings where {shown_gate}), {first.format(rows='g')}, b as (select distinct fingerprint, rule_id as r, case when id % 2 = 0 then file end as f from findings where id % 3 = 0) select {SHOWN_SQL}, exists (select 1 from b where b.fingerprint = d.fingerprint and b.r = d.rule_id and (b.f is null or b.f = d.file)) as suppressed from d where k = 1"),
         "count_severity_dense": _all_matches(dense("severity", P.SEVERITIES)),
-        "count_category_dense": _all_matches(dense("category", ["LOG_PCI", "LOG_PII", "LOG_SECRET", "LOG_OPS", "AUTHENTICATION"])),
+        "count_category_dense": _all_matches(dense("category", R.CATEGORIES)),
         "report_top": _all_matches(f'select {SHOWN_SQL} from findings where {shown_gate} order by rank desc, file, rule_id, id, ord, "column" limit 5'),
         "mask_values": _all_matches(f"select id, ord, start, {mask} as masked from matches"),
         "scalar_checks": f"select c_custkey, {checks.luhn_sql(dig)} as luhn, {brand} as brand, round({checks.entropy_sql('c_name')}, 6) as entropy, regexp_matches(c_name[1:(c_custkey % 8)::int], {quoted(P.PLACEHOLDER)}) as placeholder, not regexp_matches({ip}, {quoted(P.NOT_PUBLIC)}) as public_ip from customer",
+        **{n: f"select doc_id as id, source, lang from (select *, text as message from documents) where {condition_sql(q)}" for n, q in SEARCHES.items()},
+        "matched_total": f"select count(*)::bigint as value, 'eq' as relation from (select *, text as message from documents) where {condition_sql(SEARCHES['search_and_or_not'])}",
+        "enrich_rules": _all_matches(f"select {SHOWN_SQL}, cwe, owasp, coalesce(heuristic, false) as heuristic, coalesce(default_confidence, 'FIRM') as confidence from findings left join ({R.rules_sql()}) using (rule_id)"),
+        "count_rule": _all_matches("select rule_id, count(*)::bigint as n from findings group by 1"),
+        "count_confidence_dense": _all_matches(f"select k as confidence, count(c)::bigint as n from (values ('CONFIRMED'), ('FIRM'), ('TENTATIVE')) v(k) left join (select coalesce(default_confidence, 'FIRM') as c from findings left join ({R.rules_sql()}) using (rule_id)) on c = k group by k"),
+        "exploitable": _all_matches(f"select {SHOWN_SQL} from findings where severity = 'CRITICAL' or severity = 'HIGH' and rule_id not in {HEURISTIC_SQL}"),
+        "sarif_results": _all_matches(f"""
+            select rule_id, ordinal as rule_index, case severity when 'CRITICAL' then 'error' when 'HIGH' then 'error' when 'MEDIUM' then 'warning' else 'note' end as level, case severity when 'CRITICAL' then '9.5' when 'HIGH' then '8.0' when 'MEDIUM' then '5.5' when 'LOW' then '3.0' else '0.0' end as security_severity,
+                file as uri, line as start_line, "column" as start_column, fingerprint, category, severity, coalesce(default_confidence, 'FIRM') as confidence, coalesce(cwe, '') as cwe, owasp,
+                case when exists (select 1 from findings b where b.id % 3 = 0 and b.fingerprint = f.fingerprint and b.rule_id = f.rule_id and (b.id % 2 <> 0 or b.file = f.file)) then 'external' end as suppression
+            from findings f left join ({R.rules_sql()}) using (rule_id)"""),
+        "sarif_taxa": f"with r as ({R.rules_sql()}), t as (select 'CWE' as taxonomy, unnest(string_split(cwe, ',')) as taxon, ordinal * 10 + generate_subscripts(string_split(cwe, ','), 1) - 1 as pos from r union all select 'OWASP', owasp, ordinal * 10 from r) select taxonomy, taxon, min(pos)::bigint as first_seen from t group by 1, 2",
+        "chains_from_categories": f"with c as (select o_custkey, list(distinct [{', '.join(map(quoted, R.CATEGORIES))}][(o_orderkey % {len(R.CATEGORIES)})::int + 1]) as seen from orders group by 1) " + " union all ".join(f"select o_custkey, {quoted(n)} as chain from c where list_has_all(seen, [{', '.join(map(quoted, cs))}])" for n, cs in report.CHAINS),
+        "inline_suppressions": f"""
+            with l as (select file, unnest(string_split_regex(content, '\\r?\\n')) as text, generate_subscripts(string_split_regex(content, '\\r?\\n'), 1) as n from ({code_files_sql()})),
+            m as (select file, n + 1 as line, n * 2 as pos, regexp_extract(text, '{report.SUPPRESS.replace("{where}", "next-line")}', ['ids', 'why']) as g from l union all select file, n, n * 2 + 1, regexp_extract(text, '{report.SUPPRESS.replace("{where}", "line")}', ['ids', 'why']) from l),
+            i as (select file, line, pos, nullif(trim(g.why), '') as why, list_filter(list_transform(string_split(g.ids, ','), lambda x: upper(trim(x))), lambda x: x <> '') as ids from m)
+            select file, line::int as line, array_to_string(list_sort(list_distinct(flatten(list(ids)))), ',') as rule_ids, arg_min(why, pos) filter (where why is not null) as reason from i where len(ids) > 0 group by 1, 2""",
+        "resolve_message": """
+            with s as (select event_id, case event_id % 3 when 0 then props when 1 then '{"message":"' || event_type || ' é"}' else '{"msg":"","log":{"message":"' || event_type || '"}}' end as source from events),
+            p as (select event_id, source, coalesce(nullif(json_extract_string(source, '$.message'), ''), nullif(json_extract_string(source, '$.msg'), ''), nullif(json_extract_string(source, '$.event.original'), ''), nullif(json_extract_string(source, '$.log.message'), ''), '') as primary_text from s)
+            select event_id, sha256(case when primary_text = '' then source[1:16384] else primary_text || chr(10) || source[1:16384] end) as message_sha256, length(primary_text)::int as message_field_length from p""",
+        "resolve_timestamp": "select event_id, case event_id % 3 when 0 then strftime(make_timestamp(event_id * 86399977 * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') when 1 then '2024-01-' || event_id else '' end as resolved from events",
+        "deep_link": """
+            with e as (select event_id, chr(39) as q, replace(replace(replace(replace(replace(url_encode('é!' || chr(39) || '()*~/"&+% ' || event_id), '%21', '!'), '%27', chr(39)), '%28', '('), '%29', ')'), '%2A', '*') as name from events)
+            select event_id, 'https://logs.example.com/app/discover#/?_g=(time:(from:' || q || url_encode('2024-01-01T00:00:00.000Z') || q || ',to:now))&_a=(index:' || q || 'app-*' || q || ',query:(language:kuery,query:' || q || '_id:"' || name || '"' || q || '))' as link from e""",
+        "hit_dedup": "select event_type as container, count(distinct event_id)::bigint as n from events where ts >= timestamp '2024-01-01' and ts < timestamp '2025-01-01' group by 1",
+        "max_hits": "select event_id as id, event_type as container from events where ts >= timestamp '2024-01-05' and ts < timestamp '2024-02-01' order by ts, event_id limit 100",
         "event_window": "select event_type as container, count(*)::bigint as n, min(event_id) as first_id, max(event_id) as last_id from events where ts >= timestamp '2024-01-05' and ts < timestamp '2024-01-20' and event_type in ('click', 'purchase') group by 1",
     }

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodesieve.operators import scan as S
+from lodesieve.sources.search import search
 
 #: Characters of the structured document that follow the message.
 STRUCTURED = 16_384
@@ -62,10 +63,58 @@ def needle(query: str) -> str:
     return next((t for t in re.split(r"[\s()]+", query) if not re.match(r"[+\-!]?\w+:", t)), query)
 
 
-def found(rows: DataFrame, query: str, most: int = 1000) -> DataFrame:
-    """The latest hits that hold the query, with every sensitive value in their excerpts masked."""
+def timestamp(source: Column, path: str) -> Column:
+    """A time field of a document: a string as it is, a number of milliseconds as ISO 8601 in UTC, else empty."""
+    value = F.try_variant_get(F.try_parse_json(source), path, "variant")
+    kind = F.schema_of_variant(value)
+    millis = F.floor(F.coalesce(F.try_variant_get(value, "$", "double"), F.lit(0.0)))
+    day, rest = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(millis / 86_400_000).cast("int")), F.pmod(millis, F.lit(86_400_000))
+    two = lambda c, n=2: F.lpad(c.cast("long").cast("string"), n, "0")
+    clock = F.concat(two(F.floor(rest / 3_600_000)), F.lit(":"), two(F.floor(rest / 60_000) % 60), F.lit(":"), two(F.floor(rest / 1000) % 60), F.lit("."), two(rest % 1000, 3), F.lit("Z"))
+    iso = F.concat(day.cast("string"), F.lit("T"), clock)
+    return F.when(kind == "STRING", F.try_variant_get(value, "$", "string")).when(kind.rlike("^(?:BIGINT|DOUBLE|DECIMAL)") & (F.abs(millis) <= 8_640_000_000_000_000), iso).otherwise(F.lit(""))
+
+
+def encoded(text: Column) -> Column:
+    """Percent-encoded as a component of an address."""
+    out = F.url_encode(text)
+    for code, char in (("+", "%20"), ("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
+        out = F.replace(out, F.lit(code), F.lit(char))
+    return out
+
+
+def deep_link(base: str, index: str, id_: Column, ts: Column) -> Column:
+    """Address that shows one document in the log store; the format is fixed."""
+    return F.concat(F.lit(f"{base}/app/discover#/?_g=(time:(from:'"), encoded(ts), F.lit(f"',to:now))&_a=(index:'{index}',query:(language:kuery,query:'_id:\""), encoded(id_), F.lit("\"'))"))
+
+
+def scrubbed(url: Column) -> Column:
+    """An address without its user and password."""
+    return F.regexp_replace(url, r"(?i)\b([a-z][a-z0-9+.\-]*://)[^/@\s]+@", "$1")
+
+
+def excerpts(rows: DataFrame, query: str) -> DataFrame:
+    """id, index, container, ts and an excerpt in which every sensitive value is masked.
+
+    It is cut around the query; else around the first value found; else it is the head of the first line.
+    """
     text = needle(query)
-    rows = rows.where(F.contains("message", F.lit(text))).orderBy(F.desc("ts"), "id").limit(most)
-    start = F.locate(text, F.col("message")) - 1
-    end = F.least(F.length("message"), start + len(query))
-    return S.scan(rows).select("id", "index", "container", "ts", S.redacted(F.col("message"), start, end, F.col("matches")).alias("excerpt"))
+    message = F.coalesce("message", F.lit(""))
+    primary = F.coalesce("message_field_length", F.length(message)) if "message_field_length" in rows.columns else F.length(message)
+    rows = S.scan(rows.withColumn("_primary", primary).withColumn("message", message))
+    at = F.locate(text, F.col("message")) - 1
+    first = F.get("matches", F.lit(0))
+
+    def cut(start: Column, end: Column) -> Column:
+        inside, lo, hi = S.field(F.col("message"), F.col("_primary"), start)
+        return S.labelled(inside, S.redacted(F.col("message"), start, end, F.col("matches"), lo, hi))
+
+    end = F.least(F.length("message"), at + len(query))
+    head = F.substring(F.get(F.split("message", "\n"), F.lit(0)), 1, 200)
+    shown = F.when(at >= 0, cut(at, end)).when(F.size("matches") > 0, cut(first["start"], first["end"])).otherwise(head)
+    return rows.select("id", "index", "container", "ts", shown.alias("excerpt"))
+
+
+def found(rows: DataFrame, query: str, most: int = 1000) -> DataFrame:
+    """The latest hits that the query holds for, with excerpts."""
+    return excerpts(search(rows, query).orderBy(F.desc("ts"), "id").limit(most), query)
