@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodesieve.functions import patterns as P
+from lodesieve.functions import rules as R
 from lodesieve.functions.checks import CHECKS, masked
 
 #: Characters of a line that are scanned.
@@ -120,9 +121,9 @@ def severity_rank(severity: Column) -> Column:
 def gated(rows: DataFrame, disabled: list[str] | None = None, heuristics: bool = False, least: str | None = None) -> DataFrame:
     """Leaves out disabled rules, then heuristic ones unless asked for, then what is below the least severity (HIGH; LOW with heuristics)."""
     if disabled:
-        rows = rows.where(~F.upper("rule_id").isin([x.upper() for x in disabled]))
+        rows = rows.where(~F.coalesce(F.upper("rule_id").isin([x.upper() for x in disabled]), F.lit(False)))
     if not heuristics:
-        rows = rows.where(~F.col("rule_id").isin(P.HEURISTIC))
+        rows = rows.where(~F.coalesce(F.col("rule_id").isin([r[0] for r in R.RULES if r[5]]), F.lit(False)))
     least = (least or ("LOW" if heuristics else "HIGH")).upper()
     return rows.where(severity_rank(F.col("severity")) >= len(P.SEVERITIES) - 1 - P.SEVERITIES.index(least))
 

@@ -54,13 +54,20 @@ SOURCES = [
     "// bcr-disable-next-line BCR-KEY-001 -- first {n}\r\nx(); // bcr-disable-line BCR-KEY-001,BCR-KEY-002 -- second\r\ny();",
     "no marks {n}\n/* bcr-disable-line BCR-KEY-001 */\n// bcr-disable-line ,\n//bcr-disable-next-line BCR-PT-001",
 ]
+#: Programs with known findings; the last has none.
+PROGRAMS = [
+    "const t{n} = jwt.decode(token); // bcr-disable-line BCR-JWT-001 -- reviewed\napp.use(helmet());",
+    "https.get(u, { rejectUnauthorized: false });\nconst h{n} = crypto.createHash('md5');",
+    "async function load{n}(req) {\n  const r = await axios.get(req.query.url);\n  return db.query(`select * from t where id = ${req.query.id}`);\n}",
+    "// jwt.decode(token)\nconst s{n} = \"rejectUnauthorized: false\";",
+]
 
 
-def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+def code_files(spark: SparkSession, sf_dir: str, texts: list[str] = SOURCES) -> DataFrame:
     """file, content."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     key = F.col("o_orderkey").cast("string")
-    return orders.select(F.concat(F.lit("src/f"), key, F.lit(".ts")).alias("file"), F.replace(F.get(F.array(*map(F.lit, SOURCES)), (F.col("o_orderkey") % len(SOURCES)).cast("int")), F.lit("{n}"), key).alias("content"))
+    return orders.select(F.concat(F.lit("src/f"), key, F.lit(".ts")).alias("file"), F.replace(F.get(F.array(*map(F.lit, texts)), (F.col("o_orderkey") % len(texts)).cast("int")), F.lit("{n}"), key).alias("content"))
 
 
 def code_files_sql() -> str:

@@ -11,9 +11,10 @@ from lodesieve.functions import checks
 from lodesieve.functions import patterns as P
 from lodesieve.functions import rules as R
 from lodesieve.functions.checks import CHECKS, quoted
-from lodesieve.operators import report
+from lodesieve.operators import detectors, report
 from lodesieve.operators import scan as S
-from lodesieve.plans.lines import code_files, code_files_sql, log_lines, log_lines_sql
+from lodesieve.plans.lines import PROGRAMS, code_files, code_files_sql, log_lines, log_lines_sql
+from lodesieve.sources import code as C
 from lodesieve.sources import hits as H
 from lodesieve.sources.search import condition_sql, matched_total, search
 
@@ -134,6 +135,12 @@ def event_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("container").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
 
 
+#: What each of PROGRAMS holds, by hand.
+PROGRAM_FINDINGS_SQL = """select * from (values
+    (0, 'BCR-JWT-001', 'CRITICAL', 'AUTHENTICATION', 'FIRM', 1, true, 'reviewed'), (0, 'BCR-MISC-003', 'LOW', 'MISCONFIGURATION', 'TENTATIVE', 2, false, null),
+    (1, 'BCR-TLS-001', 'CRITICAL', 'MISCONFIGURATION', 'FIRM', 1, false, null), (1, 'BCR-CRYPTO-001', 'MEDIUM', 'CRYPTO_WEAKNESS', 'TENTATIVE', 2, false, null),
+    (2, 'BCR-SSRF-001', 'CRITICAL', 'SSRF', 'FIRM', 2, false, null), (2, 'BCR-VAL-001', 'CRITICAL', 'VALIDATION', 'FIRM', 3, false, null)
+) p(n, rule_id, severity, category, confidence, line, suppressed, reason)"""
 SEARCHES = {"search_terms": "the then* AND on", "search_phrase": '"of the"', "search_and_or_not": "(th?s OR by) -source:src1 NOT lang:fr +the", "search_field": 'source:src3 (lang:"en" OR lang:de)'}
 
 
@@ -185,6 +192,23 @@ def suppressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.suppressions(code_files(spark, sf_dir)).withColumn("rule_ids", F.array_join("rule_ids", ","))
 
 
+def _code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_files(spark, sf_dir, PROGRAMS)
+
+
+def code_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detectors.findings(C.nodes(_code(spark, sf_dir))).select("file", "rule_id", "severity", "category", "confidence", "line")
+
+
+def code_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _code(spark, sf_dir)
+    return detectors.reviewed(files, C.nodes(files), heuristics=True).select("file", "rule_id", "line", "suppressed", "reason")
+
+
+def code_file_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detectors.file_flags(detectors.findings(C.nodes(_code(spark, sf_dir))), ["BCR-TLS-001", "BCR-JWT-001"])
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     source = F.when(F.col("event_id") % 3 == 0, F.col("props")).when(F.col("event_id") % 3 == 1, F.concat(F.lit('{"message":"'), "event_type", F.lit(' é"}'))).otherwise(F.concat(F.lit('{"msg":"","log":{"message":"'), "event_type", F.lit('"}}')))
@@ -219,7 +243,7 @@ def queries() -> dict[str, Query]:
         "scan_all_by_rule": all_by_rule, "scan_documents_by_rule": documents_by_rule, "gate_default": gate_default, "gate_heuristic": gate_heuristic, "gate_disabled": gate_disabled, "dedup_first": dedup_first,
         "baseline_split": baseline_split, "count_severity_dense": count_severity, "count_category_dense": count_category, "report_top": report_top, "mask_values": mask_values, "scalar_checks": values, "event_window": event_window,
         "enrich_rules": enrich, "count_rule": count_rule, "count_confidence_dense": count_confidence, "exploitable": exploitable, "sarif_results": exchange, "sarif_taxa": taxa, "chains_from_categories": chains, "inline_suppressions": suppressions,
-        "resolve_message": messages, "resolve_timestamp": times, "deep_link": links, "hit_dedup": hit_dedup, "max_hits": max_hits, "matched_total": total, **{n: _search(q) for n, q in SEARCHES.items()},
+        "code_findings": code_findings, "code_review": code_review, "code_file_flags": code_file_flags, "resolve_message": messages, "resolve_timestamp": times, "deep_link": links, "hit_dedup": hit_dedup, "max_hits": max_hits, "matched_total": total, **{n: _search(q) for n, q in SEARCHES.items()},
     }
 
 
@@ -263,6 +287,9 @@ def oracle_sql() -> dict[str, str]:
             m as (select file, n + 1 as line, n * 2 as pos, regexp_extract(text, '{report.SUPPRESS.replace("{where}", "next-line")}', ['ids', 'why']) as g from l union all select file, n, n * 2 + 1, regexp_extract(text, '{report.SUPPRESS.replace("{where}", "line")}', ['ids', 'why']) from l),
             i as (select file, line, pos, nullif(trim(g.why), '') as why, list_filter(list_transform(string_split(g.ids, ','), lambda x: upper(trim(x))), lambda x: x <> '') as ids from m)
             select file, line::int as line, array_to_string(list_sort(list_distinct(flatten(list(ids)))), ',') as rule_ids, arg_min(why, pos) filter (where why is not null) as reason from i where len(ids) > 0 group by 1, 2""",
+        "code_findings": f"select 'src/f' || o_orderkey || '.ts' as file, rule_id, severity, category, confidence, line::int as line from orders join ({PROGRAM_FINDINGS_SQL}) p on o_orderkey % 4 = p.n",
+        "code_review": f"select 'src/f' || o_orderkey || '.ts' as file, rule_id, line::int as line, suppressed, reason from orders join ({PROGRAM_FINDINGS_SQL}) p on o_orderkey % 4 = p.n where severity <> 'INFO'",
+        "code_file_flags": "select 'src/f' || o_orderkey || '.ts' as file, o_orderkey % 4 = 1 as bcr_tls_001, o_orderkey % 4 = 0 as bcr_jwt_001 from orders where o_orderkey % 4 < 3",
         "resolve_message": """
             with s as (select event_id, case event_id % 3 when 0 then props when 1 then '{"message":"' || event_type || ' é"}' else '{"msg":"","log":{"message":"' || event_type || '"}}' end as source from events),
             p as (select event_id, source, coalesce(nullif(json_extract_string(source, '$.message'), ''), nullif(json_extract_string(source, '$.msg'), ''), nullif(json_extract_string(source, '$.event.original'), ''), nullif(json_extract_string(source, '$.log.message'), ''), '') as primary_text from s)
