@@ -2,7 +2,7 @@
 
 quality         documents that the quality classifier accepts
 language        documents whose language is identified and not rejected
-near_duplicates the smallest id of each group of near duplicates, and all others
+near_duplicates the smallest id of each group of near duplicates (Jaccard similarity of 0.8 or more), and all others
 decontaminate   documents that hold no benchmark item
 encode          ids and digests of every document left
 """
@@ -32,7 +32,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return minhash.keep_one(spark, docs).select(docs.columns)
+    return minhash.keep_one(spark, docs, percent=80, bands=34).select(docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

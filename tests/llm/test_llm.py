@@ -480,3 +480,15 @@ def test_pipeline_stages(spark, tmp_path):
     assert kept[3] == kept[4] == kept[2] - {302}
     assert all(b <= a for a, b in pairwise(kept))
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == kept[4]
+
+
+def test_pipeline_drops_near_copies_from_080(spark):
+    import corpus_pipeline
+
+    words = prose(6000, 103).split()
+    changed = {n: " ".join(words[: 103 - n] + prose(6000 + n, n).upper().replace("A", "x").split()) for n in (9, 11, 12)}
+    texts = [" ".join(words), changed[9], changed[11], changed[12], prose(6001, 90)]
+    close = [len(shingles(texts[0]) & shingles(t)) / len(shingles(texts[0]) | shingles(t)) for t in texts[1:4]]
+    assert 0.8 < close[0] < 0.85 and close[1] == 0.8 and close[2] < 0.8
+    got = corpus_pipeline.near_duplicate_stage(spark, table(spark, texts), "")
+    assert sorted(r["doc_id"] for r in got.collect()) == [0, 3, 4]
