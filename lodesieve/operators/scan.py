@@ -15,7 +15,7 @@ from lodesieve.functions import patterns as P
 from lodesieve.functions import rules as R
 from lodesieve.functions.checks import CHECKS, masked
 
-#: Characters of a line that are scanned.
+#: Characters of a log line that are scanned, a guard for single lines; texts of other kinds are scanned whole.
 SCANNED = 65_536
 #: Characters of context on either side of an excerpt's match.
 CONTEXT = 40
@@ -56,9 +56,10 @@ def numbers_of(name: str) -> list[int]:
     return [k for k, p in enumerate(P.PATTERNS) if p.name == name]
 
 
-def scan(hits: DataFrame, name: str | None = None) -> DataFrame:
-    """``hits`` has id, index and message; adds ``matches``."""
-    capped = hits.withColumn("_scanned", F.substring(F.coalesce("message", F.lit("")), 1, SCANNED)).withColumn("_low", F.lower("_scanned"))
+def scan(hits: DataFrame, name: str | None = None, most: int | None = SCANNED) -> DataFrame:
+    """``hits`` has id, index and message; adds ``matches``, found in the first ``most`` characters (None: in the whole message)."""
+    message = F.coalesce("message", F.lit(""))
+    capped = hits.withColumn("_scanned", F.substring(message, 1, most) if most is not None else message).withColumn("_low", F.lower("_scanned"))
     return capped.withColumn("matches", scan_line(F.col("_scanned"), F.col("_low"), numbers_of(name) if name else None)).drop("_scanned", "_low")
 
 

@@ -25,8 +25,8 @@ def names() -> list[str]:
     return list(dict.fromkeys(p.name for p in P.PATTERNS))
 
 
-def matches(hits: DataFrame, name: str | None = None) -> DataFrame:
-    m = S.scan(hits, name).select("id", F.explode("matches").alias("m"))
+def matches(hits: DataFrame, name: str | None = None, most: int | None = S.SCANNED) -> DataFrame:
+    m = S.scan(hits, name, most).select("id", F.explode("matches").alias("m"))
     return m.select("id", *[F.col(f"m.{c}").alias(c) for c in ("ord", "rule_id", "severity", "category", "start", "end", "match")])
 
 
@@ -76,7 +76,7 @@ def all_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def documents_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), F.col("source").alias("index"), F.col("text").alias("message"))
-    return matches(H.spread(docs)).groupBy("rule_id", "severity").agg(F.count("*").alias("n"), F.countDistinct("id").alias("n_docs"))
+    return matches(H.spread(docs), most=None).groupBy("rule_id", "severity").agg(F.count("*").alias("n"), F.countDistinct("id").alias("n_docs"))
 
 
 def gate_default(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -145,3 +145,14 @@ def test_queries_match_their_sql(spark, tmp_path):
         cols = sorted(frame.columns)
         sql = ", ".join(f'"{c}"' for c in cols)
         assert sorted(map(str, (tuple(r) for r in frame.select(*cols).collect()))) == sorted(map(str, con.execute(f"select {sql} from ({Q.oracle_sql()[name]})").fetchall())), name
+
+
+def test_documents_are_scanned_whole(spark, tmp_path):
+    """A late match, and one across the place where log lines are cut, as in the query's SQL."""
+    texts = ["word " * 20_000 + "cvv=123", "x" * (S.SCANNED - 5) + " cvv=123; 4111111111111111", "cvv=123 " + "y " * 40_000 + "cvv=456", None]
+    spark.createDataFrame([(k, "s", t) for k, t in enumerate(texts)], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in Q.queries()["scan_documents_by_rule"](spark, str(tmp_path)).select("rule_id", "severity", "n", "n_docs").collect()}
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == set(con.execute(f"select rule_id, severity, n, n_docs from ({Q.oracle_sql()['scan_documents_by_rule']})").fetchall())
+    assert ("LOG-PCI-002", "CRITICAL", 4, 3) in got and ("LOG-PCI-001", "CRITICAL", 1, 1) in got
