@@ -70,7 +70,9 @@ class Index:
 FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("shared", pa.int64()), ("item_shingles", pa.int64())])
 
 
-def _search(index: Index, percent: int):
+def _search(index: Index, item_ids: list[int], percent: int):
+    """mapInArrow: id, text -> the item sets that the text holds; item_ids: the item of each of the index's sets."""
+
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         minima = Minima(HASHES, SEED)
@@ -87,7 +89,7 @@ def _search(index: Index, percent: int):
                     at[at == len(full)] = 0
                     shared = int((full[at] == s).sum())
                     if 100 * shared >= percent * len(s):
-                        out.append((doc, item, shared, len(s)))
+                        out.append((doc, item_ids[item], shared, len(s)))
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out, strict=True) if out else [[]] * 4)], schema=FOUND)
 
     return run
@@ -98,8 +100,9 @@ def contained_items(spark: SparkSession, docs: DataFrame, items: DataFrame, perc
 
     Null and wordless texts and items match nothing; so do rows without an id.  An
     item of one to four words is one shingle, its whole sequence, and matches just
-    the documents that consist of it.  Of repeated rows each pair is given once,
-    with the largest overlap.  Empty tables give no rows; further columns are ignored.
+    the documents that consist of it.  Texts that share an item_id are searched
+    each by itself.  Each pair is given once, with the best containment of any of its
+    rows (ties: the largest overlap).  Empty tables give no rows; further columns are ignored.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
@@ -108,13 +111,16 @@ def contained_items(spark: SparkSession, docs: DataFrame, items: DataFrame, perc
     for k in range(rounds):
         part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(rounds)) == k) if rounds > 1 else items
         rows = part.toArrow()
-        held: dict[int, np.ndarray] = {}
+        held: dict[tuple[int, bytes], np.ndarray] = {}
         for i, s in zip(rows.column(0).to_pylist(), shingle_sets(rows.column(1)), strict=True):
             if len(s):
-                held[i] = np.union1d(held[i], s) if i in held else s
-        new = texts.mapInArrow(_search(Index(sorted(held.items())), percent), "doc_id long, item_id long, shared long, item_shingles long")
+                held[i, s.tobytes()] = s
+        sets = sorted(held.items())
+        new = texts.mapInArrow(_search(Index([(k, s) for k, (_, s) in enumerate(sets)]), [i for (i, _), _ in sets], percent), "doc_id long, item_id long, shared long, item_shingles long")
         found = new if found is None else found.unionByName(new)
-    return found.groupBy("doc_id", "item_id").agg(F.max("shared").alias("shared"), F.max("item_shingles").alias("item_shingles"))
+    # the best containment, of equal ones the largest overlap; shared and item_shingles are those of one set
+    best = F.max(F.struct((F.col("shared") / F.col("item_shingles")).alias("share"), "shared", "item_shingles")).alias("best")
+    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.shared", "best.item_shingles")
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, percent: int = 80) -> DataFrame:

@@ -323,6 +323,15 @@ def test_items_in_rounds_give_the_same(spark, monkeypatch):
     assert {(r["doc_id"], r["item_id"]) for r in contamination.contained_items(spark, docs, bench).collect()} == whole == {(k, k) for k in range(9)}
 
 
+def test_items_that_share_an_id_are_searched_each(spark):
+    one, two = prose(1200, 40), prose(1201, 40)
+    bench = spark.createDataFrame([(1, one), (1, two), (1, two), (2, prose(1202, 20))], "item_id long, text string")
+    docs = table(spark, [prose(1300, 90) + " " + one, prose(1301, 90) + " " + two, one + " " + two, prose(1302, 90)])
+    got = sorted((r["doc_id"], r["item_id"], r["shared"], r["item_shingles"]) for r in contamination.contained_items(spark, docs, bench).collect())
+    assert got == [(k, 1, 36, 36) for k in range(3)]
+    assert [r["doc_id"] for r in contamination.without_leaks(spark, docs, bench).collect()] == [3]
+
+
 # 7, 8, 10 tokens
 
 
