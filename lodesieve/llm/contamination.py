@@ -8,7 +8,8 @@ of at most q shingles, every document into windows of 2 q shingles at steps of q
 Any run of q shingles lies in one window, so a contained item has a Jaccard
 similarity of at least 0.8 * (q / 2) / (2 q + 0.2 * q / 2) = 0.19 with it, and one
 equal minimum out of 64 makes the pair a candidate (missed with probability
-1.4e-6, and far less for most).  Candidates are verified by exact containment in
+1.4e-6, and far less for most).  Items of at most SMALL shingles are looked up by
+the shingles themselves, which misses none.  Candidates are verified by exact containment in
 the whole document's set.
 
 The items' minima go to the executors with the code.  Items are taken in rounds
@@ -33,17 +34,25 @@ HASHES = 64
 #: Items of one round: with 64 minima of 4 bytes and about 100 shingles of 8 bytes each, some 20 MB.
 ROUND = 20_000
 SEED = 7_654_321
+#: Shingles of an item up to which it is looked up without minima.
+SMALL = 4
 
 
 class Index:
-    """The items of one round by size class: per class, sorted (hash function, minimum) keys and the items behind them."""
+    """The items of one round by size class: per class, sorted (hash function, minimum) keys and the items behind them; small items by their shingles."""
 
     def __init__(self, items: list[tuple[int, np.ndarray]]) -> None:
         minima = Minima(HASHES, SEED)
         self.sets = dict(items)
         by_class: dict[int, list[int]] = defaultdict(list)
+        small: list[int] = []
         for k, s in items:
-            by_class[1 << max(2, int(len(s) - 1).bit_length())].append(k)
+            (small if len(s) <= SMALL else by_class[1 << int(len(s) - 1).bit_length()]).append(k)
+        self.small = None
+        if small:
+            keys = np.concatenate([self.sets[k] for k in small])
+            order = np.argsort(keys, kind="stable")
+            self.small = keys[order], np.repeat(np.array(small, np.int64), [len(self.sets[k]) for k in small])[order]
         self.classes = {}
         for q, ids in by_class.items():
             keys = np.concatenate([self.keys(minima.of(self.sets[k])[:, None])[:, 0] for k in ids])
@@ -54,16 +63,19 @@ class Index:
     def keys(minima: np.ndarray) -> np.ndarray:
         return minima.astype(np.uint64) | np.arange(HASHES, dtype=np.uint64)[:, None] << np.uint64(32)
 
+    @staticmethod
+    def behind(keys: np.ndarray, ids: np.ndarray, probes: np.ndarray) -> Iterator[int]:
+        at = np.searchsorted(keys, probes)
+        at[at == len(keys)] = 0
+        for p in np.unique(probes[keys[at] == probes]):
+            yield from ids[np.searchsorted(keys, p) : np.searchsorted(keys, p, side="right")].tolist()
+
     def candidates(self, run: np.ndarray, minima: Minima) -> set[int]:
-        out: set[int] = set()
+        out = set(self.behind(*self.small, run)) if self.small else set()
         for q, (keys, ids) in self.classes.items():
             blocks = minima.by_block(run, np.arange(0, len(run), q))
             windows = np.minimum(blocks[:, :-1], blocks[:, 1:]) if blocks.shape[1] > 1 else blocks
-            probes = self.keys(windows).ravel()
-            at = np.searchsorted(keys, probes)
-            at[at == len(keys)] = 0
-            for p in np.unique(probes[keys[at] == probes]):
-                out.update(ids[np.searchsorted(keys, p) : np.searchsorted(keys, p, side="right")].tolist())
+            out.update(self.behind(keys, ids, self.keys(windows).ravel()))
         return out
 
 

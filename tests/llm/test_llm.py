@@ -332,6 +332,16 @@ def test_items_that_share_an_id_are_searched_each(spark):
     assert [r["doc_id"] for r in contamination.without_leaks(spark, docs, bench).collect()] == [3]
 
 
+def test_small_items_are_found_without_minima(monkeypatch):
+    """With one hash function minima alone miss most items of few shingles."""
+    monkeypatch.setattr(contamination, "HASHES", 1)
+    texts = [prose(1400 + k, 5 + k % 4) for k in range(60)]
+    index = contamination.Index(list(enumerate(shingle_sets(pa.array(texts)))))
+    minima = contamination.Minima(1, contamination.SEED)
+    docs = pa.array([prose(1500 + k, 50) + " " + t + " " + prose(1600 + k, 50) for k, t in enumerate(texts)])
+    assert all(k in index.candidates(run, minima) for k, run in enumerate(contamination.shingle_runs(docs)))
+
+
 # 7, 8, 10 tokens
 
 
