@@ -5,7 +5,9 @@ joined with the node 2^k steps above it, which doubles the reach of its pointer
 and adds up what lies between (steps, score, characters), so a thread of any depth
 takes a logarithmic number of self-joins and no node is handled with all its tree.
 Leaves are ranked by the score of their path; the chosen ones are joined with the
-pointers of each round again, which lists the nodes of every path.
+pointers of each round again, which lists the nodes of every path.  Nodes that share
+a pointer in large numbers, such as the replies to one root, are joined without
+gathering them (see ``skew``).
 
 Template of a turn: ``### role``, a new line, the text, a new line, ``</turn>``, a
 new line.  Inside roles and texts, ``\\`` becomes ``\\0``, ``#`` becomes ``\\1``, ``<``
@@ -19,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodesieve.llm.scratch import Scratch
+from lodesieve.llm.skew import join_one
 
 END = "</turn>\n"
 
@@ -48,10 +51,10 @@ def thread_nodes(spark: SparkSession, turns: DataFrame, scratch: Scratch) -> Dat
 
     Takes conv_id, turn, role, text; orders turns by turn, role and text (null
     first), so repeated rows and equal turn numbers have a defined place.  Rows
-    without conv_id are left out.  The order comes from a range partitioning over
-    all four columns, so that one long conversation is spread over many tasks.
+    without conv_id are one thread, whose tree is null.  The order comes from a range
+    partitioning over all four columns, so that one long conversation is spread over many tasks.
     """
-    rows = turns.select(F.col("conv_id").cast("long").alias("tree"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("tree is not null")
+    rows = turns.select(F.col("conv_id").cast("long").alias("tree"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     order = ["tree", "turn", "role", "text"]
     placed = scratch.save(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("spot", F.monotonically_increasing_id()), "placed")
     part = F.shiftright("spot", 33)
@@ -59,8 +62,9 @@ def thread_nodes(spark: SparkSession, turns: DataFrame, scratch: Scratch) -> Dat
     before = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # one row a partition
     numbered = placed.withColumn("part", part).join(before, "part").withColumn("node", F.col("spot").bitwiseAND((1 << 33) - 1) + F.col("before")).drop("part", "before", "spot", "turn")
     numbered = scratch.save(numbered, "numbered")
-    above = numbered.select("tree", (F.col("node") + 1).alias("node"), F.col("node").alias("parent"))
-    return numbered.join(above, ["tree", "node"], "left").select("tree", "node", "parent", F.lit(0.0).alias("score"), "role", "text")
+    above = numbered.select(F.col("tree").alias("_tree"), (F.col("node") + 1).alias("_node"), F.col("node").alias("parent"))
+    both = (F.col("node") == F.col("_node")) & F.col("tree").eqNullSafe(F.col("_tree"))
+    return numbered.join(above, both, "left").select("tree", "node", "parent", F.lit(0.0).alias("score"), "role", "text")
 
 
 def _reached(done: list[DataFrame]) -> DataFrame:
@@ -77,18 +81,31 @@ def format_trees(nodes: DataFrame, scratch: Scratch, per_tree: int = 1, trained_
     is the sum over its nodes (null: 0); equal scores go by leaf, smaller first.  A
     null parent, or one that isn't in the same table, makes a root.  Null texts and
     roles are empty.  Nodes on or below a cycle have no root and are in no path.
-    Rows without tree or node are left out; an empty table gives no rows; further
-    columns are ignored.  ``loss_spans`` lists start and length, in code points of
+    Of rows that repeat a node the least counts (by tree, parent, score, role and text, null
+    first), so that a node is in a path once.  A null tree is a tree like any other; rows
+    without node are left out; an empty table gives no rows; further columns are
+    ignored.  A conversation is one string: one of more than 2 GB makes the job fail.  ``loss_spans`` lists start and length, in code points of
     ``formatted``, of the texts to train on.
     """
     role, text = F.coalesce(F.col("role").cast("string"), F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit(""))
-    turns = nodes.where("tree is not null and node is not null").select("tree", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"), (role == trained_role).alias("trained"), F.concat(F.lit("### "), _role_in(role), F.lit("\n")).alias("head"), F.concat(escaped(text), F.lit("\n" + END)).alias("body"))
+    rows = nodes.where("node is not null").select("tree", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"), role.alias("role"), text.alias("text"))
+    rows = scratch.save(rows, "rows")
+    if rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").head(1):
+        fields = ["tree", "parent", "score", "role", "text"]
+        rows = scratch.save(rows.groupBy("node").agg(F.min(F.struct(*fields)).alias("r")).select("node", "r.*"), "rows-once")
+    turns = rows.select("tree", "node", "parent", "score", (F.col("role") == trained_role).alias("trained"), F.concat(F.lit("### "), _role_in(F.col("role")), F.lit("\n")).alias("head"), F.concat(escaped(F.col("text")), F.lit("\n" + END)).alias("body"))
     turns = scratch.save(turns, "turns")
     up = turns.select("tree", "node", "parent", "score", (F.length("head") + F.length("body")).cast("long").alias("chars"))
     # figures of a node cover it and what stands between it and its pointer, the pointer's node left out
-    exists = up.select(F.col("node").alias("parent"), F.lit(True).alias("there"))
-    above = up.where("parent is not null").select("tree", "node", "parent", "score", "chars").join(exists, "parent", "left").select("tree", "node", F.when(F.col("there"), F.col("parent")).alias("above"), "score", "chars")
-    start = above.unionByName(up.where("parent is null").select("tree", "node", F.lit(None).cast(up.schema["parent"].dataType).alias("above"), "score", "chars"))
+    answered = up.where("parent is not null").groupBy("parent").agg(F.lit(1).alias("one")).join(up.select(F.col("node").alias("parent")), "parent", "left_anti").select("parent", F.lit(None).cast(up.schema["parent"].dataType).alias("above"))
+    missing = scratch.save(answered, "missing")
+    known = up.where("parent is not null").select("tree", "node", "parent", "score", "chars")
+    if missing.head(1):
+        lost = join_one(known, missing, ["parent"])
+        known = known.withColumn("above", F.col("parent")).join(lost.select("node"), "node", "left_anti").unionByName(lost)
+    else:
+        known = known.withColumn("above", F.col("parent"))
+    start = known.drop("parent").unionByName(up.where("parent is null").select("tree", "node", F.lit(None).cast(up.schema["parent"].dataType).alias("above"), "score", "chars"))
     reach = scratch.save(start.select("tree", "node", "above", F.col("score").alias("total"), F.col("chars").alias("sum"), F.lit(1).cast("long").alias("count")), "reach-0")
     done = [reach.where("above is null")]
     rounds, pending = 0, -1
@@ -102,7 +119,7 @@ def format_trees(nodes: DataFrame, scratch: Scratch, per_tree: int = 1, trained_
         higher = waiting.unionByName(_reached(done))
         higher = higher.select(F.col("node").alias("above"), F.col("above").alias("next"), F.col("total").alias("t"), F.col("sum").alias("s"), F.col("count").alias("c"))
         rounds += 1
-        reach = scratch.save(waiting.join(higher, "above").select("tree", "node", F.col("next").alias("above"), (F.col("total") + F.col("t")).alias("total"), (F.col("sum") + F.col("s")).alias("sum"), (F.col("count") + F.col("c")).alias("count")), f"reach-{rounds}")
+        reach = scratch.save(join_one(waiting, higher, ["above"]).select("tree", "node", F.col("next").alias("above"), (F.col("total") + F.col("t")).alias("total"), (F.col("sum") + F.col("s")).alias("sum"), (F.col("count") + F.col("c")).alias("count")), f"reach-{rounds}")
         done.append(reach.where("above is null"))
     rooted = _reached(done).join(up.select("node", "chars"), "node").select("tree", "node", "total", (F.col("count") - 1).alias("depth"), (F.col("sum") - F.col("chars")).alias("offset"))
     rooted = scratch.save(rooted, "rooted")

@@ -1,7 +1,8 @@
 """Connected components of an edge table, by alternating large-star and small-star.
 
 Each step is a group minimum, which is pre-aggregated before its shuffle, and one
-equi-join of the edges with those minima, so a node with very many neighbours is
+join of the edges with those minima.  The edges of a node with very many neighbours
+stay where they are and get its minimum by a broadcast (see ``skew``), so they are
 never gathered in one place.  Every round is written to the shared folder.
 """
 
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodesieve.llm.scratch import Scratch
+from lodesieve.llm.skew import join_one
 
 
 def _minima(pairs: DataFrame) -> DataFrame:
@@ -22,14 +24,14 @@ def _large_star(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """Every node hands its larger neighbours to the least node around it."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = scratch.save(_minima(both), f"{name}-least")
-    return both.join(least, "u").where("v > u").select(F.col("m").alias("u"), "v").where("u <> v").distinct()
+    return join_one(both, least, ["u"]).where("v > u").select(F.col("m").alias("u"), "v").where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """Every node hands its smaller neighbours, and itself, to the least of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = scratch.save(_minima(down), f"{name}-least")
-    moved = down.join(least, "u").select(F.col("v").alias("w"), "m").unionByName(least.select(F.col("u").alias("w"), "m"))
+    moved = join_one(down, least, ["u"]).select(F.col("v").alias("w"), "m").unionByName(least.select(F.col("u").alias("w"), "m"))
     return moved.where("w <> m").select(F.col("m").alias("u"), F.col("w").alias("v")).distinct()
 
 

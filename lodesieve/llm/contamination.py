@@ -13,7 +13,9 @@ the shingles themselves, which misses none.  Candidates are verified by exact co
 the whole document's set.
 
 The items' minima go to the executors with the code.  Items are taken in rounds
-of at most ROUND, so what is sent has a fixed bound however many items there are.
+of about ROUND items and ROUND_CHARS characters at most, and every round's result is
+written before the next begins, so what is sent, and what the driver holds, has a fixed
+bound however many items there are.
 """
 
 from __future__ import annotations
@@ -27,12 +29,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodesieve.llm.memory import tidy
+from lodesieve.llm.rows import row_key, without_rows
 from lodesieve.llm.scratch import Scratch
 from lodesieve.llm.words import Minima, shingle_runs, shingle_sets
 
 HASHES = 64
 #: Items of one round: with 64 minima of 4 bytes and about 100 shingles of 8 bytes each, some 20 MB.
 ROUND = 20_000
+#: Characters of the items of one round: some 5 million shingles of 8 bytes.
+ROUND_CHARS = 32 << 20
 SEED = 7_654_321
 #: Shingles of an item up to which it is looked up without minima.
 SMALL = 4
@@ -114,11 +119,13 @@ def contained_items(spark: SparkSession, docs: DataFrame, items: DataFrame, perc
     item of one to four words is one shingle, its whole sequence, and matches just
     the documents that consist of it.  Texts that share an item_id are searched
     each by itself.  Each pair is given once, with the best containment of any of its
-    rows (ties: the largest overlap).  Empty tables give no rows; further columns are ignored.
+    rows (ties: the largest overlap), repeated documents too.  Empty tables give no rows; further columns are ignored.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
-    rounds = max(1, -(-items.count() // ROUND))
+    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
+    rounds = max(1, -(-size["n"] // ROUND), -(-size["chars"] // ROUND_CHARS))
+    scratch = Scratch(spark, "contained")
     found = None
     for k in range(rounds):
         part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(rounds)) == k) if rounds > 1 else items
@@ -129,6 +136,8 @@ def contained_items(spark: SparkSession, docs: DataFrame, items: DataFrame, perc
                 held[i, s.tobytes()] = s
         sets = sorted(held.items())
         new = texts.mapInArrow(_search(Index([(k, s) for k, (_, s) in enumerate(sets)]), [i for (i, _), _ in sets], percent), "doc_id long, item_id long, shared long, item_shingles long")
+        if rounds > 1:
+            new = scratch.save(new, f"round-{k}")
         found = new if found is None else found.unionByName(new)
     # the best containment, of equal ones the largest overlap; shared and item_shingles are those of one set
     best = F.max(F.struct((F.col("shared") / F.col("item_shingles")).alias("share"), "shared", "item_shingles")).alias("best")
@@ -136,6 +145,7 @@ def contained_items(spark: SparkSession, docs: DataFrame, items: DataFrame, perc
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, percent: int = 80) -> DataFrame:
-    """The documents that hold no item; columns stay as they are."""
-    found = contained_items(spark, docs, items, percent).select("doc_id").distinct()
-    return docs.join(Scratch(spark, "leaks").save(found, "found"), "doc_id", "left_anti")
+    """The documents that hold no item, row by row: null and repeated ids play no part.  Columns stay as they are."""
+    rows = docs.select(row_key(docs).alias("doc_id"), "text")
+    found = contained_items(spark, rows, items, percent).select("doc_id").distinct()
+    return without_rows(docs, Scratch(spark, "leaks").save(found, "found"))

@@ -4,7 +4,9 @@ One 4-gram model per language, from counts over every training document.  Letter
 are lower-cased and every run of other characters is one space.  The models stand
 in sorted arrays of 64-bit hashes with an index over their leading bits; beside a
 hash are the log-probabilities that all languages give the last character after
-the first three.  A text goes to the language of lowest cross-entropy per
+the first three.  Models that are too large for one worker are cut into shards by the
+two middle characters of a gram, which keeps all of a gram's orders but the lowest two
+together; every shard is a pass that adds its part to the sums of each row.  A text goes to the language of lowest cross-entropy per
 character.  It is rejected if that is higher than nearly all of the language's own
 training documents of similar length have (mean plus Z deviations, the deviation
 of a text of n characters being sqrt(a + b / n) with a and b fitted by groups of
@@ -28,10 +30,12 @@ ORDER = 4
 CHUNK = 250_000
 #: Deviations above a language's mean at which a text is rejected.
 Z = 8.0
-#: Entries of the models that go to the executors at once; more languages than fit take several passes.
-ENTRIES = 40_000_000
+#: Log-probabilities (grams times languages) that go to the executors at once, 4 bytes each; larger models take several passes.
+CELLS = 60_000_000
 UNKNOWN = "und"
 U = np.uint64
+PAIR = (1 << 32) - 1
+TRIPLE = (1 << 48) - 1
 
 
 def _letters() -> np.ndarray:
@@ -133,27 +137,45 @@ def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, keys[at] == wanted
 
 
+def _discount(values: np.ndarray) -> float:
+    return _share(int((values == 1).sum()), int((values == 2).sum()))
+
+
+def _share(n1: int, n2: int) -> float:
+    return n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+
+
+def _shorter(keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k - 1 last characters of grams of k, each counted once for every character seen before it."""
+    keys, _, sizes = _group(keys & U((1 << 16 * (k - 1)) - 1), np.ones(len(keys)))
+    return keys, sizes.astype(float)
+
+
 class KneserNey:
-    """One language: counts of 4-grams and, below, of the different characters before a shorter gram."""
+    """One language: counts of 4-grams and, below, of the different characters before a shorter gram.
+
+    A shard has the 4-grams of some middle pairs; ``pairs`` (all pairs of the language with
+    their counts) and ``discounts`` (those of orders 4 and 3) then come from the whole language.
+    """
 
-    def __init__(self, grams: np.ndarray, counts: np.ndarray) -> None:
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, pairs: tuple[np.ndarray, np.ndarray] | None = None, discounts: tuple[float, float] | None = None) -> None:
         order = np.argsort(grams)
-        keys, values = grams[order], counts[order].astype(float)
+        four = grams[order], counts[order].astype(float)
+        three = _shorter(four[0], 4)
+        two = _shorter(three[0], 3) if pairs is None else pairs
+        one = _shorter(two[0], 2)
         self.orders = []
-        for k in range(ORDER, 0, -1):
-            n1, n2 = (values == 1).sum(), (values == 2).sum()
-            discount = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-            contexts, totals, kinds = _group(keys >> U(16), values)
-            self.orders.append((keys, values, discount, contexts, totals, kinds))
-            if k > 1:  # a shorter gram counts once for each character seen before it
-                keys, _, sizes = _group(keys & U((1 << 16 * (k - 1)) - 1), values)
-                values = sizes.astype(float)
-        self.characters = len(self.orders[-1][0]) + 1
+        for k, (keys, values) in enumerate((four, three, two, one)):
+            discount = discounts[k] if discounts and k < 2 else _discount(values)
+            self.orders.append((keys, values, discount, *_group(keys >> U(16), values)))
+        self.characters = len(one[0]) + 1
 
     def log_p(self, grams: np.ndarray) -> np.ndarray:
         """Log-probability of each gram's last character after the ones before it."""
         p = np.full(len(grams), 1.0 / self.characters)
         for k, (keys, values, discount, contexts, totals, kinds) in zip(range(1, ORDER + 1), reversed(self.orders), strict=True):
+            if not len(keys):
+                continue
             wanted = grams & U((1 << 16 * k) - 1) if k < 4 else grams
             at, seen = _found(keys, wanted)
             c, known = _found(contexts, wanted >> U(16))
@@ -163,12 +185,12 @@ class KneserNey:
 
 
 class Models:
-    """All languages over the union of their 4-grams, in sorted hash arrays."""
+    """All languages over the union of their 4-grams, in sorted hash arrays; ``part`` of ``parts`` shards."""
 
     BITS = 18
 
-    def __init__(self, models: dict[str, KneserNey]) -> None:
-        self.models = models
+    def __init__(self, models: dict[str, KneserNey], part: int = 0, parts: int = 1) -> None:
+        self.models, self.part, self.parts = models, part, parts
         self.langs = sorted(models)
         grams = np.unique(np.concatenate([m.orders[0][0] for m in models.values()]))
         hashes = mix(grams)
@@ -178,8 +200,10 @@ class Models:
         self.index = np.searchsorted(self.hashes, np.arange(1 << self.BITS, dtype=U) << U(64 - self.BITS)).astype(np.int64)
         self.longest = int(np.diff(np.append(self.index, len(self.hashes))).max())
 
-    def cross_entropies(self, grams: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """A row per text and a column per language, in nats a character; for texts with at least one gram."""
+    def logs(self, grams: np.ndarray) -> np.ndarray:
+        """A row per gram and a column per language."""
+        if not len(self.hashes):
+            return self._unseen(grams)
         hashes = mix(grams)
         at = self.index[(hashes >> U(64 - self.BITS)).astype(np.int64)]
         last = len(self.hashes) - 1
@@ -192,85 +216,122 @@ class Models:
         logs = self.log_p[at]
         missing = np.flatnonzero(self.hashes[at] != hashes)
         if len(missing):
-            unseen, back = np.unique(grams[missing], return_inverse=True)
-            logs[missing] = np.stack([self.models[x].log_p(unseen) for x in self.langs], axis=1).astype(np.float32)[back]
-        begins = np.concatenate(([0], np.cumsum(sizes)))[:-1]
-        return -np.add.reduceat(logs, begins, axis=0, dtype=np.float64) / sizes[:, None]
+            logs[missing] = self._unseen(grams[missing])
+        return logs
+
+    def _unseen(self, grams: np.ndarray) -> np.ndarray:
+        distinct, back = np.unique(grams, return_inverse=True)
+        return np.stack([self.models[x].log_p(distinct) for x in self.langs], axis=1).astype(np.float32)[back]
+
+    def sums(self, grams: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Sums over the grams of this shard: a row per text and a column per language."""
+        out = np.zeros((len(sizes), len(self.langs)))
+        if self.parts > 1:
+            mine = (grams >> U(16) & U(PAIR)) % U(self.parts) == U(self.part)
+            sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[mine], minlength=len(sizes))
+            grams = grams[mine]
+        some = np.flatnonzero(sizes)
+        if len(some):
+            begins = np.concatenate(([0], np.cumsum(sizes[some])))[:-1]
+            out[some] = np.add.reduceat(self.logs(grams), begins, axis=0, dtype=np.float64)
+        return out
+
+    def cross_entropies(self, grams: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """In nats a character, of a whole model; for texts with at least one gram."""
+        return -self.sums(grams, sizes) / sizes[:, None]
+
+
+ROWS = [("doc_id", pa.int64()), ("lang", pa.string()), ("text", pa.string()), ("n", pa.int64()), ("sums", pa.list_(pa.float64()))]
 
 
-def _scored(models: Models):
-    """mapInArrow: id, text -> id, characters scored, and cross-entropies by language, in the order of names."""
+def _scored(models: Models, last: bool):
+    """mapInArrow on the columns of ROWS: n (grams) and sums (log-probabilities by language) with this shard's part added; the last pass drops the text."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams()
         for batch in batches:
-            rows: list[list[float] | None] = []
-            sizes: list[int] = []
-            for part in _pieces(batch.column(1).to_pylist()):
+            sizes, rows, at = [], [], 0
+            before = batch.column("sums").to_pylist()
+            for part in _pieces(batch.column("text").to_pylist()):
                 g, n = grams.of(part)
-                out: list[list[float] | None] = [None] * len(part)
-                some = np.flatnonzero(n)
-                if len(some):
-                    for i, x in zip(some, models.cross_entropies(g, n[some]).tolist(), strict=True):
-                        out[i] = x
-                rows += out
+                added = models.sums(g, n)
+                for own in before[at : at + len(part)]:
+                    rows.append((added[len(rows) - at] + own if own else added[len(rows) - at]).tolist())
+                at += len(part)
                 sizes += n.tolist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "n", "xents"])
+            columns = {**{c: batch.column(c) for c in ("doc_id", "lang", "text")}, "n": pa.array(sizes, pa.int64()), "sums": pa.array(rows, pa.list_(pa.float64()))}
+            names = [c for c, _ in ROWS if not (last and c == "text")]
+            yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
 
     return run
 
 
 class Identifier:
-    def __init__(self, passes: list[Models], limits: dict[str, tuple[float, float, float]]) -> None:
-        self.passes, self.limits = passes, limits
+    """What was learned: counts of all grams, in a table, and what every shard needs of the whole."""
+
+    def __init__(self, counts: DataFrame, pairs: dict[str, tuple[np.ndarray, np.ndarray]], discounts: dict[str, tuple[float, float]], parts: int) -> None:
+        self.counts, self.pairs, self.discounts, self.parts = counts, pairs, discounts, parts
+        self.langs = sorted(pairs)
+
+    def models(self, part: int) -> Models:
+        """One shard, of about CELLS log-probabilities."""
+        mine = self.counts.where((F.shiftrightunsigned("gram", 16).bitwiseAND(F.lit(PAIR)) % self.parts) == part) if self.parts > 1 else self.counts
+        rows = mine.select("lang", "gram", "n").toArrow()
+        langs = rows.column("lang").combine_chunks().dictionary_encode() if rows.num_rows else None
+        names = langs.dictionary.to_pylist() if langs is not None else []
+        grams, n = rows.column("gram").to_numpy().astype(np.int64).view(U), rows.column("n").to_numpy()
+        code = langs.indices.to_numpy() if langs is not None else np.empty(0, np.int32)
+        made = {}
+        for lang in self.langs:
+            own = code == names.index(lang) if lang in names else np.zeros(len(code), bool)
+            made[lang] = KneserNey(grams[own], n[own], self.pairs[lang], self.discounts[lang])
+        return Models(made, part, self.parts)
 
 
 def _counts(train: DataFrame) -> DataFrame:
     return train.select("lang", "text").mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def learn(spark: SparkSession, train: DataFrame) -> Identifier:
-    """Models of every language among the rows of ``lang, text``; rows with a null are left out.
+def learn(spark: SparkSession, train: DataFrame) -> Identifier | None:
+    """What the rows of ``lang, text`` teach; rows with a null are left out, and without any there is nothing (None).
 
-    Counts come from all rows.  Their distinct 4-grams, not the texts, set the size
-    of the models; languages are taken in groups of at most ENTRIES grams, and each
-    group is a pass of its own over the texts to be scored.
+    Counts come from all rows and stay in a table.  The driver holds one shard at a
+    time, and beside it the pairs of characters of each language, of which any script has some millions at most.
     """
     scratch = Scratch(spark, "languages")
     train = train.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang is not null and text is not null")
     counts = scratch.save(_counts(train), "counts")
-    sizes = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    groups: list[list[str]] = []
-    held = 0
-    for lang in sorted(sizes):
-        if not groups or held + sizes[lang] > ENTRIES:
-            groups.append([])
-            held = 0
-        groups[-1].append(lang)
-        held += sizes[lang]
-    passes = []
-    for group in groups:
-        models = {}
-        for lang in group:
-            table = counts.where(F.col("lang") == lang).select("gram", "n").toArrow()
-            models[lang] = KneserNey(table.column(0).to_numpy().astype(np.int64).view(U), table.column(1).to_numpy())
-        passes.append(Models(models))
-    return Identifier(passes, {})
-
-
-def _best(docs: DataFrame, identifier: Identifier) -> DataFrame:
-    """Adds to doc_id and text's other columns: n, lang_pred, xent (the lowest), score."""
-    out = None
-    for models in identifier.passes:
-        one = docs.select("doc_id", "text").mapInArrow(_scored(models), "doc_id long, n long, xents array<double>")
-        names = F.array(*[F.lit(x) for x in models.langs])
-        one = one.select("doc_id", "n", F.expr("array_min(xents)").alias("xent"), F.when(F.col("n") > 0, F.element_at(names, F.array_position("xents", F.array_min("xents")).cast("int"))).alias("lang_pred"), F.expr("aggregate(xents, 0d, (a, x) -> a + exp(-8 * least(80d, x - array_min(xents))))").alias("mass"))
-        out = one if out is None else out.unionByName(one)
-    if len(identifier.passes) > 1:  # per document, the best of all groups; masses are brought to the same lowest value
-        least = out.groupBy("doc_id").agg(F.min("xent").alias("low"))
-        out = out.join(least, "doc_id").groupBy("doc_id", "n").agg(F.min("xent").alias("xent"), F.min_by("lang_pred", "xent").alias("lang_pred"), F.sum(F.col("mass") * F.exp(-8 * F.least(F.lit(80.0), F.col("xent") - F.col("low")))).alias("mass"))
-    return out.select("doc_id", "n", "xent", F.coalesce("lang_pred", F.lit(UNKNOWN)).alias("lang_pred"), F.coalesce(1 / F.col("mass"), F.lit(0.0)).alias("score"))
+    shorter = lambda rows, mask: rows.groupBy("lang", F.col("gram").bitwiseAND(F.lit(mask)).alias("gram")).agg(F.count("*").alias("n"))
+    threes = scratch.save(shorter(counts, TRIPLE), "threes")
+    few = [F.count_if(F.col("n") == k).alias(f"n{k}") for k in (1, 2)]
+    discounts: dict[str, list[float]] = {}
+    for table in (counts, threes):
+        for r in table.groupBy("lang").agg(*few).collect():
+            discounts.setdefault(r["lang"], []).append(_share(r["n1"], r["n2"]))
+    rows = shorter(threes, PAIR).orderBy("lang", "gram").toArrow()
+    langs, keys, n = rows.column("lang").to_pylist(), rows.column("gram").to_numpy().astype(np.int64).view(U), rows.column("n").to_numpy().astype(float)
+    pairs = {}
+    for lang in discounts:
+        own = np.array([x == lang for x in langs])
+        order = np.argsort(keys[own])
+        pairs[lang] = keys[own][order], n[own][order]
+    if not pairs:
+        return None
+    cells = counts.select("gram").distinct().count() * len(pairs)
+    parts = -(-cells // CELLS)
+    return Identifier(counts, pairs, {k: (v[0], v[1]) for k, v in discounts.items()}, parts + (parts > 1 and parts % 2 == 0))
+
+
+def _sums(docs: DataFrame, identifier: Identifier, scratch: Scratch) -> DataFrame:
+    """doc_id, lang, n and sums of every row; rows are never joined, so nulls and repeats stay rows of their own."""
+    rows = docs.select("doc_id", "lang", "text", F.lit(None).cast("long").alias("n"), F.lit(None).cast("array<double>").alias("sums"))
+    for part in range(identifier.parts):
+        last = part == identifier.parts - 1
+        rows = scratch.save(rows.mapInArrow(_scored(identifier.models(part), last), "doc_id long, lang string, " + "text string, " * (not last) + "n long, sums array<double>"), f"pass-{part}")
+        if part:
+            scratch.drop(f"pass-{part - 1}")
+    return rows
 
 
 def identified(spark: SparkSession, docs: DataFrame, is_training: Column, identifier: Identifier | None = None) -> DataFrame:
@@ -280,16 +341,20 @@ def identified(spark: SparkSession, docs: DataFrame, is_training: Column, identi
     neither lang nor text is null; limits for rejection come from the same rows.
     Null texts and texts without a letter are ``und`` with score 0, not accepted;
     so is everything if there is nothing to learn from.  Ties go to the language
-    that sorts first.  Repeated rows are scored each; an empty table gives no rows.
+    that sorts first.  Repeated rows and null ids are scored each; an empty table gives no
+    rows; further columns are ignored.  Very long texts are scored whole, in pieces of texts, not of a text.
     """
     scratch = Scratch(spark, "identified")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.coalesce(is_training, F.lit(False)).alias("training"))
-    identifier = identifier or learn(spark, docs.where("training"))
-    if not identifier.passes:
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.when(F.coalesce(is_training, F.lit(False)), F.col("lang").cast("string")).alias("lang"))
+    identifier = identifier or learn(spark, docs)
+    if identifier is None:
         return docs.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("xent"), F.lit(False).alias("accepted"))
-    best = scratch.save(_best(docs, identifier), "best")
-    own = best.join(docs.where("training and lang is not null").select("doc_id", "lang"), "doc_id").where("lang = lang_pred and n > 0")
-    groups = own.groupBy("lang", F.floor(F.log2("n")).alias("size")).agg(F.count("*").alias("k"), F.avg("xent").alias("m"), F.var_pop("xent").alias("v"), F.avg(1 / F.col("n")).alias("inverse")).collect()
+    names = F.array(*[F.lit(x) for x in identifier.langs])
+    best = _sums(docs, identifier, scratch).withColumn("xents", F.when(F.col("n") > 0, F.transform("sums", lambda x: -x / F.col("n"))))
+    best = best.withColumn("xent", F.array_min("xents")).withColumn("lang_pred", F.when(F.col("n") > 0, F.element_at(names, F.array_position("xents", F.col("xent")).cast("int"))))
+    mass = F.aggregate("xents", F.lit(0.0), lambda a, x: a + F.exp(-8 * F.least(F.lit(80.0), x - F.col("xent"))))
+    best = best.select("doc_id", "lang", "n", "xent", F.coalesce("lang_pred", F.lit(UNKNOWN)).alias("lang_pred"), F.coalesce(1 / mass, F.lit(0.0)).alias("score"))
+    groups = best.where("lang = lang_pred and n > 0").groupBy("lang", F.floor(F.log2("n")).alias("size")).agg(F.count("*").alias("k"), F.avg("xent").alias("m"), F.var_pop("xent").alias("v"), F.avg(1 / F.col("n")).alias("inverse")).collect()
     limits = {}
     for lang in {r["lang"] for r in groups}:
         rows = [r for r in groups if r["lang"] == lang]

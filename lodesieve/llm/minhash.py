@@ -9,10 +9,13 @@ five-word shingles reaches a threshold, tested in whole numbers on the full sets
 3. Every band of a representative's minima names a bucket.  Each bucket's largest
    class is compared with the other members: one pair per member, never all pairs.
    Pairs pass a size bound, an estimate from the minima and the exact test.
-4. Buckets whose members are still in several components are compared in full,
-   in square tiles of at most TILE by TILE members inside one task.  A tile gives
-   back links that join components, not pairs.
-5. Components come from alternating large-star and small-star.
+4. Buckets of more than a tile whose members are still in several components get
+   another member to be compared with all that aren't in its component, up to STARS
+   times, each as dear as the bucket is long.
+5. Buckets whose members are still in several components are compared in full,
+   in square tiles of about TILE by TILE members, fewer where their sets are large,
+   inside one task.  A tile gives back links that join components, not pairs.
+6. Components come from alternating large-star and small-star.
 
 With 26 bands of 5 rows a pair at 0.85 shares no bucket with probability 2.4e-7;
 at 0.80 with 34 bands, 1.4e-6.
@@ -29,10 +32,16 @@ from pyspark.sql import functions as F
 
 from lodesieve.llm.components import components
 from lodesieve.llm.memory import tidy
+from lodesieve.llm.rows import row_key
 from lodesieve.llm.scratch import Scratch
+from lodesieve.llm.skew import join_one
 from lodesieve.llm.words import Minima, mix, shingle_sets
 
-TILE = 512
+#: Members on a side of a tile, and shingles of their sets (8 bytes each).
+TILE = 1024
+TILE_SHINGLES = 8 << 20
+#: Further members that a large bucket is compared with before it is cut into tiles.
+STARS = 3
 SEED = 20240229
 U = np.uint64
 
@@ -227,6 +236,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     links = scratch.save(_with(pairs, sets, "shingles").mapInArrow(_verified(percent), "u long, v long"), "star-links")
     found = scratch.save(components(links, scratch, "stars"), "found")
 
+    for k in range(STARS):
+        again = _star_pairs(scratch, members, found, k)
+        if again is None:
+            break
+        new = _with(again, minima, "minima").mapInArrow(_estimated(least), "u long, v long")
+        new = scratch.save(_with(new, sets, "shingles").mapInArrow(_verified(percent), "u long, v long"), f"star-links-{k}")
+        if not new.head(1):
+            break
+        links = links.unionByName(new)
+        found = scratch.save(components(links, scratch, f"stars-{k}"), f"found-{k}")
+
     more = _rest(scratch, members, found, minima, sets, least, percent)
     whole = scratch.save(components(links.unionByName(more), scratch, "all"), "whole") if more.head(1) else found
     labels = scratch.save(classes.join(whole.withColumnRenamed("node", "class"), "class", "left").select(*key, F.coalesce("component", "class").alias("component_id")), "labels")
@@ -249,13 +269,29 @@ def _with(pairs: DataFrame, values: DataFrame, name: str) -> DataFrame:
     return pairs.join(one, "u").join(two, "v").select("u", "v", "a", "b")
 
 
+def _placed(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Members of buckets with their components."""
+    return members.select("bucket", "members", "doc", "n").join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+
+
+def _star_pairs(scratch: Scratch, members: DataFrame, found: DataFrame, k: int) -> DataFrame | None:
+    """For large buckets in several components: every member against one that the round's hash picks, unless they are joined already.  None: no such bucket."""
+    placed = _placed(members.where(F.col("members") > TILE), found)
+    picked = placed.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min_by(F.struct("doc", "n", "component"), F.xxhash64(F.lit(k), "doc")).alias("star"))
+    picked = scratch.save(picked.where("c0 <> c1").select("bucket", "star"), f"picked-{k}")
+    if not picked.head(1):
+        return None
+    pairs = join_one(placed, picked, ["bucket"]).where("component <> star.component")
+    return scratch.save(pairs.select(F.col("doc").alias("u"), F.col("star.doc").alias("v")).distinct(), f"star-pairs-{k}")
+
+
 def _rest(scratch: Scratch, members: DataFrame, found: DataFrame, minima: DataFrame, sets: DataFrame, least: int, percent: int) -> DataFrame:
     """Links between components that share a bucket."""
-    placed = members.select("bucket", "members", "doc", "n").join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    placed = scratch.save(placed, "placed")
-    open_ = placed.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.max("members").alias("members"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("content"))
+    placed = scratch.save(_placed(members, found), "placed")
+    open_ = placed.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.max("members").alias("members"), F.sum("n").alias("shingles"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("content"))
     # buckets of several bands with the same members are one
-    open_ = open_.where("c0 <> c1").groupBy("members", "content").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("members") / TILE).cast("int").alias("blocks"))
+    open_ = open_.where("c0 <> c1").groupBy("members", "content").agg(F.min("bucket").alias("bucket"), F.max("shingles").alias("shingles"))
+    open_ = open_.select("bucket", F.greatest(F.ceil(F.col("members") / TILE), F.ceil(F.col("shingles") / TILE_SHINGLES)).cast("int").alias("blocks"))
     open_ = scratch.save(open_, "open")
     tiles = placed.select("bucket", "doc", "n", "component").join(open_, "bucket").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     tiles = tiles.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc", "n", "component")
@@ -267,9 +303,20 @@ def _rest(scratch: Scratch, members: DataFrame, found: DataFrame, minima: DataFr
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, percent: int = 85, bands: int = 26) -> DataFrame:
-    """The documents, less all but the smallest id of each group of near duplicates.
+    """The documents, less all rows but one of each group of near duplicates: the one of least doc_id (null last; ties by a hash of the row).
 
-    Columns and rows without an id stay as they are.
+    Every row is judged by its own text, whatever its id; of rows that are equal in doc_id, text, lang and
+    source one stays.  Rows without words stay all.  Columns stay as they are.
     """
-    gone = near_duplicates(spark, docs, percent=percent, bands=bands).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(Scratch(spark, "near-duplicates-gone").save(gone, "gone"), "doc_id", "left_anti")
+    scratch = Scratch(spark, "near-duplicates-gone")
+    keyed = docs.select(row_key(docs).alias("key"), F.col("doc_id").cast("long").alias("id"), "text")
+    found = near_duplicates(spark, keyed, "key", percent=percent, bands=bands)
+    rows = scratch.save(keyed.select("key", "id").join(found.where("n_shingles > 0").select(F.col("doc_id").alias("key"), "component_id"), "key"), "members")
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "key")
+    first = rows.groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first.key").alias("key"))
+    gone = scratch.save(rows.select("key").distinct().join(first, "key", "left_anti"), "gone")
+    left = docs.withColumn("_row", row_key(docs)).join(gone.withColumnRenamed("key", "_row"), "_row", "left_anti")
+    repeated = scratch.save(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("_row")), "repeated")
+    if repeated.head(1):
+        left = left.join(repeated, "_row", "left_anti").unionByName(left.join(repeated, "_row", "left_semi").dropDuplicates(["_row"]))
+    return left.select(docs.columns)

@@ -9,7 +9,8 @@
    the shares differ between hosts (paths) beyond chance, so sites with few
    documents keep close to what stands above them.
 3. A document's posterior is its own evidence moved by the log-odds of its path
-   against the global share.
+   against the global share.  The path's and the host's sums leave the document itself
+   out, so that its evidence counts once.
 
 The site is ``source``: what precedes its first ``/``, after a scheme if it has one,
 is the host, and the next segment the path.
@@ -24,11 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodesieve.llm.memory import tidy
 from lodesieve.llm.scratch import Scratch
+from lodesieve.llm.skew import join_one
 
 #: Bound on the labelled documents of either label that fitting takes.
 SAMPLE = 4000
@@ -128,16 +130,18 @@ def _shrunk(sites: DataFrame, above: str) -> float:
     return min(1e6, max(1.0, r["chance"] / excess - 1)) if excess > 1e-12 else 1e6
 
 
-def judged(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
+def judged(spark: SparkSession, docs: DataFrame, labels: DataFrame, key: Column | None = None) -> DataFrame:
     """``doc_id, score, accepted, evidence, host, path`` for every row of ``doc_id, text, source``.
 
+    ``key`` (a long) is given back in place of doc_id, by which labels are found.
+
     ``score`` is the posterior that the document is good; it is accepted from 0.5 on.
-    A null source is an empty host.  Null, empty and very long texts and repeated
+    A null source is an empty host.  Null, empty and very long texts, null ids and repeated
     rows are judged like any; an empty table gives no rows; further columns are ignored.
     """
     scratch = Scratch(spark, "judged")
     weights = learn(spark, docs, labels)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.col("text").cast("string").alias("text"))
+    rows = docs.select((F.col("doc_id").cast("long") if key is None else key).alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.col("text").cast("string").alias("text"))
     site = F.split(F.regexp_replace("source", r"^[A-Za-z][A-Za-z0-9+.\-]*://", ""), "/", 3)
     seen = scratch.save(rows.mapInArrow(_evidence(weights), "doc_id long, source string, evidence double").select("doc_id", "evidence", F.lower(site[0]).alias("host"), F.coalesce(F.get(site, F.lit(1)), F.lit("")).alias("path")), "seen")
     p = 1 / (1 + F.exp(-F.col("evidence")))
@@ -146,11 +150,14 @@ def judged(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame
     prior = (whole["good"] + 0.5) / (whole["n"] + 1) if whole["n"] else 0.5
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).withColumn("prior", F.lit(prior))
     k_host = _shrunk(hosts, "prior")
-    hosts = scratch.save(hosts.select("host", ((F.col("good") + k_host * prior) / (F.col("n") + k_host)).alias("host_share")), "hosts")
-    placed = scratch.save(paths.join(hosts, "host"), "placed")
+    hosts = scratch.save(hosts.select("host", F.col("n").alias("host_n"), F.col("good").alias("host_good")), "hosts")
+    placed = scratch.save(join_one(paths, hosts, ["host"]).withColumn("host_share", (F.col("host_good") + k_host * prior) / (F.col("host_n") + k_host)), "placed")
     k_path = _shrunk(placed, "host_share")
-    share = (F.col("good") + k_path * F.col("host_share")) / (F.col("n") + k_path)
-    logit = lambda c: F.log(c / (1 - c))
-    moves = scratch.save(placed.select("host", "path", (logit(F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), share))) - math.log(prior / (1 - prior))).alias("move")), "moves")
-    out = seen.join(moves, ["host", "path"]).withColumn("score", 1 / (1 + F.exp(-(F.col("evidence") + F.col("move")))))
+    # the document's own part is taken out of its path and its host
+    out = join_one(seen, placed.select("host", "path", "n", "good", "host_n", "host_good"), ["host", "path"])
+    host_share = (F.greatest(F.lit(0.0), F.col("host_good") - p) + k_host * prior) / (F.col("host_n") - 1 + k_host)
+    share = (F.greatest(F.lit(0.0), F.col("good") - p) + k_path * host_share) / (F.col("n") - 1 + k_path)
+    share = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), share))
+    move = F.log(share / (1 - share)) - math.log(prior / (1 - prior))
+    out = out.withColumn("score", 1 / (1 + F.exp(-(F.col("evidence") + move))))
     return out.select("doc_id", "score", (F.col("score") >= 0.5).alias("accepted"), "evidence", "host", "path")

@@ -43,7 +43,7 @@ def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.learn(spark, docs, labels.where(remainder(5) != 0))
-    return toxicity.scored(docs, model, spans=False).select("doc_id", (remainder(5) == 0).alias("held_out"), "score", "predicted")
+    return toxicity.scored(docs, model).select("doc_id", (remainder(5) == 0).alias("held_out"), "score", "predicted", "offending")
 
 
 def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +68,7 @@ def token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encoded(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), with_ids=False)
+    return bpe.encoded(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
 def embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

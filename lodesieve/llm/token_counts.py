@@ -8,7 +8,9 @@ documents, and c for each other) and any quantile.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -18,7 +20,7 @@ from lodesieve.llm.memory import tidy
 from lodesieve.llm.pretokens import loaded
 from lodesieve.llm.scratch import Scratch
 
-#: Lengths of one block of the two-level suffix sum.
+#: Lengths of one block of the two-level suffix sum: the most rows that one window's task holds of a block.
 BLOCK = 1024
 
 
@@ -33,7 +35,10 @@ def _lengths(path: str):
 
 
 def token_lengths(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame:
-    """``n_tokens`` for every row; a null or empty text has 0."""
+    """``n_tokens`` for every row; a null or empty text has 0.
+
+    Repeated rows count each; very long texts are encoded whole; an empty table gives no rows; further columns are ignored.
+    """
     return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_lengths(tokenizer), "n_tokens long")
 
 
@@ -61,7 +66,11 @@ def truncated_total(histogram: DataFrame, limit: int) -> DataFrame:
     return histogram.agg(F.coalesce(F.sum(F.least("n_tokens", F.lit(limit)) * F.col("n_docs")), F.lit(0)).alias("total"))
 
 
-def length_quantile(histogram: DataFrame, q: float) -> DataFrame:
-    """One row ``length``: the least length that at least a share q of the documents doesn't exceed; null if empty."""
+def length_quantile(histogram: DataFrame, q: float | str | Fraction) -> DataFrame:
+    """One row ``length``: the least length that at least a share q of the documents doesn't exceed; null if empty.
+
+    q counts as the decimal that it is written as, so that 0.9 of ten documents are nine.
+    """
     n = histogram.agg(F.max("docs_at_least")).first()[0] or 0
-    return histogram.where(F.col("docs_at_least") - F.col("n_docs") <= n * (1 - q)).agg(F.min("n_tokens").alias("length"))
+    longer = n - math.ceil((q if isinstance(q, Fraction) else Fraction(str(q))) * n)
+    return histogram.where(F.col("docs_at_least") - F.col("n_docs") <= longer).agg(F.min("n_tokens").alias("length"))

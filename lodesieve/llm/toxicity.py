@@ -120,18 +120,28 @@ class Model:
         get = self.weights.get
         return [1 / (1 + math.exp(-max(-60.0, min(60.0, self.bias + sum(get(w, 0.0) for w in set(words(s))))))) for s in sentences(text)]
 
-    def score(self, text: str | None) -> float:
-        """Noisy-or over the sentences; a text without any scores as one neutral sentence."""
+    def judged(self, text: str | None) -> tuple[float, list[str]]:
+        """Noisy-or over the sentences, and the sentences that offend; a text without any scores as one neutral sentence.
+
+        A text whose sentences offend only together gives the one of highest score.
+        """
         if not text:
-            return -math.expm1(self.plain)
+            return -math.expm1(self.plain), []
         known = self.weights
-        if not any(w in known for w in words(text)):
-            return -math.expm1(self.plain * max(1, len(sentences(text))))
-        none = 0.0
-        for s in sentences(text):
+        parts = sentences(text)
+        if self.bias < 0 and not any(w in known for w in words(text)):
+            return -math.expm1(self.plain * max(1, len(parts))), []
+        none, logits = 0.0, []
+        for s in parts:
             hit = {w for w in words(s) if w in known}
-            none += -float(np.logaddexp(0, self.bias + sum(known[w] for w in hit))) if hit else self.plain
-        return -math.expm1(none)
+            logits.append(self.bias + sum(known[w] for w in hit))
+            none += -float(np.logaddexp(0, logits[-1])) if hit else self.plain
+        score = -math.expm1(none)
+        least = min(0.0, max(logits, default=0.0)) if score >= 0.5 else 0.0
+        return score, [s.strip() for s, z in zip(parts, logits, strict=True) if z >= least]
+
+    def score(self, text: str | None) -> float:
+        return self.judged(text)[0]
 
 
 def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, target: str = "toxic") -> Model:
@@ -157,25 +167,22 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, target: str =
     return Model(weights, next((r["weight"] for r in rows if r["word"] is None), -10.0))
 
 
-def _scores(model: Model, spans: bool):
+def _scores(model: Model):
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1)
-            columns = [batch.column(0), pa.array([model.score(t.as_py()) for t in texts], pa.float64())]
-            if spans:
-                columns.append(pa.array([[s.strip() for s, p in zip(sentences(t), model.sentence_scores(t), strict=True) if p >= 0.5] for t in (x.as_py() or "" for x in texts)], pa.list_(pa.string())))
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", "offending"][: len(columns)])
+            made = [model.judged(t.as_py()) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m[0] for m in made], pa.float64()), pa.array([m[1] for m in made], pa.list_(pa.string()))], ["doc_id", "score", "offending"])
 
     return run
 
 
-def scored(docs: DataFrame, model: Model, spans: bool = True) -> DataFrame:
-    """``doc_id, score, predicted`` for every row and, if asked for, the ``offending`` sentences.
+def scored(docs: DataFrame, model: Model) -> DataFrame:
+    """``doc_id, score, predicted`` and the ``offending`` sentences (those that score 0.5 or more) of every row.
 
-    Null and empty texts score as one neutral sentence; repeated rows are scored
-    each; further columns are ignored.
+    Null and empty texts score as one neutral sentence and have none that offends; very long
+    texts are read whole; repeated rows are scored each; an empty table gives no rows; further columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = rows.mapInArrow(_scores(model, spans), "doc_id long, score double" + ", offending array<string>" * spans)
+    out = rows.mapInArrow(_scores(model), "doc_id long, score double, offending array<string>")
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

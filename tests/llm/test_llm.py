@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lodesieve.llm import bpe, chat, contamination, embedding_dedup, langid, minhash, pretokens, quality, records, token_counts, toxicity
+from lodesieve.llm import bpe, chat, contamination, embedding_dedup, langid, minhash, pretokens, quality, records, skew, token_counts, toxicity
 from lodesieve.llm.components import components
 from lodesieve.llm.queries import tokenizer
 from lodesieve.llm.scratch import Scratch
@@ -66,7 +66,9 @@ def closed(label, links):
 # components
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hot", [50_000, 20])
+def test_components(spark, monkeypatch, hot):
+    monkeypatch.setattr(skew, "HOT", hot)
     r = random.Random(5)
     links = [(r.randint(0, 300), r.randint(0, 300)) for _ in range(180)] + [(500, k) for k in range(501, 560)] + [(k, k + 1) for k in range(600, 700)]
     rows = [*links, (3, 3), (None, 4), links[0]]
@@ -90,15 +92,15 @@ def tree_rows():
 def test_chat_trees(spark, per_tree):
     nodes = spark.createDataFrame([(*r, 1) for r in tree_rows()], "tree string, node long, parent long, score double, role string, text string, depth int")
     got = chat.format_trees(nodes, Scratch(spark, "t"), per_tree).collect()
-    by = {r[1]: r for r in tree_rows() if r[0]}
+    by = {r[1]: r for r in tree_rows()}
     paths = []
-    for leaf in (5, 4, 7):
+    for leaf in (5, 4, 7, 10):
         path = [leaf]
         while by[path[-1]][2] in by:
             path.append(by[path[-1]][2])
         paths.append((by[leaf][0], leaf, sum(by[k][3] or 0 for k in path), path[::-1]))
     want = {}
-    for tree in "tu":
+    for tree in ("t", "u", None):
         for k, p in enumerate(sorted((p for p in paths if p[0] == tree), key=lambda p: (-p[2], p[1]))[:per_tree]):
             want[p[1]] = (tree, k + 1, p[2], p[3])
     assert {r["leaf"]: (r["tree"], r["rank"], r["path_score"]) for r in got} == {k: v[:3] for k, v in want.items()}
@@ -110,12 +112,22 @@ def test_chat_trees(spark, per_tree):
         assert masked == [code(by[n][5] or "") for n in want[r["leaf"]][3] if by[n][4] == "assistant"]
 
 
+def test_repeated_nodes_are_in_a_path_once(spark, monkeypatch):
+    """And a root with many replies is joined without gathering them."""
+    monkeypatch.setattr(skew, "HOT", 10)
+    rows = [("t", 1, None, 1.0, "user", "a"), ("t", 2, 1, 1.0, "assistant", "b"), ("t", 3, 2, 1.0, "user", "c")]
+    many = rows + rows[:2] + [("t", 2, 1, 1.0, "assistant", "z")] + [("t", k, 1, 0.5, "assistant", f"r{k}") for k in range(10, 60)] + [("w", k, 900, 0.5, "user", "lost parent") for k in range(100, 130)]
+    got = {r["leaf"]: r for r in chat.format_trees(spark.createDataFrame(many, "tree string, node long, parent long, score double, role string, text string"), Scratch(spark, "t"), 1000).collect()}
+    assert set(got) == {3, *range(10, 60), *range(100, 130)} and got[3]["n_turns"] == 3 and got[3]["path_score"] == 3.0 and got[10]["n_turns"] == 2 and got[100]["n_turns"] == 1
+    assert got[3]["formatted"] == "### user\na\n</turn>\n### assistant\nb\n</turn>\n### user\nc\n</turn>\n"
+
+
 def test_chat_threads(spark):
     rows = [(1, t, "assistant" if t % 2 else "user", f"text {t} \\ # < \n </turn>") for t in range(300)] + [(2, 0, None, None), (2, 0, None, None), (3, 5, "r\n#", "😀"), (None, 0, "user", "x")]
     scratch = Scratch(spark, "t")
     turns = spark.createDataFrame([(*r, 1, 2) for r in rows], "conv_id long, turn long, role string, text string, node int, tree int")
     got = {r["conv_id"]: r for r in chat.digests(chat.format_trees(chat.thread_nodes(spark, turns, scratch), scratch)).collect()}
-    assert set(got) == {1, 2, 3}
+    assert set(got) == {1, 2, 3, None}
     for c, r in got.items():
         own = sorted((x[1], x[2] or "", x[3] or "") for x in rows if x[0] == c)
         loss = "".join(x[2] for x in own if x[1] == "assistant")
@@ -157,6 +169,50 @@ def test_toxicity(spark):
     assert toxicity.scored(docs.where("false"), model).count() == 0
 
 
+def test_toxicity_learns_what_plain_gradients_do():
+    """The fitted weights are where the plain noisy-or likelihood has no slope left."""
+    r = random.Random(4)
+    texts, labels = [], []
+    for k in range(120):
+        s = [prose(3000 + 7 * k + j, 4) for j in range(r.randint(1, 4))]
+        y = int(k % 3 == 0)
+        if r.random() < (0.95 if y else 0.1):
+            s[r.randrange(len(s))] += " grobian"
+        texts.append(". ".join(s))
+        labels.append(y)
+    labels = np.array(labels)
+    weights, bias = toxicity.fit(texts, labels, labels.mean())
+    names = sorted(weights)
+    known = [[{w for w in toxicity.words(x) if w in weights} for x in toxicity.sentences(t)] for t in texts]
+
+    def loss(w, b):
+        out = 0.0
+        for bag, y in zip(known, labels, strict=True):
+            none = np.prod([1 - 1 / (1 + np.exp(-(b + sum(w[x] for x in s)))) for s in bag])
+            out -= np.log(1 - none) if y else np.log(none)
+        return out / len(labels) + 0.5e-6 * sum(x * x for x in w.values())
+
+    at = loss(weights, bias)
+    for name in names:
+        for step in (-0.3, 0.3):
+            assert loss(weights | {name: weights[name] + step}, bias) > at - 1e-4
+    if bias < -1.0:
+        assert loss(weights, bias + 0.3) > at - 1e-4 and loss(weights, bias - 0.3) > at - 1e-4
+    assert weights["grobian"] > 2
+    model = toxicity.Model(weights, bias)
+    score, bad = model.judged("lo mi. x grobian y! nu ra")
+    assert bad == ["x grobian y!"] and score >= 0.5 and model.judged(None)[1] == [] == model.judged("lo")[1]
+
+
+def test_contradictory_and_repeated_labels(spark):
+    docs = toxic_table(spark)
+    labels = docs.select("doc_id", "toxic")
+    one = toxicity.learn(spark, docs, labels.where("doc_id % 4 <> 0"))
+    other = labels.where("doc_id % 4 = 0").selectExpr("doc_id", "explode(array(0, 1)) as toxic").unionByName(spark.createDataFrame([(None, 1), (7, None)], "doc_id long, toxic int"))
+    two = toxicity.learn(spark, docs, labels.where("doc_id % 4 <> 0").unionByName(labels.where("doc_id % 4 <> 0")).unionByName(other))
+    assert one.weights == two.weights and one.bias == two.bias
+
+
 # 3 language
 
 
@@ -179,6 +235,53 @@ def test_language(spark):
     assert langid.identified(spark, docs.where("false"), F.lit(True)).count() == 0
 
 
+def test_language_shards_and_limits(spark, monkeypatch):
+    """Many passes give what one gives, for ties, nulls and repeats too; limits, rejection and score are those of a plain version."""
+    sound = {"aa": "bcd", "bb": "bcd", "zz": "xyw"}
+    rows = []
+    for k in range(90):
+        r = random.Random(k // 3 if k % 3 < 2 else k)
+        lang = ("aa", "bb", "zz")[k % 3]
+        rows.append((k, " ".join("".join(r.choice(sound[lang]) + r.choice("aeiou") for _ in range(r.randint(1, 4))) for _ in range(r.randint(3, 40))), lang))
+    rows += [(None, rows[0][1], "aa"), (None, None, None), (5, rows[5][1], "zz"), (5, rows[4][1], None), (6, "qqq 你好 ñ", None), (7, "12", "aa")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    key = lambda r: (r["doc_id"] if r["doc_id"] is not None else -1, r["lang_pred"], round(r["score"], 9), round(r["xent"] or -1, 9), r["accepted"])
+    one = sorted(key(r) for r in langid.identified(spark, docs, F.lit(True)).collect())
+    grams = langid.Grams()
+    taught = {lang: grams.of([t for _, t, x in rows if x == lang and t])[0] for lang in sound}
+    models = {lang: langid.KneserNey(*np.unique(g, return_counts=True)) for lang, g in taught.items()}
+    scored = []
+    for d, text, lang in rows:
+        g, n = grams.of([text or ""])
+        x = [-models[m].log_p(g).astype(np.float32).astype(float).sum() / len(g) for m in sound] if len(g) else None
+        scored.append((d, lang, len(g), x, sorted(sound)[int(np.argmin(x))] if x else "und"))
+    limits = {}
+    for lang in sound:
+        own = [(n, min(x)) for _, y, n, x, best in scored if x and y == lang == best]
+        if not own:
+            continue
+        groups = {}
+        for n, x in own:
+            groups.setdefault(int(np.log2(n)), []).append((n, x))
+        k, m, v, inv = (np.array(c) for c in zip(*[(len(g), np.mean([x for _, x in g]), np.var([x for _, x in g]), np.mean([1 / n for n, _ in g])) for g in groups.values()], strict=True))
+        mean = (k * m).sum() / k.sum()
+        spread = v + (m - mean) ** 2
+        limits[lang] = mean, max((k * spread).sum() / k.sum(), 1e-3), max((k * inv * spread).sum() / (k * inv * inv).sum(), 1e-3)
+    plain = []
+    for d, _, n, x, best in scored:
+        score = 1 / sum(np.exp(-8 * min(80.0, y - min(x))) for y in x) if x else 0.0
+        fits = best in limits and min(x) <= limits[best][0] + langid.Z * np.sqrt(limits[best][1] + limits[best][2] / n)
+        plain.append((-1 if d is None else d, best, score, min(x) if x else -1, bool(fits)))
+    plain.sort()
+    assert [r[:2] + r[4:] for r in one] == [r[:2] + r[4:] for r in plain] and np.allclose([r[2:4] for r in one], [r[2:4] for r in plain], atol=1e-5)
+    assert len(one) == len(rows)
+    monkeypatch.setattr(langid, "CELLS", 300)
+    several = langid.learn(spark, docs)
+    assert several.parts > 3
+    many = sorted(key(r) for r in langid.identified(spark, docs, F.lit(True)).collect())
+    assert [r[:2] + r[4:] for r in many] == [r[:2] + r[4:] for r in one] and np.allclose([r[2:4] for r in many], [r[2:4] for r in one], atol=1e-7)
+
+
 def test_kneser_ney_sums_to_one_and_matches_the_definition():
     texts = ["banana bandana", "cabana ban"]
     grams, _ = langid.Grams().of(texts)
@@ -245,7 +348,9 @@ def test_near_duplicates_with_repeated_ids(spark):
     docs = spark.createDataFrame([(1, prose(1)), (1, prose(1)), (2, prose(1)), (3, "x"), (3, prose(4)), (None, prose(1))], "doc_id long, text string")
     got = minhash.near_duplicates(spark, docs).collect()
     assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(1, 1), (2, 1), (3, 3)] and {r["n_shingles"] for r in got if r["doc_id"] == 3} == {len(shingles(prose(4)))}
-    assert sorted(r["doc_id"] or 0 for r in minhash.keep_one(spark, docs).collect()) == [0, 1, 1, 3, 3]
+    more = docs.unionByName(spark.createDataFrame([(9, None), (9, None), (None, prose(8)), (None, prose(8) + " end")], "doc_id long, text string"))
+    left = sorted((r["doc_id"] or 0, r["text"] or "") for r in minhash.keep_one(spark, more).collect())
+    assert left[1:] == sorted([(1, prose(1)), (3, "x"), (3, prose(4)), (9, ""), (9, "")]) and left[0] in {(0, prose(8)), (0, prose(8) + " end")}
 
 
 def test_tiles_find_links_that_stars_miss(spark, monkeypatch):
@@ -283,6 +388,39 @@ def test_quality(spark):
     assert quality.judged(spark, docs, labels.where("false")).count() == 400
 
 
+def test_quality_is_the_plain_posterior(spark):
+    """Beta-binomial shares of path and host without the document itself, beside its own evidence; repeated ids and null sources too."""
+    rows = [(k if k % 11 else 5, prose(k, 30 + k % 50).upper() + "!!" * (k % 2) if k % 6 == 0 else prose(k, 30) + ".", (f"h{k % 4}/p{k % 3}" if k % 13 else None), int(k % 6 != 0)) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, quality int")
+    labels = docs.where("doc_id <> 5 and doc_id % 3 = 0").select("doc_id", "quality").unionByName(spark.createDataFrame([(7, 0), (7, 1), (None, 1), (8, None)], "doc_id long, quality int"))
+    got = quality.judged(spark, docs, labels).collect()
+    p = [1 / (1 + np.exp(-r["evidence"])) for r in got]
+    sites, hosts = {}, {}
+    for r, x in zip(got, p, strict=True):
+        for held, k in ((sites, (r["host"], r["path"])), (hosts, r["host"])):
+            n, good = held.get(k, (0, 0.0))
+            held[k] = n + 1, good + x
+    prior = (sum(p) + 0.5) / (len(p) + 1)
+
+    def weight(groups):  # method of moments; (n, good, share above)
+        n = np.array([g[0] for g in groups], float)
+        share, above = np.array([g[1] / g[0] for g in groups]), np.array([g[2] for g in groups])
+        chance = (n * above * (1 - above)).sum() / n.sum()
+        excess = ((n * (share - above) ** 2).sum() - len(n) * chance) / max(1e-9, n.sum() - (n * n).sum() / n.sum())
+        return min(1e6, max(1.0, chance / excess - 1)) if excess > 1e-12 else 1e6
+
+    kh = weight([(n, g, prior) for n, g in hosts.values()])
+    share = {h: (g + kh * prior) / (n + kh) for h, (n, g) in hosts.items()}
+    kp = weight([(n, g, share[h]) for (h, _), (n, g) in sites.items()])
+    for r, x in zip(got, p, strict=True):
+        (n, g), (hn, hg) = sites[r["host"], r["path"]], hosts[r["host"]]
+        above = (max(0, hg - x) + kh * prior) / (hn - 1 + kh)
+        path = min(1 - 1e-6, max(1e-6, (max(0, g - x) + kp * above) / (n - 1 + kp)))
+        z = r["evidence"] + np.log(path / (1 - path)) - np.log(prior / (1 - prior))
+        assert np.isclose(r["score"], 1 / (1 + np.exp(-z)), atol=1e-6) and r["accepted"] == (r["score"] >= 0.5)
+    assert len(got) == 300
+
+
 def test_sparse_sites_are_drawn_to_what_stands_above_them(spark):
     sites = spark.createDataFrame([(1000.0, 900.0, 0.5), (1000.0, 100.0, 0.5)], "n double, good double, prior double")
     k = quality._shrunk(sites, "prior")
@@ -323,6 +461,14 @@ def test_items_in_rounds_give_the_same(spark, monkeypatch):
     assert {(r["doc_id"], r["item_id"]) for r in contamination.contained_items(spark, docs, bench).collect()} == whole == {(k, k) for k in range(9)}
 
 
+def test_repeated_documents_give_a_pair_once(spark):
+    bench = spark.createDataFrame([(1, prose(1700, 20))], "item_id long, text string")
+    docs = table(spark, [prose(1701, 50) + " " + prose(1700, 20), prose(1702, 40)])
+    docs = docs.unionByName(docs).unionByName(docs.withColumn("doc_id", F.lit(None).cast("long")))
+    assert [tuple(r) for r in contamination.contained_items(spark, docs, bench).collect()] == [(0, 1, 16, 16)]
+    assert [r["doc_id"] for r in contamination.without_leaks(spark, docs, bench).orderBy("doc_id").collect()] == [None, 1, 1]
+
+
 def test_items_that_share_an_id_are_searched_each(spark):
     one, two = prose(1200, 40), prose(1201, 40)
     bench = spark.createDataFrame([(1, one), (1, two), (1, two), (2, prose(1202, 20))], "item_id long, text string")
@@ -414,12 +560,30 @@ def test_token_histogram(spark):
         assert token_counts.truncated_total(made, limit).first()[0] == sum(min(x, limit) for x in lengths)
     for q in (0.0, 0.5, 0.9, 1.0):
         assert token_counts.length_quantile(made, q).first()[0] == next(x for x in sorted(lengths) if sum(y <= x for y in lengths) >= q * len(lengths))
+    for n in (10, 20, 100):
+        ten = token_counts.length_histogram(spark.createDataFrame([(k + 1,) for k in range(n)], "n_tokens long"), Scratch(spark, "t"))
+        assert token_counts.length_quantile(ten, 0.9).first()[0] == n * 9 // 10
     none = token_counts.length_histogram(spark.createDataFrame([(None,)], "n_tokens long"), Scratch(spark, "t"))
     assert none.count() == 0 and token_counts.truncated_total(none, 5).first()[0] == 0 and token_counts.length_quantile(none, 0.5).first()[0] is None
 
 
-def test_records(spark, monkeypatch):
+def test_shards_follow_by_number(spark, tmp_path):
+    names = ["part-99999-a-c000.txt", "part-100000-a-c000.txt", "part-100000-a-c999.txt", "part-100000-a-c1000.txt"]
+    rows = spark.createDataFrame([(n, 0, 1, 0, k, 1, 0) for k, n in enumerate(names)], records.INDEX)
+    rows.write.parquet(f"{tmp_path}/index")
+    assert sorted((r["start"], r["doc_id"]) for r in records.read_records(spark, str(tmp_path)).collect()) == [(k, k) for k in range(4)]
+
+
+def test_an_id_that_fills_several_ranges_is_dealt_over_them():
+    limits = np.array([3, 7, 7, 7, 9])
+    docs, salts = np.array([1, 3, 4, 7, 7, 7, 8, 10]), np.array([5, 5, 5, 0, 1, 2, 9, 9])
+    assert records._ranges(limits, docs, salts).tolist() == [0, 0, 1, 1, 2, 3, 4, 5]
+
+
+@pytest.mark.parametrize("ranges", [20_000, 2])
+def test_records(spark, monkeypatch, ranges):
     monkeypatch.setattr(records, "SHARD", 20_000)
+    monkeypatch.setattr(records, "RANGES", ranges)
     texts = odd_texts()
     t = library("byte_bpe_50k.json")
     scratch = Scratch(spark, "t")
@@ -447,8 +611,11 @@ def test_records(spark, monkeypatch):
 # 9 embeddings
 
 
-def test_linked_vectors(spark, monkeypatch):
+@pytest.mark.parametrize("centres", [10_000, 4])
+def test_linked_vectors(spark, monkeypatch, centres):
     monkeypatch.setattr(embedding_dedup, "TILE", 32)
+    monkeypatch.setattr(embedding_dedup, "STRIP", 12)
+    monkeypatch.setattr(embedding_dedup, "CENTRES", centres)
     r = np.random.default_rng(4)
     centres = r.standard_normal((40, 16))
     rows = []
