@@ -1,8 +1,10 @@
 """A training corpus from raw documents: five stages, each on all that the one before kept.
 
+Stages judge rows by what they hold (``row_key``), so null and repeated ids are judged row by row.
+
 quality         documents that the quality classifier accepts
 language        documents whose language is identified and not rejected
-near_duplicates the smallest id of each group of near duplicates (Jaccard similarity of 0.8 or more), and all others
+near_duplicates one row of each group of near duplicates (Jaccard similarity of 0.8 or more), that of the smallest id, and all others
 decontaminate   documents that hold no benchmark item
 encode          ids and digests of every document left
 """
@@ -14,21 +16,21 @@ from pyspark.sql import functions as F
 
 from lodesieve.llm import bpe, contamination, langid, minhash, quality
 from lodesieve.llm.queries import table, tokenizer
+from lodesieve.llm.rows import row_key, without_rows
 from lodesieve.llm.scratch import Scratch
 
 
 def _kept(spark: SparkSession, docs: DataFrame, verdicts: DataFrame, label: str) -> DataFrame:
-    """The documents less those whose id was rejected."""
-    rejected = Scratch(spark, label).save(verdicts.where(~F.col("accepted")).select("doc_id").distinct(), "rejected")
-    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
+    """The documents less those whose key was rejected."""
+    return without_rows(docs, Scratch(spark, label).save(verdicts.where(~F.col("accepted")).select("doc_id").distinct(), "rejected"))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _kept(spark, docs, quality.judged(spark, docs, table(spark, sf_dir, "labels")), "quality-stage")
+    return _kept(spark, docs, quality.judged(spark, docs, table(spark, sf_dir, "labels"), row_key(docs)), "quality-stage")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _kept(spark, docs, langid.identified(spark, docs, F.lit(True)), "language-stage")
+    return _kept(spark, docs, langid.identified(spark, docs.withColumn("doc_id", row_key(docs)), F.lit(True)), "language-stage")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
