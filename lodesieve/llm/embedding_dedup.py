@@ -4,7 +4,9 @@ A vector of length 1 is stored as x = s q + e with whole numbers q of at most 12
 scale s and the norm of its error e.  For two vectors |x.y - s t (q.r)| is at most
 |e| (1 + |f|) + |f|, so a tile product of the whole numbers, which is exact in
 single-precision arithmetic, settles all pairs but those within the bound of the
-threshold; these are computed again in double precision.
+threshold; these are computed again in double precision.  Tiles travel as whole numbers
+only; a tile product leaves the pairs that it can't settle as a bit matrix, and the
+vectors of those alone follow in double precision.
 
 Vectors are sorted by their nearest of a fixed set of directions and cut into tiles.
 Every tile has a centre and a radius; two tiles whose centres are further apart than
@@ -26,8 +28,10 @@ from lodesieve.llm.components import components
 from lodesieve.llm.memory import tidy
 from lodesieve.llm.scratch import Scratch
 
-#: Vectors of one tile.
-TILE = 1024
+#: Vectors of one tile, a multiple of 8.
+TILE = 2048
+#: Rows of a tile that are multiplied at once.
+STRIP = 512
 #: Directions by which vectors are dealt to tiles.
 DIRECTIONS = 64
 SEED = 97
@@ -65,6 +69,7 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 TILES = "tile long, n int, size long, ids binary, whole binary, scale binary, error binary, unit binary, centre binary, angle double"
+FOUND = "vec long, links long, v long, i long, j long, side int, tile long, bits binary"
 
 
 @tidy
@@ -99,11 +104,32 @@ def _tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 _SCHEMA = pa.schema([("tile", pa.int64()), ("n", pa.int32()), ("size", pa.int64()), *[(c, pa.binary()) for c in ("ids", "whole", "scale", "error", "unit", "centre")], ("angle", pa.float64())])
-OUT = pa.schema([("vec", pa.int64()), ("links", pa.int64()), ("v", pa.int64())])
+OUT = pa.schema([("vec", pa.int64()), ("links", pa.int64()), ("v", pa.int64()), ("i", pa.int64()), ("j", pa.int64()), ("side", pa.int32()), ("tile", pa.int64()), ("bits", pa.binary())])
+
+
+def _read(t: dict, name: str, kind: type) -> np.ndarray:
+    x = np.frombuffer(t[name], kind)
+    return x.reshape(-1, t["size"]) if name in ("whole", "unit") else x
+
+
+def _results(ids_a: np.ndarray, ids_b: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool) -> pa.RecordBatch:
+    """Rows (vec, links) of counts and rows (vec, 0, v) of links that join, of settled pairs."""
+    ids = np.concatenate((ids_a, ids_b))
+    links = np.bincount(np.concatenate((left, right + len(ids_a))), minlength=len(ids))
+    u, v = _forest(left, right if same else right + len(ids_a), len(ids))
+    some = np.flatnonzero(links)
+    n = len(some) + len(u)
+    none = pa.nulls(n, pa.int64())
+    ends = pa.array(np.concatenate((np.zeros(len(some), np.int64), ids[v])), mask=np.arange(n) < len(some))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate((ids[some], ids[u]))), pa.array(np.concatenate((links[some], np.zeros(len(u), np.int64)))), ends, none, none, pa.nulls(n, pa.int32()), none, pa.nulls(n, pa.binary())], schema=OUT)
 
 
 def _multiplied(threshold: float):
-    """mapInArrow on pairs of tiles: rows (vec, links) of counts, and rows (vec, 0, v) of links that join."""
+    """mapInArrow on pairs of tiles: results of the settled pairs, and what is open.
+
+    Open are, for a pair (i, j) of tiles: a row (side 2) with the bit matrix of the open pairs among the vectors
+    that have any, and a row for either tile (sides 0 and 1) with the bits of those vectors.
+    """
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,35 +139,67 @@ def _multiplied(threshold: float):
                 a, b = row["a"], row["b"]
                 same = row["i"] == row["j"]
                 size = a["size"]
+                qa, qb = _read(a, "whole", np.int8), _read(b, "whole", np.int8).astype(np.float32)
+                sa, sb, ea, eb = _read(a, "scale", np.float64), _read(b, "scale", np.float64), _read(a, "error", np.float64), _read(b, "error", np.float64)
+                open_ = np.zeros((len(sa), len(sb)), bool)
+                left, right = [], []
+                for k in range(0, len(sa), STRIP):
+                    strip = slice(k, k + STRIP)
+                    near = (qa[strip].astype(np.float32) @ qb.T).astype(np.float64) * sa[strip, None] * sb[None, :]  # exact while 127 * 127 * size < 2^24
+                    slack = ea[strip, None] * (1 + eb[None, :]) + eb[None, :] + 1e-9 + (0 if size <= 1000 else size * 1e-6)
+                    x, y = np.nonzero(near + slack >= threshold)
+                    if same:
+                        upper = x + k < y
+                        x, y = x[upper], y[upper]
+                    sure = near[x, y] - slack[x, y] >= threshold
+                    left.append(x[sure] + k)
+                    right.append(y[sure])
+                    open_[x[~sure] + k, y[~sure]] = True
+                left, right = np.concatenate(left), np.concatenate(right)
+                if len(left):
+                    yield _results(_read(a, "ids", np.int64), _read(b, "ids", np.int64), left, right, same)
+                rows, columns = open_.any(axis=1), open_.any(axis=0)
+                if rows.any():
+                    left_out = {"vec": None, "links": None, "v": None, "i": row["i"], "j": row["j"]}
+                    parts = [(0, row["i"], rows), (1, row["j"], columns), (2, None, open_[rows][:, columns])]
+                    yield pa.RecordBatch.from_pylist([left_out | {"side": k, "tile": t, "bits": np.packbits(x).tobytes()} for k, t, x in parts], schema=OUT)
+
+    return run
+
+
+@tidy
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow on i, j, side, bits and a tile's size, ids, unit: the ids and vectors whose bits are set."""
+    for batch in batches:
+        for at in range(batch.num_rows):
+            row = batch.slice(at, 1).to_pylist()[0]
+            ids = _read(row, "ids", np.int64)
+            some = np.unpackbits(np.frombuffer(row["bits"], np.uint8), count=len(ids)).astype(bool)
+            yield pa.RecordBatch.from_pylist([{"i": row["i"], "j": row["j"], "side": row["side"], "size": row["size"], "ids": ids[some].tobytes(), "unit": _read(row, "unit", np.float64)[some].tobytes()}], schema=SLICED)
+
+
+SLICED = pa.schema([("i", pa.int64()), ("j", pa.int64()), ("side", pa.int32()), ("size", pa.int64()), ("ids", pa.binary()), ("unit", pa.binary())])
 
-                def read(t: dict, name: str, kind: type, size: int = size) -> np.ndarray:
-                    x = np.frombuffer(t[name], kind)
-                    return x.reshape(-1, size) if name in ("whole", "unit") else x
-
-                qa, qb = read(a, "whole", np.int8).astype(np.float32), read(b, "whole", np.int8).astype(np.float32)
-                sa, sb, ea, eb = read(a, "scale", np.float64), read(b, "scale", np.float64), read(a, "error", np.float64), read(b, "error", np.float64)
-                ids_a, ids_b = read(a, "ids", np.int64), read(b, "ids", np.int64)
-                near = (qa @ qb.T).astype(np.float64) * sa[:, None] * sb[None, :]  # exact while 127 * 127 * size < 2^24
-                slack = ea[:, None] * (1 + eb[None, :]) + eb[None, :] + 1e-9 + (0 if size <= 1000 else size * 1e-6)
-                left, right = np.nonzero(near + slack >= threshold)
-                if same:
-                    upper = left < right
-                    left, right = left[upper], right[upper]
-                sure = near[left, right] - slack[left, right] >= threshold
-                unsure = np.flatnonzero(~sure)
-                xa, xb = read(a, "unit", np.float64), read(b, "unit", np.float64)
-                for k in range(0, len(unsure), 100_000):
-                    part = unsure[k : k + 100_000]
+
+def _settled(threshold: float):
+    """mapInArrow on bits and the vectors a and b of open pairs: results of the links among them, in double precision."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
+                a, b = row["a"], row["b"]
+                ids_a, ids_b = _read(a, "ids", np.int64), _read(b, "ids", np.int64)
+                xa, xb = _read(a, "unit", np.float64), _read(b, "unit", np.float64)
+                bits = np.unpackbits(np.frombuffer(row["bits"], np.uint8), count=len(ids_a) * len(ids_b)).reshape(len(ids_a), -1)
+                left, right = np.nonzero(bits)
+                sure = np.zeros(len(left), bool)
+                for k in range(0, len(left), 100_000):
+                    part = slice(k, k + 100_000)
                     sure[part] = (xa[left[part]] * xb[right[part]]).sum(axis=1) >= threshold
-                left, right = left[sure], right[sure]
-                if not len(left):
-                    continue
-                n_a, n_b = np.bincount(left, minlength=len(ids_a)), np.bincount(right, minlength=len(ids_b))
-                ids = np.concatenate((ids_a, ids_b))
-                links = np.concatenate((n_a, n_b))
-                u, v = _forest(left, right + len(ids_a) if not same else right, len(ids))
-                some = np.flatnonzero(links)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((ids[some], ids[u]))), pa.array(np.concatenate((links[some], np.zeros(len(u), np.int64)))), pa.array(np.concatenate((np.zeros(len(some), np.int64), ids[v])), mask=np.arange(len(some) + len(u)) < len(some))], schema=OUT)
+                if sure.any():  # ends of a tile's own pairs are told apart by side, which the components join again
+                    yield _results(ids_a, ids_b, left[sure], right[sure], False)
 
     return run
 
@@ -168,20 +226,27 @@ def linked_vectors(spark: SparkSession, vectors: DataFrame, threshold: float = 0
     Two vectors are linked if they have the same number of components and a cosine
     of at least the threshold.  Null, empty and zero vectors and ones with null or
     non-finite components link with nothing.  Rows that repeat an id count as
-    vectors of their own and are given once, with the links of all.  An empty
-    table gives no rows; further columns are ignored.
+    vectors of their own and are given once, with the links of all; rows without an id
+    are left out.  An empty table gives no rows; further columns are ignored.
     """
     scratch = Scratch(spark, "vectors")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec is not null")
     placed = scratch.save(rows.mapInArrow(_placed, "vec long, size long, unit binary, place double"), "placed")
     good = placed.where("size > 0")
-    parts = max(1, -(-good.count() // (TILE * 4)))
+    parts = max(1, -(-good.count() // (TILE * 2)))
     tiles = good.repartitionByRange(parts, "size", "place", "vec").sortWithinPartitions("size", "place", "vec").mapInArrow(_tiled, TILES)
     tiles = scratch.save(tiles.withColumn("tile", F.col("tile") + F.spark_partition_id().cast("long") * (1 << 24)), "tiles")
-    pairs = scratch.save(_tile_pairs(spark, scratch, tiles, threshold), "pairs")
-    content = F.struct("size", "ids", "whole", "scale", "error", "unit")
+    pairs = _tile_pairs(scratch, tiles, threshold)
+    content = F.struct("size", "ids", "whole", "scale", "error")
     work = pairs.join(tiles.select(F.col("tile").alias("i"), content.alias("a")), "i").join(tiles.select(F.col("tile").alias("j"), content.alias("b")), "j")
-    found = scratch.save(work.mapInArrow(_multiplied(threshold), "vec long, links long, v long"), "found")
+    found = scratch.save(work.mapInArrow(_multiplied(threshold), FOUND), "found")
+    opened = found.where("side is not null").select("i", "j", "side", "tile", "bits")
+    if opened.head(1):
+        vectors_of = scratch.save(opened.where("side < 2").join(tiles.select("tile", "size", "ids", "unit"), "tile").select("i", "j", "side", "size", "ids", "unit", "bits").mapInArrow(_sliced, "i long, j long, side int, size long, ids binary, unit binary"), "open-vectors")
+        side = lambda k, name: vectors_of.where(F.col("side") == k).select("i", "j", F.struct("size", "ids", "unit").alias(name))
+        settled = opened.where("side = 2").select("i", "j", "bits").join(side(0, "a"), ["i", "j"]).join(side(1, "b"), ["i", "j"])
+        settled = scratch.save(settled.mapInArrow(_settled(threshold), FOUND), "settled")
+        found = found.where("side is null").unionByName(settled)
     counts = found.where("v is null").groupBy("vec").agg(F.sum("links").alias("n_links"))
     whole = scratch.save(components(found.where("v is not null").select(F.col("vec").alias("u"), "v"), scratch), "whole").withColumnRenamed("node", "vec")
     out = placed.select("vec").distinct().join(counts, "vec", "left").join(whole, "vec", "left")
@@ -207,8 +272,8 @@ def _near_tiles(batches: Iterator[pa.RecordBatch], theirs: list[tuple[int, int,
 CENTRES = 10_000
 
 
-def _tile_pairs(spark: SparkSession, scratch: Scratch, tiles: DataFrame, threshold: float) -> DataFrame:
-    """Pairs i <= j of tiles that may hold a link.  Centres are sent in blocks of fixed size."""
+def _tile_pairs(scratch: Scratch, tiles: DataFrame, threshold: float) -> DataFrame:
+    """Pairs i <= j of tiles that may hold a link.  Centres are sent in blocks of fixed size; a block's pairs are written before the next is read."""
     heads = scratch.save(tiles.select("tile", "size", "centre", "angle"), "heads")
     reach = math.acos(max(-1.0, min(1.0, threshold))) + 1e-6
     blocks = max(1, -(-heads.count() // CENTRES))
@@ -216,6 +281,6 @@ def _tile_pairs(spark: SparkSession, scratch: Scratch, tiles: DataFrame, thresho
     for k in range(blocks):
         block = heads.where(F.pmod(F.xxhash64("tile"), F.lit(blocks)) == k) if blocks > 1 else heads
         theirs = [(r["tile"], r["size"], np.frombuffer(r["centre"], np.float64), r["angle"]) for r in block.collect()]
-        pairs = heads.mapInArrow(lambda batches, theirs=theirs: _near_tiles(batches, theirs, reach), "i long, j long")
+        pairs = scratch.save(heads.mapInArrow(lambda batches, theirs=theirs: _near_tiles(batches, theirs, reach), "i long, j long"), f"pairs-{k}")
         out = pairs if out is None else out.unionByName(pairs)
     return out
