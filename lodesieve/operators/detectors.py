@@ -1,269 +1,812 @@
-"""What is wrong in source files: conditions on nodes, all tested in one pass without a shuffle.
+"""What is wrong in source files: conditions on nodes, tested where a file is parsed, in one pass without a shuffle.
 
-A detector is a rule, a kind of node and a condition.  Conditions read the node alone, its function's
-flags, and whether its values come from a request, all of which the parser has put in the row.
+A detector is a rule, the kinds of node that it looks at, and a condition on a node and its file.  A condition
+answers yes or no, or gives the node to report instead.  Only findings leave the worker, so a file's
+rows are as many as its findings, whatever its size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodesieve.functions import rules as R
+from lodesieve.functions import vocabulary as V
 from lodesieve.operators import report
 from lodesieve.operators import scan as S
+from lodesieve.sources.code import Node, Unit, plain
 
-# Names, words and limits in the conditions are part of the results' definition.
-
-SESSION_COOKIE = r"(?i)(?:^|[._-])(?:sess|session|sid|sso|auth|token|jwt|refresh|access|login|remember|csrf|xsrf)"
-SECRET_NAME = r"(?i)signature|\bsig\b|hmac|digest|\bmac\b|\bhash\b|token|secret|otp|\bnonce\b|csrf|checksum|expectedhash|computedhash"
-SECURITY_WORDS = r"(?i)password|secret|sign|token|hmac|integrity|auth|credential|session|cookie|csrf"
-ONE_TIME = r"(?i)session|sessionid|nonce|reset(?:code|token)?|otp|csrf|recovery|invitation|invite|share|magiclink|verif(?:y|ication)?code|resetcode|tempkey"
-EXPOSED = r"\.(?:password|token|secret|apiKey|creditCard|ssn)\s*[,}]"
-REMOVED = r"delete\s+\w+\.(?:password|token|secret|apiKey|creditCard|ssn)|\.\.\.rest|omit\(|pick\("
-RESPONSE = r"(?i)(?:\bres|\bresponse|\breply|\bctx\.body|\bctx\.response)\.(?:send|json|status|end|render|attachment|download)\s*\("
-REQUEST_KEY = r"(?i)\b(?:req|request)\.(?:headers|query|params|url|originalUrl|cookies)\b"
-CLEAN_KEY = r"(?i)\b(?:sanitize|validate|normalize|encodeURIComponent|createHash|hmac|sha\d|allowlist|whitelist)\b"
-HEADER_KEY = r"(?i)\b(?:host|referer|referrer|user-?agent|x-forwarded-for|x-forwarded-host|x-original-url|forwarded)\b"
-OUTBOUND = r"(?i)^(?:fetch|axios|got|ky|needle|request|superagent|undici|phin)$|^(?:axios|got|ky|needle|http|https|client|httpClient|api|apiClient|agent|instance|svc|service|gateway|upstream)\.(?:get|post|put|delete|patch|head|request|stream)$"
-FILE_CALL = r"^(?:readFile|readFileSync|writeFile|writeFileSync|appendFile|appendFileSync|createReadStream|createWriteStream|unlink|unlinkSync|stat|statSync|lstat|lstatSync|sendFile|download)$|\.(?:readFile|readFileSync|writeFile|writeFileSync|appendFile|appendFileSync|createReadStream|createWriteStream|sendFile|download)$"
-SQL_CALL = r"(?i)^(?:query|execute|raw|exec|run|all|get|prepare)$"
-DATABASE = r"(?i)\b(?:db|database|conn|connection|pool|client|sql|knex|sqlite|pg|postgres|mysql|mariadb|mssql|sequelize|tx|trx|transaction|repo|repository|datasource|prisma)\b"
-SQL_WORDS = r"(?i)\b(?:select|insert|update|delete|from|where|join|having|union)\b"
-NOSQL = r"(?i)^(?:find|findOne|findOneAndUpdate|findOneAndReplace|findOneAndDelete|findById|findByIdAndUpdate|update|updateOne|updateMany|deleteOne|deleteMany|remove|count|countDocuments|aggregate|distinct)$"
-MODEL = r"^[A-Z][A-Za-z0-9_]*$|\.(?:collection|model)\s*\(|(?i:\b(?:db|database|mongo|mongoose|model|models|collection|repository|repo)\b)"
-RAW = r"(?i)^(?:whereRaw|havingRaw|orderByRaw|groupByRaw|joinRaw|fromRaw|selectRaw|queryRawUnsafe|executeRawUnsafe|where|andWhere|orWhere|having|andHaving|orHaving)$"
-MAPPER = r"(?i)\b(?:knex|qb|queryBuilder|builder|trx|tx|db|database|repository|repo|datasource|manager|entityManager|connection|conn|sequelize|prisma)\b|createQueryBuilder|getRepository|\$queryRaw|\$executeRaw"
-ENGINES = r"^(?:handlebars|hbs|Handlebars|pug|jade|ejs|nunjucks|_|lodash|dot|doT|eta|Eta|mustache|Mustache|twig|liquid|Liquid|art|template)$"
-PROCESS = r"(?i)^(?:exec|execSync|spawn|spawnSync|fork|execFile|execFileSync)$"
-SQL_TAG = r"^(?:sql|SQL|db\.sql|slonik\.sql|raw|knex\.raw|prisma\.\$queryRaw(?:Unsafe)?|pgPromise\.as)$"
-REFLECTED = r"(?i)\breq(?:uest)?\.headers\.origin\b|\breq(?:uest)?\.header\(\s*['\"]origin"
-LOG_NAMES = r"(?i)^(?:console|logger|log|winston|pino)$|(?i:\b(?:logger|log)$)"
-LOG_VERBS = r"^(?:log|debug|info|warn|error|trace|fatal)$"
-SENSITIVE_LOG = r"(?i)\bpassword\b|\bpwd\b|\bpasswd\b|\bapi[_-]?key\b|\bapikey\b|\bsecret\b|\btoken\b|\baccess[_-]?token\b|\brefresh[_-]?token\b|\bbearer\s+[\w\-.]+\b|\bauthorization\b|\bauth\s*:|\bcredit[_-]?card\b|\bccnum\b|\bccnumber\b|\bssn\b|\bsocial[_-]?security\b|\bprivate[_-]?key\b|\bcertificate\b"
-QUOTED = r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'"
-SENSITIVE_PATH = r"(?i)admin|permission|secret|apikey|password|forgot|reset|payment|billing|invoice|export|webhook|impersonate|grant|revoke"
-SENSITIVE_HANDLER = r"(?i)delete|destroy|remove|update|save\(|insert|create|grant|assign|role|permission|admin|export|secret|apikey|token|password|billing|payment"
-MUTATION = r"(?i)db\.|database\.|model\.|repository\.|repo\.|service\.|\.save\s*\(|\.update(?:one|many|byid)?\s*\(|\.delete(?:one|many|byid|where)?\s*\(|\.insert(?:one|many)?\s*\(|\.create(?:one|many)?\s*\(|\.remove\s*\(|\.upsert\s*\(|config\.update|setrole|grantrole|assignrole"
-AUTHENTICATED = r"(?i)authmiddleware|authorizationmiddleware|requireauth|ensureauth|passport\.authenticate|jwt\.verify|verifytoken|validatetoken|authenticate|protect|guard|req\.user|currentuser|res\.locals\.user|ctx\.state\.user|request\.user"
-AUTHORIZED = r"(?i)authorize|authorization|permission|role|scope|forbidden|status\(403\)|statusCode\s*=\s*403|hasrole|haspermission|canaccess|accessdenied|isadmin|requireadmin|requirerole|requirescope|requirepermission|adminonly|adminguard|withadmin|withrole"
-IDENTITY = r"(?i)req\.user|currentuser|res\.locals\.user|ctx\.state\.user|request\.user"
-RESOURCE = r"(?i)owner|ownerid|userid|user_id|accountid|tenantid|organizationid|orgid"
-DECISION = r"(?i)===|!==|==|!=|forbidden|status\(403\)|hasrole|haspermission|canaccess|authorize"
-CREDENTIALS = r"^(?:mongodb(?:\+srv)?|postgres(?:ql)?|mysql)://[^:/\s]+:[^@/\s]+@"
-
-# End of fixed values.
+_compiled: dict[str, re.Pattern] = {}
+
+
+def has(regex: str, text: str) -> bool:
+    p = _compiled.get(regex)
+    if p is None:
+        p = _compiled[regex] = re.compile(regex)
+    return p.search(text) is not None
+
+
+Test = Callable[[Unit, Node], "bool | Node | None"]
 
 
 @dataclass(frozen=True)
 class Detector:
     rule: str
     kinds: tuple[str, ...]
-    holds: Callable[[], Column]
-    severity: Callable[[], Column] | None = None  #: default: the rule's
-    confidence: Callable[[], Column] | None = None  #: default: the rule's
+    holds: Test
+    severity: Callable[[Unit, Node], str] | str | None = None  #: default: the rule's
+    confidence: Callable[[Unit, Node], str] | str | None = None  #: default: the rule's
+    cut: int | None = 120  #: characters of code that a finding shows; None: all
+    shown: Callable[[Unit, Node], str] | None = None  #: the code that a finding shows; default: the node's text
+    once: bool = False  #: one finding a line
+    names: str | None = None  #: a pattern that a node's name must match, asked once a name
 
 
-def c(name: str) -> Column:
-    return F.col(name)
+# texts
 
 
-def arg(k: int) -> Column:
-    return F.coalesce(F.get("args", F.lit(k)), F.lit(""))
+def built(u: Unit, span: tuple[int, int]) -> bool:
+    """A template with a substitution, or a sum with a string."""
+    text = u.cut(span)
+    return has(r"^`[^`]*\$\{", text) or has(r"['\"`]\s*\+|\+\s*['\"`]", text)
 
 
-def dirty(k: int) -> Column:
-    return F.coalesce(F.get("arg_taint", F.lit(k)), F.lit(False))
+def sql_text(u: Unit, span: tuple[int, int]) -> bool:
+    """SQL put together in place, or in the variable that the span names."""
+    if built(u, span) and has(V.SQL_WORDS, u.cut(span)):
+        return True
+    name = u.cut(span)
+    if not re.fullmatch(r"[A-Za-z_$][\w$]*", name):
+        return False
+    return any(v.value and built(u, v.value) and has(V.SQL_WORDS, u.cut(v.value)) for v in u.variables.get(name, ()))
 
 
-def any_dirty() -> Column:
-    return F.exists("arg_taint", lambda x: x)
+def string_of(u: Unit, span: tuple[int, int] | None) -> str | None:
+    """What a quoted string says; None if the span is anything else."""
+    text = u.cut(span)
+    return text[1:-1] if re.fullmatch(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'", text) else None
 
 
-def flag(name: str) -> Column:
-    return F.array_contains("flags", name)
+def parent_of(u: Unit, n: Node) -> str:
+    """What a literal is the direct value of: var, assign, prop or nothing."""
+    for kind in ("var", "assign", "prop"):
+        if (n.start, n.end) in _values(u, kind):
+            return kind
+    return ""
 
 
-def callee() -> Column:
-    return F.when(c("receiver") != "", F.concat_ws(".", "receiver", "name")).otherwise(c("name"))
+def _values(u: Unit, kind: str) -> dict:
+    held = u._seen.get(("values", kind))
+    if held is None:
+        held = u._seen["values", kind] = {n.value: n for n in u.nodes.get(kind, ()) if n.value}
+    return held
 
 
-def built(text: Column) -> Column:
-    """A template with a substitution, or a sum with a string."""
-    return text.rlike(r"^`[^`]*\$\{") | text.rlike(r"['\"`]\s*\+|\+\s*['\"`]")
+def described(u: Unit, n: Node) -> bool:
+    """A literal inside a field of report texts, or an import's or export's module."""
+    if has(r"(?:\bfrom|\bimport)\s*$", u.clean[max(0, n.start - 12) : n.start]):
+        return True
+    return parent_of(u, n) == "prop" and _values(u, "prop")[n.start, n.end].name in V.METADATA_FIELDS
 
 
-def option(text: Column, key: str, value: str) -> Column:
-    return text.rlike(rf"(?:^|[{{,\s])['\"]?{key}['\"]?\s*:\s*{value}")
+def label_like(text: str) -> bool:
+    """A constant's name or a path."""
+    return has(r"^[A-Z][A-Z0-9_]+$", text) or "/" in text or "\\" in text or text.startswith(".")
 
 
-def _jwt(verb: str) -> Column:
-    return (c("name") == verb) & c("receiver").isin("jwt", "JWT")
+def classes(text: str) -> int:
+    return sum(has(c, text) for c in ("[a-z]", "[A-Z]", r"\d", r"[_./+=-]"))
 
 
-def _cookie() -> Column:
-    return (c("name") == "cookie") & c("receiver").rlike(r"(?i)\b(?:res|response|reply)\b")
+def secret_value(text: str) -> bool:
+    """Whether a value looks like a key, by its characters."""
+    if len(text) < 12 or has(r"\s", text) or has(V.SENTINEL_SECRET.replace("|fix(?:me)?", ""), text):
+        return False
+    if not has(r"\d", text) and (has(V.LABEL_PAIR, text) or has(V.HEADER_NAME, text)) or has(V.X_HEADER, text):
+        return False
+    if has(r"^[A-Fa-f0-9]{24,}$", text) or classes(text) >= 3 and (has(r"\d", text) or len(text) >= 20):
+        return True
+    return has(r"[A-Za-z0-9._+=/-]{20,}", text) and has(r"\d", text)
 
 
-def _named_cookie() -> Column:
-    return _cookie() & F.regexp_extract(arg(0), r"^['\"`](.*)['\"`]$", 1).rlike(SESSION_COOKIE)
+def real_secret(text: str) -> bool:
+    """The same for a variable that is named like a credential: shorter values count."""
+    if len(text) < 8 or has(V.SENTINEL_SECRET, text) or has(V.X_HEADER, text):
+        return False
+    if not has(r"\d", text) and (has(V.LABEL_WORDS, text) or has(V.HEADER_NAME, text)):
+        return False
+    mixed = sum(has(c, text) for c in ("[a-z]", "[A-Z]", r"\d", r"[._+=/-]"))
+    return has(r"^[A-Fa-f0-9]{16,}$", text) or has(r"^[A-Za-z0-9+/]{20,}={0,2}$", text) or mixed >= 3 and len(text) >= 12 and (has(r"\d", text) or len(text) >= 20)
 
 
-def _session() -> Column:
-    return c("name").rlike("(?i)^(?:session|cookieSession)$") & arg(0).startswith("{")
+def service_key(text: str) -> bool:
+    return any(has(k, text) for k in V.SERVICE_KEYS)
 
 
-def _options() -> Column:
-    """The options of a cookie: the third argument, or those of a session."""
-    inner = F.when(c("name").rlike("(?i)^session$"), F.regexp_extract(arg(0), r"cookie['\"]?\s*:\s*(\{[^}]*\})", 1)).otherwise(arg(0))
-    return F.when(_cookie(), arg(2)).otherwise(inner)
+def inline_key(text: str) -> bool:
+    m = re.search(V.INLINE_CREDENTIAL, text)
+    return m is not None and secret_value(m[1])
 
 
-def _lacks(key: str) -> Column:
-    return ~option(_options(), key, "")
+def owned(text: str) -> bool:
+    return has(V.IDENTITY, text) and has(V.RESOURCE, text) and has(V.DECISION, text)
 
 
-def _route() -> Column:
-    return c("name").isin("get", "post", "put", "delete", "patch", "head", "options", "all") & c("receiver").rlike(r"(?i)^(?:app|router|api|express|server|fastify|koa|hono|nest)") & arg(0).rlike(r"^['\"`]/") & ~c("file").rlike(r"(?i)\.(?:test|spec)\.tsx?$|/__tests__/")
+def authorized(text: str) -> bool:
+    return owned(text) or has(V.AUTHENTICATED, text) and has(V.AUTHORIZED, text)
 
 
-def _sensitive() -> Column:
-    handler = F.coalesce(F.element_at("args", -1), F.lit(""))
-    return arg(0).rlike(SENSITIVE_PATH) | handler.rlike(SENSITIVE_HANDLER) & handler.rlike(MUTATION)
+def scope_owned(u: Unit, n: Node) -> bool:
+    return all(u.scope_has(n, x) for x in (V.IDENTITY, V.RESOURCE, V.DECISION))
 
 
-def _authorized(text: Column) -> Column:
-    return text.rlike(IDENTITY) & text.rlike(RESOURCE) & text.rlike(DECISION) | text.rlike(AUTHENTICATED) & text.rlike(AUTHORIZED)
+def any_dirty(u: Unit, n: Node) -> bool:
+    return any(u.dirty(a) for a in n.args)
 
 
-def _logger() -> Column:
-    return c("name").rlike(LOG_VERBS) & c("receiver").rlike(LOG_NAMES)
+def dirty(u: Unit, n: Node, k: int) -> bool:
+    return -len(n.args) <= k < len(n.args) and u.dirty(n.args[k])
 
 
-def _comparand(text: Column) -> Column:
-    name = F.regexp_extract(F.regexp_replace(text, r"\([^()]*\)$|!$", ""), r"([\w$]+)$", 1)
-    return name.rlike(SECRET_NAME) & (~name.rlike("^[A-Z]") | name.rlike("^[A-Z0-9_]+$"))
+def unchecked(u: Unit, n: Node) -> bool:
+    """No word of validation in the node's function."""
+    return not u.scope_has(n, V.BOUNDARY)
 
 
-def _no_value(text: Column) -> Column:
-    return text.rlike(r"^(?:['\"`].*|\d[\w.]*|true|false|null|undefined|typeof\b.*)$|\.(?:length|kind|type|status|statusCode|size|count)$")
+def line_of(u: Unit, n: Node) -> str:
+    a = u.text.rfind("\n", 0, n.start) + 1
+    b = u.text.find("\n", n.start)
+    return u.text[a : b if b >= 0 else len(u.text)]
 
 
-def _cache() -> Column:
-    method, receiver = F.lower("name"), F.lower("receiver")
-    sink = method.rlike("^(?:set|put|store|setex|hset|mset|add)$") & receiver.rlike(r"\b(?:cache|rediscache|memcache|memcached|kv|store|cacheclient)\b") | method.rlike("^(?:set|put|setex)$") & receiver.rlike(r"\bredis\b") | receiver.rlike("memcache")
-    return sink & arg(0).rlike(REQUEST_KEY) & ~arg(0).rlike(CLEAN_KEY)
+def handler_text(u: Unit, n: Node) -> str:
+    """The text of the function that is a call's last argument, written there or named."""
+    if not n.args:
+        return ""
+    span = u.resolved(n.args[-1])
+    return u.cut(span) if any((f.start, f.end) == span for f in u.functions) else ""
 
 
-def _poisoned() -> Column:
-    return arg(0).rlike(r"(?i)\b(?:req|request)\.headers\b") & arg(0).rlike(HEADER_KEY)
+def in_then(u: Unit, n: Node, scope: tuple[int, int]) -> bool:
+    return any(x.value[0] <= n.start < x.value[1] and scope[0] <= x.start for x in u.nodes.get("if", ()))
 
 
-def _redirect() -> Column:
-    last, k = F.coalesce(F.element_at("args", -1), F.lit("")), c("name")
-    tainted = F.when(k == "redirect", F.coalesce(F.element_at("arg_taint", -1), F.lit(False))).when(k == "location", dirty(0)).otherwise((F.size("args") == 2) & arg(0).rlike(r"(?i)^['\"]location['\"]$") & dirty(1))
-    return c("receiver").isin("res", "response", "reply") & k.isin("redirect", "location", "set") & ~((c("receiver") == "reply") & (k != "redirect")) & tainted & ~flag("url_check") & ~last.rlike(r"^['\"`]/(?!/)")
+# conditions of more than a line
 
 
-def lit(x: str) -> Callable[[], Column]:
-    return lambda: F.lit(x)
+def jwt(u: Unit, n: Node, verb: str) -> bool:
+    return n.name == verb and u.receiver(n) in ("jwt", "JWT")
 
 
-CALL, BINARY, PROP = ("call",), ("binary",), ("prop",)
-FIRM_OR = lambda cond: lambda: F.when(cond(), "FIRM").otherwise("TENTATIVE")
+def cookie(u: Unit, n: Node) -> bool:
+    return n.name == "cookie" and has(r"(?i)\b(?:res|response|reply)\b", u.receiver(n))
+
+
+def session_cookie(u: Unit, n: Node) -> bool:
+    return cookie(u, n) and has(V.SESSION_COOKIE, plain(u.arg(n, 0)))
+
+
+def session(u: Unit, n: Node) -> bool:
+    return has("(?i)^(?:session|cookieSession)$", n.name) and bool(n.args) and u.is_object(n.args[0])
+
+
+def cookie_option(u: Unit, n: Node, name: str) -> str | None:
+    """An option of a cookie, in the third argument, or of a session's cookie; None where it is missing."""
+    if cookie(u, n):
+        return u.option(n.args[2], name) if len(n.args) > 2 else None
+    if has("(?i)^session$", n.name):
+        value = u.objects.get(n.args[0][0], {}).get("cookie")
+        return u.option(value, name)
+    return u.option(n.args[0], name)
+
+
+def no_http_only(u: Unit, n: Node) -> bool:
+    if not (cookie(u, n) or session(u, n)):
+        return False
+    value = cookie_option(u, n, "httpOnly")
+    return value == "false" or value is None and session_cookie(u, n)
+
+
+def bad_cookie(name: str, bad: str) -> Test:
+    def holds(u: Unit, n: Node) -> bool:
+        if not (session_cookie(u, n) or session(u, n)):
+            return False
+        value = cookie_option(u, n, name)
+        return value is None or has(bad, value)
+
+    return holds
+
+
+def explicit(name: str, bad: str) -> Callable[[Unit, Node], str]:
+    return lambda u, n: "FIRM" if has(bad, cookie_option(u, n, name) or "") else "TENTATIVE"
+
+
+def sensitive(u: Unit, n: Node) -> bool:
+    handler = u.cut(n.value)
+    return has(V.SENSITIVE_PATH, n.name) or has(V.SENSITIVE_HANDLER, handler) and has(V.MUTATION, handler)
+
+
+def request_token(u: Unit, n: Node) -> bool:
+    return n.name == "token" and u.scope_has(n, V.REQUEST_TOKEN) and not u.scope_has(n, V.TOKEN_VERIFIED)
+
+
+def secret_literal(u: Unit, n: Node) -> bool:
+    text = u.cut(n.value)
+    low = text.lower()
+    if n.op != "str" or len(text) < 12 or not any(w in low for w in ("secret", "password", "key")) or described(u, n) or label_like(text) or any(p in low for p in V.SCANNER_PHRASES):
+        return False
+    return (has(r"[0-9a-fA-F]{8,}", low) or has(r"[A-Za-z0-9_\-.]{16,}", low)) and parent_of(u, n) != ""
+
+
+def secret_variable(u: Unit, n: Node) -> bool:
+    if has(V.TEST_FILE, u.file) or not has(V.CREDENTIAL_NAME, n.name) or n.name[:1] in "{[":
+        return False
+    value = string_of(u, n.value)
+    if value is None or label_like(value):
+        return False
+    if has("(?i)password|passwd|pwd", n.name):
+        return len(value) >= 4 and not has(V.SENTINEL_PASSWORD, value)
+    return real_secret(value)
+
+
+def weak_jwt_secret(u: Unit, n: Node) -> bool:
+    value = string_of(u, n.value)
+    return value is not None and len(value) < V.JWT_LEAST and n.name[:1] not in "{[" and has(V.JWT_NAME, n.name) and has(V.JWT_USED, u.text)
+
+
+def sql_sink(u: Unit, n: Node) -> bool:
+    return has(V.SQL_CALL, u.exported(n)) and has(V.DATABASE, u.receiver(n)) and any(sql_text(u, a) and u.dirty(a) for a in n.args) and unchecked(u, n)
+
+
+def raw_sql(u: Unit, n: Node) -> bool:
+    return has(V.RAW, n.name) and has(V.MAPPER, u.receiver(n)) and bool(n.args) and built(u, n.args[0]) and dirty(u, n, 0) and unchecked(u, n)
+
+
+def search_sink(u: Unit, n: Node) -> bool:
+    return n.name.lower() == "search" and has(V.SEARCH_RECEIVER, u.receiver(n)) and any(has(V.SEARCH_TERMS, u.cut(a)) for a in n.args) and any_dirty(u, n) and unchecked(u, n)
+
+
+def process_sink(u: Unit, n: Node) -> bool:
+    return has(V.PROCESS, u.exported(n)) and not u.receiver(n).startswith("/") and any_dirty(u, n) and unchecked(u, n) and not has(V.DATABASE, u.receiver(n))
+
+
+def code_sink(u: Unit, n: Node) -> bool:
+    name = u.exported(n) if n.kind == "call" else n.name
+    timer = n.name in ("setTimeout", "setInterval") and has(r"^['\"`]", u.arg(n, 0))
+    return (has("(?i)^eval$", name) or name == "Function" or timer) and any_dirty(u, n) and unchecked(u, n)
+
+
+def nosql_sink(u: Unit, n: Node) -> bool:
+    return has(V.NOSQL, n.name) and n.receiver is not None and has(V.MODEL, u.receiver(n)) and dirty(u, n, 0) and not built(u, n.args[0]) and not has(V.NOSQL_SAFE, u.arg(n, 0)) and unchecked(u, n)
+
+
+def template_sink(u: Unit, n: Node) -> bool:
+    return has(V.TEMPLATE_CALL, n.name) and (has(V.ENGINES, u.receiver(n)) or n.name.lower() == "renderstring") and dirty(u, n, 0) and unchecked(u, n)
+
+
+def gadget(u: Unit, n: Node) -> bool:
+    return (has(V.GADGETS, u.callee(n)) or n.name == "constructor") and any_dirty(u, n) and unchecked(u, n)
+
+
+def logger(u: Unit, n: Node) -> bool:
+    return has(V.LOG_VERBS, n.name) and n.receiver is not None and has(V.LOG_NAMES, u.receiver(n))
+
+
+def sensitive_log(u: Unit, n: Node) -> bool:
+    return logger(u, n) and any(has(V.SENSITIVE_LOG, re.sub(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'", " ", u.cut(a))) for a in n.args)
+
+
+def logged_request(u: Unit, n: Node) -> bool:
+    return logger(u, n) and any(has(r"^`[^`]*\$\{[^}]*" + V.LOGGED_REQUEST, u.cut(a)) for a in n.args)
+
+
+def raw_request(u: Unit, span: tuple[int, int]) -> bool:
+    text = u.cut(span)
+    return has(V.RAW_REQUEST, text) or any(has(V.RAW_REQUEST, u.cut(v.value)) for v in u.variables.get(text, ()))
+
+
+def field_from_user(u: Unit, n: Node) -> bool:
+    m = re.fullmatch(r"(?s)(.+)\??\.([\w$]+)", n.name)
+    return m is not None and not has(V.REQUEST_OBJECT, m[1]) and u.user_controlled(n.value)
+
+
+def copies_all(u: Unit, n: Node) -> bool:
+    text = u.of(n)
+    return n.op == "declaration" and any(w in text for w in V.COPY_WORDS) and not any(w in text for w in V.ALLOW_WORDS)
+
+
+def body_to_service(u: Unit, n: Node) -> bool:
+    receiver = u.receiver(n)
+    if not receiver or not has(V.SAVE_VERB, n.name) or not (has(V.SAVE_RECEIVER, receiver) or has(r"^[A-Z][A-Za-z]*$", receiver.rsplit(".", 1)[-1])):
+        return False
+    around = u.cut(u.scope(n))
+    return any(has(V.RAW_BODY, u.cut(a)) for a in n.args) and not any(has(x, around) for x in (V.BODY_VALIDATED, V.BODY_PICKED, V.BODY_CHOSEN))
+
+
+def dynamic_key(u: Unit, n: Node) -> bool:
+    m = re.search(r"(?s)\[(.*)\]$", n.name)
+    if not m or has(r"^['\"`\d]", m[1]):
+        return False
+    span = (n.receiver[0] + m.start(1), n.receiver[0] + m.end(1))
+    return u.user_controlled(span) and not u.scope_has(n, V.PROTOTYPE_GUARD)
+
+
+def user_merge(u: Unit, n: Node) -> bool:
+    return has(V.MERGES, n.name) and any(map(u.user_controlled, n.args)) and not u.scope_has(n, V.PROTOTYPE_GUARD)
+
+
+def id_access(u: Unit, n: Node) -> bool:
+    if not (named_id(n.name) or loose_id(n.name)) or not has(V.ID_ACCESS, u.of(n)):
+        return False
+    return u.scope_has(n, V.LOOKUP_WORDS) and not scope_owned(u, n)
+
+
+def named_id(name: str) -> bool:
+    return name != "id" and has(r"(?:_id|Id|ID)$", name)
+
+
+def loose_id(name: str) -> bool:
+    return name == "id" or has(r"^[a-z][a-z]*id$", name) and name not in V.NOT_IDS
+
+
+def unowned_query(u: Unit, n: Node) -> bool:
+    a, b = u.scope(n)
+    return has(V.QUERY_NAME, n.name) and any(map(u.user_controlled, n.args)) and "owner" not in u.of(n).lower() and b - a > 20 and not scope_owned(u, n)
+
+
+def unguarded_privilege(u: Unit, n: Node) -> bool:
+    return n.op == "declaration" and has(V.PRIVILEGED_NAME, n.name) and not n.owner.generic and u.node_has(n, V.PRIVILEGED_BODY) and not authorized(u.of(n))
+
+
+def direct_lookup(u: Unit, n: Node) -> bool:
+    return has(V.DIRECT_LOOKUP, n.name) and bool(n.args) and u.user_controlled(n.args[0])
+
+
+def service_lookup(u: Unit, n: Node) -> bool:
+    base = u.receiver(n).removeprefix("this.")
+    if not base or not n.args or not has(V.SERVICE_RECEIVER, base) or not has(V.SERVICE_VERB, n.name) or has(rf"(?i)^(?:{V.DIRECT_LOOKUP[4:]})$", n.name):
+        return False
+    return u.user_controlled(n.args[0]) and not any(has(V.OWNER_CONTEXT, u.cut(a)) for a in n.args) and not scope_owned(u, n)
+
+
+def limited_path(path: str) -> bool:
+    return any(path.startswith(p) for p in V.LIMITED_PATHS)
 
-DETECTORS = [
-    Detector("BCR-JWT-001", CALL, lambda: _jwt("decode") & ~flag("verify")),
-    Detector("BCR-JWT-002", CALL, lambda: _jwt("verify") & arg(2).contains("none")),
-    Detector("BCR-JWT-003", CALL, lambda: _jwt("verify") & (F.size("args") > 2) & ~arg(2).contains("algorithm")),
-    Detector("BCR-JWT-004", CALL, lambda: _jwt("verify") & arg(1).rlike("publicKey|public_key") & c("text").contains("HS256")),
-    Detector("BCR-JWT-006", CALL, lambda: _jwt("verify") & arg(2).rlike("ignoreExpiration: ?true")),
-    Detector("BCR-JWT-007", ("assign", "binary"), lambda: c("name").contains("cache") & c("value").rlike("decode|jwt")),
-    Detector("BCR-JWT-008", CALL, lambda: _jwt("verify") & (F.size("args") > 0) & ~flag("kid")),
-    Detector("BCR-JWT-009", CALL, lambda: _jwt("sign") & ~arg(2).rlike(r"\b(?:expiresIn|notBefore)\b") & ~arg(0).rlike(r"\bexp\b\s*:")),
-    Detector("BCR-AUTH-003", CALL, lambda: _route() & _sensitive() & ~c("text").rlike(AUTHENTICATED)),
-    Detector("BCR-AC-001", CALL, lambda: _route() & _sensitive() & ~_authorized(c("text"))),
-    Detector("BCR-VAL-001", CALL, lambda: c("name").rlike(SQL_CALL) & c("receiver").rlike(DATABASE) & F.exists("args", lambda a: built(a) & a.rlike(SQL_WORDS)) & any_dirty() & ~flag("validation")),
-    Detector("BCR-VAL-001", CALL, lambda: c("name").rlike(RAW) & c("receiver").rlike(MAPPER) & built(arg(0)) & dirty(0) & ~flag("validation")),
-    Detector("BCR-VAL-001", CALL, lambda: c("name").rlike("(?i)^search$") & c("receiver").rlike(r"(?i)\b(?:db|database|repo|repository|model|query)\b") & F.exists("args", lambda a: a.rlike("(?i)query|filter|term|search")) & any_dirty() & ~flag("validation")),
-    Detector("BCR-VAL-002", CALL, lambda: c("name").rlike(PROCESS) & ~c("receiver").rlike(r"^/") & any_dirty() & ~flag("validation") & ~c("receiver").rlike(DATABASE)),
-    Detector("BCR-VAL-003", ("call", "new"), lambda: (c("name").rlike("(?i)^eval$") | (c("name") == "Function")) & any_dirty() & ~flag("validation")),
-    Detector("BCR-VAL-003", CALL, lambda: c("name").isin("setTimeout", "setInterval") & arg(0).rlike(r"^['\"`]") & any_dirty() & ~flag("validation")),
-    Detector("BCR-VAL-005", CALL, lambda: (c("receiver") == "JSON") & (c("name") == "parse") & dirty(0) & ~flag("validation")),
-    Detector("BCR-VAL-006", ("call", "new"), lambda: c("name").isin("eval", "Function") & dirty(0) & ~flag("validation")),
-    Detector("BCR-VAL-007", ("assign",), lambda: c("name").rlike(r"__proto__|constructor\.prototype") & c("value_taint")),
-    Detector("BCR-VAL-008", CALL, lambda: (c("name") == "assign") & F.exists(F.slice("arg_taint", 2, 100), lambda x: x) & ~flag("validation")),
-    Detector("BCR-VAL-009", ("spread",), lambda: c("value_taint") & ~flag("validation")),
-    Detector("BCR-VAL-010", CALL, lambda: (callee().rlike(r"^(?:Object\.create|Object\.defineProperty|Object\.defineProperties|Object\.setPrototypeOf|Reflect\.set|Reflect\.defineProperty)$") | (c("name") == "constructor")) & any_dirty() & ~flag("validation"), None, lit("TENTATIVE")),
-    Detector("BCR-VAL-011", ("tagged",), lambda: c("name").rlike(SQL_TAG) & c("value_taint")),
-    Detector("BCR-VAL-012", CALL, lambda: (callee() == "Buffer.from") & arg(1).rlike(r"(?i)^['\"]base64['\"]$") & dirty(0) & c("value").rlike(r"^\.toString")),
-    Detector("BCR-VAL-013", CALL, lambda: c("name").rlike(NOSQL) & c("receiver").rlike(MODEL) & dirty(0) & ~built(arg(0)) & ~arg(0).rlike(r"^(?:String|Number|parseInt|parseFloat|Boolean)\(|^['\"`\d]") & ~flag("validation"), lambda: F.when(arg(0).rlike(r"\$(?:where|function)\b|mapReduce"), "CRITICAL").otherwise("HIGH"), lit("CONFIRMED")),
-    Detector("BCR-VAL-014", CALL, lambda: c("name").rlike("(?i)^(?:compile|compileFile|renderString|template)$") & (c("receiver").rlike(ENGINES) | (F.lower("name") == "renderstring")) & dirty(0) & ~flag("validation"), None, lit("CONFIRMED")),
-    Detector("BCR-VAL-015", PROP, lambda: c("name").rlike("(?i)^(?:noent|resolveExternals|replaceEntities|externalEntities|loadExternalDtd)$") & c("value").rlike("(?i)^true$"), None, lit("CONFIRMED")),
-    Detector("BCR-LOG-001", CALL, lambda: _logger() & F.exists("args", lambda a: F.regexp_replace(a, QUOTED, " ").rlike(SENSITIVE_LOG))),
-    Detector("BCR-LOG-002", CALL, lambda: _logger() & F.exists("args", lambda a: a.rlike(r"^`[^`]*\$\{[^}]*\b(?:req|request)\."))),
-    Detector("BCR-MA-001", CALL, lambda: (callee() == "Object.assign") & F.exists("args", lambda a: a.rlike(r"^(?:req|request)\.(?:body|query|params)$"))),
-    Detector("BCR-MA-004", ("assign",), lambda: c("name").rlike(r"__proto__|constructor\.prototype|\.prototype\[")),
-    Detector("BCR-MA-005", PROP, lambda: c("name").isin("constructor", "__proto__", "prototype")),
-    Detector("BCR-KEY-007", ("literal",), lambda: c("value").rlike(CREDENTIALS) & (c("context") != "")),
-    Detector("BCR-KEY-008", BINARY, lambda: c("op").isin("||", "??") & c("name").rlike(r"(?i)^process\.env(?:\.|\[['\"])\w*(?:secret|key|token|password|passwd|pwd)\w*") & c("value").rlike(r"^['\"][^'\"]{3,}['\"]$")),
-    Detector("BCR-CRYPTO-001", CALL, lambda: c("name").rlike("(?i)^(?:md5|sha1)$") | c("name").rlike("(?i)^(?:createHash|createHmac)$") & arg(0).rlike(r"(?i)^['\"`](?:md5|sha1)['\"`]$"), lambda: F.when(c("name").rlike("(?i)^createHmac$") | c("text").rlike(SECURITY_WORDS), "HIGH").otherwise("MEDIUM")),
-    Detector("BCR-CRYPTO-002", CALL, lambda: (callee() == "Math.random") & c("context").rlike("(?i)token")),
-    Detector("BCR-CRYPTO-003", CALL, lambda: c("text").rlike(r"(?:key|secret)\s*[:=]\s*['\"][A-Za-z0-9]{10,}['\"]")),
-    Detector("BCR-CRYPTO-004", CALL, lambda: (callee() == "Math.random") & ~c("context").rlike("(?i)token") & c("context").rlike(ONE_TIME)),
-    Detector("BCR-CRYPTO-005", CALL, lambda: (c("receiver") == "crypto") & c("name").isin("createCipher", "createDecipher")),
-    Detector("BCR-CRYPTO-006", BINARY, lambda: c("op").isin("===", "!==", "==", "!=") & ~_no_value(c("name")) & ~_no_value(c("value")) & (_comparand(c("name")) | _comparand(c("value"))), None, FIRM_OR(lambda: c("text").rlike(r"(?i)createHmac|createHash|\.digest\(|\.sign\(|crypto\."))),
-    Detector("BCR-DE-001", ("return",), lambda: c("text").rlike(r"res\.send\(|res\.json\(|\breturn\s+.*\buser\b") & c("text").rlike(EXPOSED) & ~c("text").rlike(REMOVED)),
-    Detector("BCR-DE-002", ("return",), lambda: c("text").rlike(EXPOSED) & (c("text").rlike(RESPONSE) | c("function").rlike(r"(?i)(?:response|dto|payload|serialize|present|view|render|tojson)$|^(?:build|make|create|format|to)\w*(?:response|dto|payload|view|json)"))),
-    Detector("BCR-CACHE-001", CALL, lambda: _cache() & ~_poisoned(), None, lit("CONFIRMED")),
-    Detector("BCR-CACHE-002", CALL, lambda: _cache() & _poisoned(), None, lit("CONFIRMED")),
-    Detector("BCR-SSRF-001", CALL, lambda: callee().rlike(OUTBOUND) & dirty(0) & ~flag("url_check")),
-    Detector("BCR-REDIRECT-001", CALL, _redirect),
-    Detector("BCR-PT-001", CALL, lambda: callee().rlike(FILE_CALL) & dirty(0) & ~flag("url_check") & ~flag("contained")),
-    Detector("BCR-MISC-001", CALL, lambda: (callee() == "cors") & ((F.size("args") == 0) | arg(0).rlike(r"^\{") & option(arg(0), "origin", r"(?:['\"]\*['\"]|true\b)"))),
-    Detector("BCR-MISC-002", CALL, lambda: c("name").isin("json", "urlencoded", "raw", "text") & c("receiver").rlike("(?i)^(?:express|bodyParser|body_parser|app)$") & ~option(arg(0), "limit", "")),
-    Detector("BCR-MISC-003", CALL, lambda: (callee() == "helmet") & (F.size("args") == 0)),
-    Detector("BCR-MISC-004", CALL, lambda: c("receiver").rlike("(?i)^(?:bcrypt|bcryptjs)$") & (F.when(c("name").isin("hash", "hashSync"), arg(1)).when(c("name").isin("genSalt", "genSaltSync"), arg(0)).otherwise("").try_cast("double") < 10)),
-    Detector("BCR-MISC-005", CALL, lambda: (callee() == "cors") & option(arg(0), "credentials", r"true\b") & (arg(0).rlike(r"origin['\"]?\s*:\s*(?:" + REFLECTED.replace("(?i)", "") + ")") | arg(0).rlike(r"(?i)\b(?:callback|cb|done)\s*\(\s*null\s*,\s*(?:true|origin)\s*\)") & ~arg(0).rlike(r"(?i)includes|indexOf|===|!==|allowlist|whitelist|\.test\(|\.some\("))),
-    Detector("BCR-TLS-001", PROP, lambda: (c("name") == "rejectUnauthorized") & c("value").rlike(r"(?i)^(?:false|0+(?:\.0*)?|['\"`]\s*(?:0|false)?\s*['\"`])$")),
-    Detector("BCR-TLS-002", ("assign",), lambda: c("name").rlike(r"^process\.env(?:\.NODE_TLS_REJECT_UNAUTHORIZED|\[['\"`]NODE_TLS_REJECT_UNAUTHORIZED['\"`]\])$") & c("value").rlike(r"^(?:0|['\"`]\s*0\s*['\"`])$")),
-    Detector("BCR-COOKIE-001", CALL, lambda: (_cookie() | _session()) & option(_options(), "httpOnly", r"false\b") | _named_cookie() & _lacks("httpOnly"), None, FIRM_OR(lambda: option(_options(), "httpOnly", r"false\b"))),
-    Detector("BCR-COOKIE-002", CALL, lambda: (_named_cookie() | _session()) & (option(_options(), "secure", r"false\b") | _lacks("secure")), None, FIRM_OR(lambda: option(_options(), "secure", r"false\b"))),
-    Detector("BCR-COOKIE-003", CALL, lambda: (_named_cookie() | _session()) & (option(_options(), "sameSite", r"(?:['\"`](?i:none)['\"`]|false\b)") | _lacks("sameSite")), None, FIRM_OR(lambda: option(_options(), "sameSite", r"['\"`](?i:none)"))),
-]
 
+def unlimited(u: Unit, n: Node) -> bool:
+    return limited_path(n.name) and not any(x.owner[0] is n for x in u.nodes.get("limiter", ()))
 
-def findings(nodes: DataFrame) -> DataFrame:
-    """One row a finding: the same columns as a log's, with the first 140 characters as excerpt.  No shuffle."""
-    known = {r[0]: r for r in R.RULES}
 
-    def one(n: int, d: Detector) -> Column:
-        rule = known[d.rule]
-        sure = d.confidence() if d.confidence else F.lit(R.CONFIDENCE.get(d.rule, "TENTATIVE" if rule[5] else "FIRM"))
-        found = F.struct(F.lit(n).alias("ord"), F.lit(d.rule).alias("rule_id"), (d.severity() if d.severity else F.lit(rule[2])).alias("severity"), F.lit(rule[1]).alias("category"), sure.alias("confidence"))
-        return F.when(c("kind").isin(*d.kinds) & d.holds(), found)
+def spoofable(config: dict) -> bool:
+    return config.get("by_address", False) and not config["trusted"]
 
-    kinds = sorted({k for d in DETECTORS for k in d.kinds})
-    found = nodes.where(c("kind").isin(kinds)).withColumn("m", F.explode(F.array_compact(F.array(*[one(n, d) for n, d in enumerate(DETECTORS)]))))
-    code = F.substring("text", 1, 140)
-    return found.select(
-        c("m.ord").alias("ord"), c("m.rule_id").alias("rule_id"), c("m.severity").alias("severity"), c("m.category").alias("category"), c("m.confidence").alias("confidence"), "file", "line", "column",
-        S.fingerprint(c("m.rule_id"), c("file"), c("line"), code).alias("fingerprint"), code.alias("excerpt"), F.col("start").cast("long").alias("id"),
-    )
 
+def first_spoofable(u: Unit, n: Node) -> bool:
+    route, config = n.owner
+    return spoofable(config) and not any(x.owner[0] is route and x.start == n.start and spoofable(x.owner[1]) for x in u.nodes["limiter"][: u.nodes["limiter"].index(n)])
 
-def reviewed(files: DataFrame, nodes: DataFrame, disabled: list[str] | None = None, heuristics: bool = False, least: str | None = None, baseline: DataFrame | None = None) -> DataFrame:
+
+def weak_limit(u: Unit, n: Node) -> bool:
+    c = n.owner[1]
+    return has(V.HIGH_RISK_PATH, n.name) and bool(c.get("max")) and bool(c.get("window")) and not spoofable(c) and c["max"] * 60_000 / c["window"] > V.MOST_PER_MINUTE
+
+
+def local_store(u: Unit, n: Node) -> bool:
+    c = n.owner[1]
+    return limited_path(n.name) and c.get("memory", False) and not c["shared"]
+
+
+def race(u: Unit, n: Node) -> bool:
+    if n.op not in ("declaration", "arrow", "expression"):
+        return False
+    return u.count((n.start, n.end), r"await\s+") >= 2 and u.node_has(n, "update|UPDATE") and not u.node_has(n, "|".join(V.BL_LOCKS)) and bool(u.matches(V.BL_ASYNC)[0]) and has(r"(?s)await.*?;.*?await", u.clean)
+
+
+def payment_route(u: Unit, n: Node) -> bool:
+    return has(V.PAYMENT_ROUTE, f"{n.name}\n{u.cut(n.value)}".lower())
+
+
+def payment_calls(u: Unit, n: Node) -> Iterator[Node]:
+    for x in u.calls_in(n.value):
+        callee = u.callee(x).lower()
+        if has(V.PAYMENT_CALL, callee) or has(V.PAYMENT_WORD, callee) and x.args:
+            yield x
+
+
+def no_idempotency(u: Unit, n: Node) -> Node | None:
+    return next(payment_calls(u, n), None) if payment_route(u, n) and not has(V.IDEMPOTENT, u.route_text(n).lower()) else None
+
+
+def client_price(u: Unit, n: Node) -> Node | None:
+    if not payment_route(u, n):
+        return None
+    for call in payment_calls(u, n):
+        for a in call.args:
+            if u.is_object(a):
+                amounts = [v for k, v in u.objects[a[0]].items() if has(V.AMOUNT_KEY, k.lower())]
+            else:
+                amounts = [a] if has(V.AMOUNT_ARGUMENT, u.cut(a).lower()) else []
+            for span in amounts:
+                if u.dirty(span) or u.user_controlled(span):
+                    return Node("amount", *span)
+    return None
+
+
+def funds_check(u: Unit, n: Node) -> bool:
+    condition, then = u.cut(n.receiver).lower(), u.cut(n.value).lower()
+    return any(w in condition for w in V.FUNDS_WORDS) and has("[<>]", condition) and any(w in then for w in V.FUNDS_ACTS) and not has("transaction|lock", u.of(n))
+
+
+def check_then_act(u: Unit, n: Node) -> Node | None:
+    """The first change of a stock or balance, outside any then-branch, after it was read or compared."""
+    scope = (n.start, n.end)
+    if not u.node_has(n, V.STOCKED) or u.node_has(n, V.ATOMIC):
+        return None
+    calls = [(x, u.of(x)) for x in u.calls_in(scope)]
+    checks = [x.start for x in u.nodes.get("if", ()) if scope[0] <= x.start < scope[1] and has(V.STOCKED, u.cut(x.receiver)) and has("[<>]", u.cut(x.receiver))]
+    checks += [x.start for x, t in calls if has(V.STOCKED, t) and has(V.STOCK_READ, t) and not has(V.STOCK_ACT, t)]
+    acts = [x for x, t in calls if checks and x.start > min(checks) and has(V.STOCKED, t) and has(V.STOCK_ACT, t) and not in_then(u, x, scope)]
+    return min(acts, key=lambda x: x.start) if acts else None
+
+
+def overselling(u: Unit, n: Node) -> Node | None:
+    if not u.has(scope := (n.start, n.end), V.INVENTORY, low=True) or u.has(scope, V.INVENTORY_LOCKS, low=True):
+        return None
+    calls = [(x, u.of(x).lower()) for x in u.calls_in((n.start, n.end))]
+    stocked = [(x, t) for x, t in calls if has(V.INVENTORY, t)]
+    write = next(((x, t) for x, t in stocked if has(V.INVENTORY_WRITE, t) and has(V.INVENTORY_CHANGE, t)), None)
+    if write is None or not any(has(V.INVENTORY_READ, t) for _, t in stocked) or has(V.INVENTORY_GUARD, write[1]):
+        return None
+    return write[0]
+
+
+def hardcoded_key(u: Unit, n: Node) -> bool:
+    text = u.cut(n.value)
+    if n.op != "str" or len(text) < 8 or has(V.SCANNER_WORDS, text) or label_like(text):
+        return False
+    if not service_key(text) and not (has(V.GENERIC_KEYS, text) and secret_value(text) and has(V.GENERIC_CREDENTIAL, u.context(n))):
+        return False
+    return not described(u, n)
+
+
+def config_key(u: Unit, n: Node) -> bool:
+    if not has(V.CONFIG_FILE, u.file.lower()) or not has(V.CONFIG_KEY, n.name):
+        return False
+    value = string_of(u, n.value)
+    return value is not None and secret_value(value) and not has(V.ENVIRONMENT, value)
+
+
+def default_key(u: Unit, n: Node) -> bool:
+    name, _, value = u.cut((n.start, n.end)).partition("=")
+    return n.owner.kind != "method" and has(V.KEY_PARAMETER, name.split(":")[0]) and has(V.KEY_DEFAULT, value)
+
+
+def key_in_comment(u: Unit, n: Node) -> bool:
+    line = u.text[n.start : n.end]
+    at = next((line.find(m) for m in ("//", "/*") if m in line), 0 if "*" in line else -1)
+    if at < 0 or has(V.SCANNER_WORDS, line):
+        return False
+    comment = line[at:]
+    if not (service_key(comment) or inline_key(comment)):
+        return False
+    return not any(a <= n.start + at < b and u.text.startswith("/**", a) and has(V.DOC_TAGS, u.text[a:b]) for a, b in u.s.comments)
+
+
+def logged_key(u: Unit, n: Node) -> Node | None:
+    if not has(V.KEY_LOGGER, u.callee(n).lower()):
+        return None
+    for a in n.args:
+        text = u.cut(a)
+        names = [m[1] for m in re.finditer(r"\$\{\s*[\w$.]*?([\w$]+)\s*\}", text)] if text[:1] == "`" else [m[1]] if (m := re.fullmatch(r"[\w$.\[\]'\"]*?([\w$]+)(?:['\"]\])?", text)) and text[:1] not in "'\"" else []
+        if service_key(text) or any(has(V.GENERIC_CREDENTIAL, x) for x in names[:1]) or inline_key(text):
+            return Node("arg", *a)
+    return None
+
+
+def key_in_error(u: Unit, n: Node) -> bool:
+    text = u.cut(n.value)
+    return n.op == "str" and has(V.ERROR_WORDS, text) and (service_key(text) or inline_key(text))
+
+
+def env_fallback(u: Unit, n: Node) -> bool:
+    left, right = u.receiver(n), string_of(u, n.value)
+    return n.op in ("||", "??") and has(r"process\.env\b", left) and has(V.SECRET_ENVIRONMENT, left) and right is not None and len(right) >= 3 and not has(V.FALLBACK_SENTINEL, right)
+
+
+def comparand(text: str) -> bool:
+    name = re.search(r"([\w$]+)$", re.sub(r"\([^()]*\)$|!$", "", text))
+    return name is not None and has(V.SECRET_NAME, name[1]) and (not name[1][0].isupper() or has("^[A-Z0-9_]+$", name[1]))
+
+
+def no_value(text: str) -> bool:
+    return has(r"^(?:['\"`].*|\d[\w.]*|true|false|null|undefined|typeof\b.*)$|\.(?:length|kind|type|status|statusCode|size|count)$", text)
+
+
+def timing(u: Unit, n: Node) -> bool:
+    left, right = u.receiver(n), u.cut(n.value)
+    return n.op in ("===", "!==", "==", "!=") and not no_value(left) and not no_value(right) and (comparand(left) or comparand(right))
+
+
+def weak_hash(u: Unit, n: Node) -> bool:
+    return has(V.WEAK_HASH, n.name) or has("(?i)^(?:createHash|createHmac)$", n.name) and has(V.WEAK_HASH, plain(u.arg(n, 0)))
+
+
+def exposed_fields(u: Unit, n: Node) -> bool:
+    f = u.function(n)
+    return u.node_has(n, V.EXPOSED) and (u.node_has(n, V.RESPONSE) or has(V.RESPONSE_BUILDER, f.name if f else ""))
+
+
+def unfiltered(u: Unit, n: Node) -> bool:
+    return u.node_has(n, V.EXPOSED) and u.node_has(n, V.SENT_USER) and not u.node_has(n, V.REMOVED)
+
+
+def cache_write(u: Unit, n: Node) -> bool:
+    name, receiver, key = n.name.lower(), u.receiver(n).lower(), u.arg(n, 0)
+    sink = has(V.CACHE_WRITE, name) and has(V.CACHE_RECEIVER, receiver) or has(V.REDIS_WRITE, name) and has(r"\bredis\b", receiver) or "memcache" in receiver
+    return sink and has(V.REQUEST_KEY, key) and not has(V.CLEAN_KEY, key)
+
+
+def poisoned(u: Unit, n: Node) -> bool:
+    return has(V.REQUEST_HEADERS, u.arg(n, 0)) and has(V.HEADER_KEY, u.arg(n, 0))
+
+
+def queue_parse(u: Unit, n: Node) -> bool:
+    if not n.receiver or not has(V.QUEUE_HANDLERS, n.name.lower()):
+        return False
+    body = handler_text(u, n)
+    return has(V.QUEUE_PARSERS, body) and has(V.QUEUE_MESSAGE, body) and not has(V.QUEUE_VALIDATED, body)
+
+
+def queue_send(u: Unit, n: Node) -> bool:
+    return n.receiver is not None and has(V.QUEUE_SEND, n.name.lower()) and has(V.QUEUE_RECEIVER, u.receiver(n).lower()) and u.node_has(n, V.QUEUE_REQUEST) and not u.node_has(n, V.QUEUE_SIGNED)
+
+
+def acknowledged(u: Unit, n: Node) -> bool:
+    return u.node_has(n, V.ACKNOWLEDGED) and u.node_has(n, V.BROKER) and u.node_has(n, V.BROKER_MESSAGE) and not u.node_has(n, V.BROKER_CHECKED)
+
+
+def event_injection(u: Unit, n: Node) -> bool:
+    return u.node_has(n, V.EVENT_HANDLER) and u.node_has(n, V.EVENT_DATA) and not u.node_has(n, V.EVENT_CHECKED)
+
+
+def event_name(u: Unit, n: Node) -> bool:
+    return has(V.EVENT_SEND, u.callee(n).lower()) and has(V.EVENT_NAME, u.arg(n, 0))
+
+
+def no_tenant(u: Unit, n: Node) -> bool:
+    if not n.receiver or not has(V.TENANT_HANDLERS, n.name.lower()) or not has(V.TENANT_RECEIVER, u.receiver(n).lower()):
+        return False
+    text = handler_text(u, n)
+    return has(V.TENANT_STORE, text) and has(V.TENANT_DATA, text) and not has(V.TENANT_SCOPE, text)
+
+
+def outbound(u: Unit, n: Node) -> bool:
+    return has(V.OUTBOUND, u.sink(n)) and dirty(u, n, 0) and not u.scope_has(n, V.URL_CHECK)
+
+
+def redirect(u: Unit, n: Node) -> bool:
+    receiver = u.receiver(n)
+    if receiver not in ("res", "response", "reply") or receiver == "reply" and n.name != "redirect" or not n.args:
+        return False
+    if n.name == "redirect":
+        target = n.args[-1]
+    elif n.name == "location":
+        target = n.args[0]
+    elif n.name == "set" and len(n.args) == 2 and plain(u.arg(n, 0)).lower() == "location":
+        target = n.args[1]
+    else:
+        return False
+    return u.dirty(target) and not u.scope_has(n, V.URL_CHECK) and not has(r"^['\"`]/(?!/)", u.cut(target))
+
+
+def path_traversal(u: Unit, n: Node) -> bool:
+    return has(V.FILE_CALL, u.sink(n)) and dirty(u, n, 0) and not u.scope_has(n, V.URL_CHECK) and not u.scope_has(n, V.CONTAINED)
+
+
+def reflected_cors(u: Unit, n: Node) -> bool:
+    if u.callee(n) != "cors" or not n.args or u.option(n.args[0], "credentials") != "true":
+        return False
+    origin = u.option(n.args[0], "origin") or u.arg(n, 0)
+    return has(V.REFLECTED, origin) or has(V.REFLECTED_CALLBACK, origin) and not has(V.ORIGIN_CHECKED, origin)
+
+
+def reflected_headers(u: Unit, n: Node) -> bool:
+    """The file's last call that sets the allowed origin from the request, if another one allows credentials."""
+    calls = u.nodes["call"]
+    key = ("reflected",)
+    if key not in u._seen:
+        found = None
+        if has(V.ORIGIN_HEADER, u.clean) and has(V.CREDENTIALS_HEADER, u.clean):
+            texts = [(x, u.of(x)) for x in calls]
+            echoes = [x for x, t in texts if has(V.ORIGIN_HEADER, t) and has(V.REFLECTED, t)]
+            found = echoes[-1] if echoes and any(has(V.CREDENTIALS_HEADER, t) and has(V.HEADER_TRUE, t) for _, t in texts) else None
+        u._seen[key] = found
+    return u._seen[key] is n
+
+
+def open_cors(u: Unit, n: Node) -> bool:
+    return u.callee(n) == "cors" and (not n.args or u.is_object(n.args[0]) and has(r"^(?:['\"]\*['\"]|true)$", u.option(n.args[0], "origin") or ""))
+
+
+def low_cost(u: Unit, n: Node) -> bool:
+    cost = u.arg(n, 1) if n.name in ("hash", "hashSync") else u.arg(n, 0) if n.name in ("genSalt", "genSaltSync") else ""
+    return has(V.BCRYPT, u.receiver(n)) and cost.isdigit() and int(cost) < V.LEAST_COST
+
+
+CALL, LITERAL, BINARY, PROP, ROUTE, LIMITER, FUNCTION = ("call",), ("literal",), ("binary",), ("prop",), ("route",), ("limiter",), ("function",)
+value = lambda u, n: u.cut(n.value)
+
+DETECTORS = [
+    Detector("BCR-AUTH-001", ("member",), request_token, cut=None, names="^token$"),
+    Detector("BCR-AUTH-002", LITERAL, secret_literal, cut=None),
+    Detector("BCR-AUTH-003", ROUTE, lambda u, n: sensitive(u, n) and not has(V.AUTHENTICATED, u.route_text(n)), cut=100),
+    Detector("BCR-AUTH-004", ("var",), secret_variable, cut=None),
+    Detector("BCR-VAL-001", CALL, sql_sink, None, "CONFIRMED"),
+    Detector("BCR-VAL-001", CALL, raw_sql, None, "CONFIRMED", names=V.RAW),
+    Detector("BCR-VAL-001", CALL, search_sink, None, "CONFIRMED", names="(?i)^search$"),
+    Detector("BCR-VAL-002", CALL, process_sink, None, "CONFIRMED"),
+    Detector("BCR-VAL-003", ("call", "new"), code_sink, None, "CONFIRMED"),
+    Detector("BCR-VAL-011", ("tagged",), lambda u, n: has(V.SQL_TAG, n.name) and u.dirty((n.start, n.end)), cut=160),
+    Detector("BCR-VAL-013", CALL, nosql_sink, lambda u, n: "CRITICAL" if has(V.NOSQL_CODE, u.arg(n, 0)) else "HIGH", "CONFIRMED", names=V.NOSQL),
+    Detector("BCR-VAL-014", CALL, template_sink, None, "CONFIRMED", names=V.TEMPLATE_CALL),
+    Detector("BCR-VAL-015", PROP, lambda u, n: has(V.XML_OPTIONS, n.name) and u.cut(n.value) == "true", None, "CONFIRMED"),
+    Detector("BCR-LOG-001", CALL, sensitive_log, cut=50, shown=lambda u, n: ", ".join(u.cut(a) for a in n.args), names=V.LOG_VERBS),
+    Detector("BCR-LOG-002", CALL, logged_request, cut=50, shown=lambda u, n: ", ".join(u.cut(a) for a in n.args), names=V.LOG_VERBS),
+    Detector("BCR-MA-001", CALL, lambda u, n: u.callee(n) == "Object.assign" and any(raw_request(u, a) for a in n.args[1:]), None, "CONFIRMED", 60, names="^assign$"),
+    Detector("BCR-MA-002", ("assign",), field_from_user, None, lambda u, n: "CONFIRMED" if has(V.SENSITIVE_FIELD, n.name.rsplit(".", 1)[-1]) else "TENTATIVE", 60),
+    Detector("BCR-MA-003", FUNCTION, copies_all, cut=60),
+    Detector("BCR-MA-004", ("assign",), lambda u, n: has(V.PROTOTYPE_TARGET, n.name), cut=None),
+    Detector("BCR-MA-007", ("assign",), dynamic_key),
+    Detector("BCR-MA-007", CALL, user_merge, names=V.MERGES),
+    Detector("BCR-MA-005", PROP, lambda u, n: n.name in V.PROTOTYPE_KEYS, cut=60),
+    Detector("BCR-MA-006", CALL, body_to_service, cut=140, names=V.SAVE_VERB),
+    Detector("BCR-RL-001", ROUTE, unlimited, cut=100),
+    Detector("BCR-RL-002", LIMITER, first_spoofable, cut=140),
+    Detector("BCR-RL-003", LIMITER, weak_limit, cut=160),
+    Detector("BCR-RL-004", LIMITER, local_store, cut=160),
+    Detector("BCR-AC-001", ROUTE, lambda u, n: sensitive(u, n) and not authorized(u.route_text(n)), cut=100),
+    Detector("BCR-AC-002", ("member",), id_access, None, lambda u, n: "FIRM" if named_id(n.name) else "TENTATIVE", None, names="(?i)id$"),
+    Detector("BCR-AC-003", CALL, unowned_query, cut=60, names=V.QUERY_NAME),
+    Detector("BCR-AC-004", FUNCTION, unguarded_privilege, cut=60),
+    Detector("BCR-AC-005", CALL, direct_lookup, cut=60, names=V.DIRECT_LOOKUP),
+    Detector("BCR-AC-005", CALL, service_lookup, "HIGH", "TENTATIVE", 80, once=True, names=V.SERVICE_VERB),
+    Detector("BCR-BL-001", FUNCTION, race, cut=80),
+    Detector("BCR-BL-002", ROUTE, no_idempotency, "CRITICAL", cut=80, once=True),
+    Detector("BCR-BL-003", ("if",), funds_check, cut=80),
+    Detector("BCR-BL-003", FUNCTION, check_then_act, None, "TENTATIVE", 80, once=True),
+    Detector("BCR-BL-004", ROUTE, client_price, cut=80, once=True),
+    Detector("BCR-BL-005", FUNCTION, overselling, cut=80, once=True),
+    Detector("BCR-JWT-001", CALL, lambda u, n: jwt(u, n, "decode") and not u.scope_has(n, V.TOKEN_CHECK), cut=None, shown=lambda u, n: u.cut(u.scope(n)).lower(), names="^decode$"),
+    Detector("BCR-JWT-002", CALL, lambda u, n: jwt(u, n, "verify") and "none" in u.arg(n, 2), cut=None, shown=line_of, names="^verify$"),
+    Detector("BCR-JWT-003", CALL, lambda u, n: jwt(u, n, "verify") and len(n.args) > 2 and "algorithm" not in u.arg(n, 2), cut=None, shown=line_of, names="^verify$"),
+    Detector("BCR-JWT-004", CALL, lambda u, n: jwt(u, n, "verify") and has("publicKey|public_key", u.arg(n, 1)) and "HS256" in u.of(n), cut=None, shown=line_of, names="^verify$"),
+    Detector("BCR-JWT-005", ("var",), weak_jwt_secret, cut=None, shown=line_of),
+    Detector("BCR-JWT-006", CALL, lambda u, n: jwt(u, n, "verify") and u.option(n.args[2] if len(n.args) > 2 else None, "ignoreExpiration") == "true", cut=None, shown=line_of, names="^verify$"),
+    Detector("BCR-JWT-009", CALL, lambda u, n: jwt(u, n, "sign") and not has(r"\b(?:expiresIn|notBefore)\b", u.arg(n, 2)) and not has(r"\bexp\b\s*:", u.arg(n, 0)), cut=None, shown=line_of, names="^sign$"),
+    Detector("BCR-JWT-007", ("assign", "binary"), lambda u, n: "cache" in u.receiver(n) and has("decode|jwt", u.cut(n.value)), cut=None, shown=line_of),
+    Detector("BCR-JWT-008", CALL, lambda u, n: jwt(u, n, "verify") and bool(n.args) and not u.scope_has(n, V.KID), cut=None, shown=lambda u, n: u.cut(u.scope(n)).lower(), names="^verify$"),
+    Detector("BCR-KEY-001", LITERAL, hardcoded_key, lambda u, n: "HIGH" if has(V.TEST_PATH, u.file) else "CRITICAL", cut=50, shown=value),
+    Detector("BCR-KEY-002", PROP, config_key, "CRITICAL", cut=60),
+    Detector("BCR-KEY-003", ("param",), default_key, cut=60),
+    Detector("BCR-KEY-004", ("line",), key_in_comment, cut=60, shown=lambda u, n: u.text[n.start : n.end].strip()),
+    Detector("BCR-KEY-005", CALL, logged_key, cut=60),
+    Detector("BCR-KEY-006", LITERAL, key_in_error, cut=60, shown=value),
+    Detector("BCR-KEY-007", LITERAL, lambda u, n: n.op == "str" and has(V.CONNECTION, u.cut(n.value)) and u.context(n) != "", cut=60, shown=value),
+    Detector("BCR-KEY-008", BINARY, env_fallback),
+    Detector("BCR-VAL-012", CALL, lambda u, n: u.callee(n) == "Buffer.from" and u.arg(n, 1)[1:-1].lower() == "base64" and dirty(u, n, 0) and u.cut(n.value).startswith(".toString"), cut=140, names="^from$"),
+    Detector("BCR-VAL-005", CALL, lambda u, n: u.callee(n) == "JSON.parse" and dirty(u, n, 0) and unchecked(u, n), cut=None, names="^parse$"),
+    Detector("BCR-VAL-006", ("call", "new"), lambda u, n: n.name in ("eval", "Function") and dirty(u, n, 0) and unchecked(u, n), cut=None, names="^(?:eval|Function)$"),
+    Detector("BCR-VAL-007", ("assign",), lambda u, n: has(r"__proto__|constructor\.prototype", n.name) and u.dirty(n.value), cut=None),
+    Detector("BCR-VAL-008", CALL, lambda u, n: n.name == "assign" and any(map(u.dirty, n.args[1:])) and unchecked(u, n), cut=None, names="^assign$"),
+    Detector("BCR-VAL-009", ("spread",), lambda u, n: u.dirty(n.value) and unchecked(u, n), cut=None),
+    Detector("BCR-VAL-010", CALL, gadget, None, "TENTATIVE"),
+    Detector("BCR-CRYPTO-006", BINARY, timing, None, lambda u, n: "FIRM" if has(V.HASHED, u.of(n)) else "TENTATIVE"),
+    Detector("BCR-CRYPTO-001", CALL, weak_hash, lambda u, n: "HIGH" if n.name.lower() == "createhmac" or has(V.SECURITY_WORDS, u.of(n)) else "MEDIUM", cut=None, names="(?i)^(?:md5|sha1|createHash|createHmac)$"),
+    Detector("BCR-CRYPTO-002", CALL, lambda u, n: u.callee(n) == "Math.random" and has("(?i)token", u.context(n)), cut=None, names="^random$"),
+    Detector("BCR-CRYPTO-004", CALL, lambda u, n: u.callee(n) == "Math.random" and not has("(?i)token", u.context(n)) and has(V.ONE_TIME, u.context(n)), cut=None, names="^random$"),
+    Detector("BCR-CRYPTO-003", CALL, lambda u, n: u.node_has(n, V.KEY_LITERAL), cut=None),
+    Detector("BCR-CRYPTO-005", CALL, lambda u, n: u.callee(n) in ("crypto.createCipher", "crypto.createDecipher"), cut=140, names="^create(?:Cipher|Decipher)$"),
+    Detector("BCR-DE-001", ("return",), unfiltered, cut=None),
+    Detector("BCR-DE-002", ("return",), exposed_fields, cut=None),
+    Detector("BCR-CACHE-001", CALL, lambda u, n: cache_write(u, n) and not poisoned(u, n), None, "CONFIRMED"),
+    Detector("BCR-CACHE-002", CALL, lambda u, n: cache_write(u, n) and poisoned(u, n), None, "CONFIRMED"),
+    Detector("BCR-MQ-001", CALL, queue_parse, None, "FIRM", names="(?i)" + V.QUEUE_HANDLERS),
+    Detector("BCR-MQ-002", CALL, queue_send, cut=None, names="(?i)" + V.QUEUE_SEND),
+    Detector("BCR-MQ-003", CALL, acknowledged, cut=None),
+    Detector("BCR-EVT-001", CALL, event_injection, cut=None),
+    Detector("BCR-EVT-002", CALL, event_name, cut=None),
+    Detector("BCR-EVT-003", CALL, no_tenant, None, "TENTATIVE", names="(?i)" + V.TENANT_HANDLERS),
+    Detector("BCR-SSRF-001", CALL, outbound, cut=140),
+    Detector("BCR-REDIRECT-001", CALL, redirect, cut=140, names="^(?:redirect|location|set)$"),
+    Detector("BCR-PT-001", CALL, path_traversal, cut=140),
+    Detector("BCR-MISC-005", CALL, reflected_cors, cut=140, names="^cors$"),
+    Detector("BCR-MISC-005", CALL, reflected_headers, cut=140),
+    Detector("BCR-MISC-001", CALL, open_cors, cut=140, names="^cors$"),
+    Detector("BCR-MISC-002", CALL, lambda u, n: n.name in V.BODY_PARSERS and has(V.BODY_PARSER_OWNERS, u.receiver(n)) and (not n.args or u.option(n.args[0], "limit") is None), cut=140, names="^(?:json|urlencoded|raw|text)$"),
+    Detector("BCR-MISC-003", CALL, lambda u, n: u.callee(n) == "helmet" and not n.args, cut=140, names="^helmet$"),
+    Detector("BCR-MISC-004", CALL, low_cost, cut=140, names="^(?:hash|hashSync|genSalt|genSaltSync)$"),
+    Detector("BCR-TLS-001", PROP, lambda u, n: n.name == "rejectUnauthorized" and has(V.FALSY, u.cut(n.value)), cut=140),
+    Detector("BCR-TLS-002", ("assign",), lambda u, n: has(V.TLS_SWITCH, n.name) and has(r"^(?:0|['\"`]\s*0\s*['\"`])$", u.cut(n.value)), cut=140),
+    Detector("BCR-COOKIE-001", CALL, no_http_only, None, explicit("httpOnly", "^false$"), 140, names="(?i)^(?:cookie|session|cookieSession)$"),
+    Detector("BCR-COOKIE-002", CALL, bad_cookie("secure", "^false$"), None, explicit("secure", "^false$"), 140, names="(?i)^(?:cookie|session|cookieSession)$"),
+    Detector("BCR-COOKIE-003", CALL, bad_cookie("sameSite", r"^(?:['\"`](?i:none)['\"`]|false)$"), None, explicit("sameSite", r"^['\"`](?i:none)"), 140, names="(?i)^(?:cookie|session|cookieSession)$"),
+]
+#: The detector whose finding is left out on a line that has another of its category.
+LAST_RESORT = next(k for k, d in enumerate(DETECTORS) if d.holds is service_lookup)
+KNOWN = {r[0]: r for r in R.RULES}
+BY_KIND: dict[str, list[tuple[int, Detector]]] = {}
+for _k, _d in enumerate(DETECTORS):
+    for _kind in _d.kinds:
+        BY_KIND.setdefault(_kind, []).append((_k, _d))
+
+
+def found(u: Unit) -> list[dict]:
+    """The findings of a file, by detector and place."""
+    out: list[dict] = []
+    seen: set[tuple] = set()
+    asked: dict[str, list[tuple[int, Detector]]] = {}
+    for kind, detectors in BY_KIND.items():
+        asked.clear()
+        for n in u.nodes.get(kind, ()):
+            if n.name not in asked:
+                asked[n.name] = [(k, d) for k, d in detectors if d.names is None or has(d.names, n.name)]
+            for k, d in asked[n.name]:
+                hit = d.holds(u, n)
+                if not hit:
+                    continue
+                at = hit if isinstance(hit, Node) else n
+                line, column = u.s.line(at.start)
+                key = (k, line) if d.once else (k, at.start, at.end)
+                if key in seen:
+                    continue
+                seen.add(key)
+                rule = KNOWN[d.rule]
+                code = d.shown(u, at) if d.shown else u.text[at.start : at.end]
+                severity = d.severity(u, at) if callable(d.severity) else d.severity or rule[2]
+                sure = d.confidence(u, at) if callable(d.confidence) else d.confidence or R.CONFIDENCE.get(d.rule, "TENTATIVE" if rule[5] else "FIRM")
+                out.append({"file": u.file, "ord": k, "rule_id": d.rule, "severity": severity, "category": rule[1], "confidence": sure, "line": line, "column": column, "excerpt": code[: d.cut], "id": at.start})
+    taken = {(f["category"], f["line"]) for f in out if f["ord"] != LAST_RESORT}
+    out = [f for f in out if f["ord"] != LAST_RESORT or (f["category"], f["line"]) not in taken]
+    return sorted(out, key=lambda f: (f["ord"], f["id"]))
+
+
+FOUND = pa.schema([("file", pa.string()), ("ord", pa.int32()), ("rule_id", pa.string()), ("severity", pa.string()), ("category", pa.string()), ("confidence", pa.string()), ("line", pa.int32()), ("column", pa.int32()), ("excerpt", pa.string()), ("id", pa.int64())])
+
+
+def _findings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        resolved = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * batch.num_rows
+        for file, content, symbols in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), resolved, strict=True):
+            u = Unit(file, content, {s["local"]: (s["module"], s["name"], s["taints"]) for s in symbols or ()})
+            rows = found(u) if u.s.whole else []
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema=FOUND)
+
+
+def findings(files: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
+    """One row a finding: the same columns as a log's.  Without ``symbols`` (see ``symbols.resolved``) there is no shuffle."""
+    rows = files.select("file", "content").where("content is not null and content <> ''")
+    if symbols is not None:
+        held = symbols.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("local", "module", "name", "taints"))).alias("symbols"))
+        rows = rows.join(held, "file", "left")
+    schema = "file string, ord int, rule_id string, severity string, category string, confidence string, line int, column int, excerpt string, id long"
+    out = rows.mapInArrow(_findings, schema)
+    return out.select("ord", "rule_id", "severity", "category", "confidence", "file", "line", "column", S.fingerprint(F.col("rule_id"), F.col("file"), F.col("line"), F.col("excerpt")).alias("fingerprint"), "excerpt", "id")
+
+
+def reviewed(files: DataFrame, disabled: list[str] | None = None, heuristics: bool = False, least: str | None = None, baseline: DataFrame | None = None, symbols: DataFrame | None = None) -> DataFrame:
     """Findings after the gates, with ``suppressed``, ``suppression_source`` and ``reason``: marks in the file come before the baseline."""
-    rows = report.inline_suppressed(S.gated(findings(nodes), disabled, heuristics, least), report.suppressions(files))
-    rows = rows.withColumn("suppression_source", F.when(c("suppressed"), F.lit("inline")))
+    rows = report.inline_suppressed(S.gated(findings(files, symbols), disabled, heuristics, least), report.suppressions(files))
+    rows = rows.withColumn("suppression_source", F.when(F.col("suppressed"), F.lit("inline")))
     if baseline is None:
         return rows
     both = S.suppressed(rows.withColumnRenamed("suppressed", "inline"), baseline)
-    return both.withColumn("suppression_source", F.coalesce("suppression_source", F.when(c("suppressed"), F.lit("baseline")))).withColumn("suppressed", c("inline") | c("suppressed")).drop("inline")
+    return both.withColumn("suppression_source", F.coalesce("suppression_source", F.when(F.col("suppressed"), F.lit("baseline")))).withColumn("suppressed", F.col("inline") | F.col("suppressed")).drop("inline")
 
 
 def file_flags(rows: DataFrame, rules: list[str]) -> DataFrame:
@@ -272,4 +815,4 @@ def file_flags(rows: DataFrame, rules: list[str]) -> DataFrame:
 
 
 def rules_covered() -> list[str]:
-    return list(reduce(lambda out, d: out if d.rule in out else out + [d.rule], DETECTORS, []))
+    return list(dict.fromkeys(d.rule for d in DETECTORS))

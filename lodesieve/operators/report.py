@@ -28,6 +28,17 @@ SARIF_VERSION = "2.1.0"
 SARIF_SCHEMA = "https://json.schemastore.org/sarif-2.1.0.json"
 FINGERPRINT_KEY = "primaryLocationLineHash/v1"
 
+#: What to do about each type of issue.
+REMEDIES = {
+    "INVALID_TARGET": "Check the path: it must name an existing file or folder.",
+    "PARSE_FAILURE": "The file could not be parsed. Fix the syntax at the place given, or leave generated and vendored files out.",
+    "DETECTOR_FAILURE": "A detector failed on this file, which was read only in part; the rest of the scan went on. Report the shape of the file.",
+    "POC_EXPORT_FAILURE": "The report of exploits could not be written. Check that the output folder is writable and has space.",
+    "REPORT_WRITE_FAILURE": "The report file could not be written. Check that its folder exists and is writable, or leave the output path out.",
+    "FATAL_ANALYSIS_FAILURE": "The scan ended early. Narrow the path to find the file that causes it.",
+}
+REMEDY = "Run again with more detail."
+
 # End of fixed values.
 
 #: Most findings that a single report file may hold; beyond it, write the rows with ``write_rows``.
@@ -62,6 +73,21 @@ def fails(rows: DataFrame, least: str) -> bool:
     return not rows.where(S.severity_rank(F.col("severity")) >= len(P.SEVERITIES) - 1 - P.SEVERITIES.index(least.upper())).limit(1).isEmpty()
 
 
+def issue_counts(issues: DataFrame) -> DataFrame:
+    """A count for each type of issue, 0 where there is none."""
+    return S.dense_counts(issues, "type", R.ISSUES)
+
+
+def has_errors(issues: DataFrame) -> bool:
+    return not issues.where("severity = 'ERROR'").limit(1).isEmpty()
+
+
+def with_remedies(issues: DataFrame) -> DataFrame:
+    """Adds ``fix``: what to do about an issue."""
+    fixes = F.create_map(*[F.lit(x) for kv in REMEDIES.items() for x in kv])
+    return issues.withColumn("fix", F.coalesce(F.element_at(fixes, F.col("type")), F.lit(REMEDY)))
+
+
 def chains(rows: DataFrame, *keys: str) -> DataFrame:
     """The chains that the categories of each group make up.  A group's state is its set of categories, so no group is too large."""
     seen = rows.groupBy(*keys).agg(F.collect_set("category").alias("_seen"))
@@ -151,32 +177,71 @@ def write_sarif(rows: DataFrame, path: str, version: str, include_suppressed: bo
         rows = rows.where("not suppressed")
     results = [json.loads(r["result"]) for r in _bounded(sarif_results(rows).orderBy("uri", "start_line", "rule_id", "start_column"))]
     descriptors = [
-        {"id": i, "defaultConfiguration": {"level": R.LEVELS[s][0]}, "properties": {"security-severity": R.LEVELS[s][1], "tags": ["security", "owasp"] + ["heuristic"] * h, "problem.severity": s.lower()},
+        {"id": i, "name": i.title().replace("-", ""), "shortDescription": {"text": f"{i} ({c.replace('_', ' ').title()})"}, "help": {"text": f"{o}; {', '.join(w) or 'no CWE'}"}, "defaultConfiguration": {"level": R.LEVELS[s][0]}, "properties": {"security-severity": R.LEVELS[s][1], "tags": ["security", "owasp"] + ["heuristic"] * h, "problem.severity": s.lower()},
          "relationships": [{"target": {"id": w, "toolComponent": {"name": "CWE"}}, "kinds": ["superset"]} for w in cwe] + [{"target": {"id": o, "toolComponent": {"name": "OWASP"}}, "kinds": ["relevant"]}]}
-        for _, i, _, s, cwe, o, h, _ in R.rows()
+        for _, i, c, s, w, o, h, _ in R.rows()
+        for cwe in [w]
     ]
     taxa = {name: list(dict.fromkeys(x for row in R.rows() for x in (row[4] if name == "CWE" else [row[5]]))) for name in ("CWE", "OWASP")}
-    run = {"tool": {"driver": {"name": "lodesieve", "version": version, "rules": descriptors}}, "taxonomies": [{"name": n, "taxa": [{"id": x, "name": x} for x in xs]} for n, xs in taxa.items()], "results": results}
+    run = {"invocations": [{"executionSuccessful": True}], "properties": {"totalFindings": len(results), "suppressedFindings": sum("suppressions" in r for r in results)}, "tool": {"driver": {"name": "lodesieve", "version": version, "rules": descriptors}}, "taxonomies": [{"name": n, "taxa": [{"id": x, "name": x} for x in xs]} for n, xs in taxa.items()], "results": results}
     _write(path, {"$schema": SARIF_SCHEMA, "version": SARIF_VERSION, "runs": [run]})
 
 
-def write_report(visible: DataFrame, suppressed: DataFrame, scanned: int, path: str) -> dict:
-    """Counts and the ordered findings as JSON; returns the report."""
-    findings = [r.asDict() for r in _bounded(S.ordered(visible))]
+def write_report(visible: DataFrame, suppressed: DataFrame, scanned: int | DataFrame, path: str, issues: DataFrame | None = None, by_line: bool = False) -> dict:
+    """Counts and the ordered findings as JSON; returns the report.  ``scanned``: how many files or hits, or the table of them."""
+    findings = [r.asDict() for r in _bounded(S.ordered(visible, by_line))]
     count = lambda column, keys: {k: sum(1 for f in findings if f.get(column) == k) for k in keys}
+    met = [r.asDict() for r in _bounded(with_remedies(issues))] if issues is not None else []
     report = {
-        "filesAnalyzed": scanned, "totalIssues": len(findings), "issuesByCategory": count("category", R.CATEGORIES), "issuesBySeverity": count("severity", P.SEVERITIES), "findingsByConfidence": count("confidence", R.CONFIDENCES),
-        "findingsByRule": dict(sorted(Counter(f["rule_id"] or f"LEGACY:{f['category']}" for f in findings).items())), "findings": findings, "suppressedFindings": [r.asDict() for r in _bounded(S.ordered(suppressed))],
+        "filesAnalyzed": scanned if isinstance(scanned, int) else scanned.count(), "totalIssues": len(findings), "issuesByCategory": count("category", R.CATEGORIES), "issuesBySeverity": count("severity", P.SEVERITIES), "findingsByConfidence": count("confidence", R.CONFIDENCES),
+        "findingsByRule": dict(sorted(Counter(f["rule_id"] or f"LEGACY:{f['category']}" for f in findings).items())), "findings": findings, "suppressedFindings": [r.asDict() for r in _bounded(S.ordered(suppressed, by_line))],
+        "runtimeIssues": met, "runtimeIssuesByType": {k: sum(1 for i in met if i["type"] == k) for k in R.ISSUES}, "hasRuntimeErrors": any(i["severity"] == "ERROR" for i in met),
     }
     _write(path, report)
     return report
 
 
 def report_text(report: dict) -> str:
-    """The report for reading: counts, then a block a finding."""
+    """The report for reading: counts, issues with what to do about them, then a block a finding."""
     head = [f"Scanned: {report['filesAnalyzed']}", f"Findings: {report['totalIssues']}"] + [f"  {k}: {n}" for k, n in report["issuesBySeverity"].items()]
     blocks = [f"[{f['severity']}] {f['rule_id']} {f['file']}:{f['line']}:{f['column']}\n  {f.get('excerpt', '')}" for f in report["findings"]]
-    return "\n".join(head + [""] + blocks) + "\n"
+    return "\n".join(head + _issue_lines(report) + [""] + blocks) + "\n"
+
+
+def _issue_lines(report: dict) -> list[str]:
+    met = report.get("runtimeIssues", [])
+    errors = sum(i["severity"] == "ERROR" for i in met)
+    head = [f"Scan errors and warnings: {len(met)} ({errors} errors, {len(met) - errors} warnings)"] if met else []
+    return head + [line for k, i in enumerate(met, 1) for line in (f"{k}. [{i['severity']}] {i['type']}", f"   Where: {i['file']}", f"   Fix:   {i['fix']}")]
+
+
+def summary_text(report: dict, most: int = 5) -> str:
+    """The summary for a terminal: counts, issues, and the first findings."""
+    lines = [f"Files analyzed: {report['filesAnalyzed']}", f"Total findings: {report['totalIssues']}", ""]
+    for title, counts in (("Findings by category:", "issuesByCategory"), ("Findings by severity:", "issuesBySeverity"), ("Findings by confidence:", "findingsByConfidence")):
+        lines += [title, *(f"  {k}: {n}" for k, n in report[counts].items()), ""]
+    lines += _issue_lines(report)
+    first = report["findings"][:most]
+    if first:
+        lines += ["Top findings:"] + [f"{k}. [{f['severity']}] {f['rule_id']} {f['file']}:{f['line']}:{f['column']}" for k, f in enumerate(first, 1)]
+        lines += [f"... and {report['totalIssues'] - most} more"] if report["totalIssues"] > most else []
+    return "\n".join(lines) + "\n"
+
+
+def search_report(hits: DataFrame, query: str, window: tuple[str, str], matched: int, most: int = 1000) -> dict:
+    """The hits of a search that a report shows, with how many there are; truncated from ``most`` hits on, even if they are all."""
+    shown = [r.asDict() for r in _bounded(hits.limit(most))]
+    return {"query": query, "from": window[0], "to": window[1], "matched": matched, "returned": len(shown), "truncated": len(shown) >= most, "hits": shown}
+
+
+def search_text(report: dict) -> str:
+    head = [f"Search: {report['query']}", f"Window: {report['from']} to {report['to']}", f"Showing {report['returned']} of {report['matched']} hits" + " (truncated)" * report["truncated"], ""]
+    return "\n".join(head + [f"{h['ts']}  {h['container']}  {h['index']}/{h['id']}\n  {h['excerpt']}" for h in report["hits"]]) + "\n"
+
+
+def rule_catalog() -> list[dict]:
+    """All rules, as the command line lists them."""
+    return [{"id": i, "category": c, "severity": s, "cwe": w, "owasp": o, "heuristic": h, "confidence": f} for _, i, c, s, w, o, h, f in R.rows()]
 
 
 def baseline_entries(rows: DataFrame) -> DataFrame:

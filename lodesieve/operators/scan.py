@@ -143,9 +143,9 @@ def suppressed(rows: DataFrame, baseline: DataFrame) -> DataFrame:
     return rows.join(hit, ["fingerprint", "file", "rule_id"], "left").withColumn("suppressed", F.coalesce("suppressed", F.lit(False)))
 
 
-def ordered(rows: DataFrame) -> DataFrame:
-    """As reported: severity, file, rule; ties by arrival."""
-    return rows.orderBy(severity_rank(F.col("severity")).desc(), "file", "rule_id", "id", "ord", "column")
+def ordered(rows: DataFrame, by_line: bool = False) -> DataFrame:
+    """As reported: severity, file, rule; ties by arrival.  ``by_line``, for source files: severity, file, line, rule."""
+    return rows.orderBy(severity_rank(F.col("severity")).desc(), "file", *["line"] * by_line, "rule_id", "id", "ord", "column")
 
 
 def dense_counts(rows: DataFrame, column: str, keys: list[str]) -> DataFrame:

@@ -58,7 +58,7 @@ SOURCES = [
 PROGRAMS = [
     "const t{n} = jwt.decode(token); // bcr-disable-line BCR-JWT-001 -- reviewed\napp.use(helmet());",
     "https.get(u, { rejectUnauthorized: false });\nconst h{n} = crypto.createHash('md5');",
-    "async function load{n}(req) {\n  const r = await axios.get(req.query.url);\n  return db.query(`select * from t where id = ${req.query.id}`);\n}",
+    "async function load{n}(req) {\n  const r = await axios.get<User>(req.query.url);\n  return db.query(`select * from t where id = ${req.query.id}`);\n}",
     "// jwt.decode(token)\nconst s{n} = \"rejectUnauthorized: false\";",
 ]
 

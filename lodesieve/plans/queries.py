@@ -11,9 +11,10 @@ from lodesieve.functions import checks
 from lodesieve.functions import patterns as P
 from lodesieve.functions import rules as R
 from lodesieve.functions.checks import CHECKS, quoted
-from lodesieve.operators import detectors, report
+from lodesieve.operators import detectors, report, symbols
 from lodesieve.operators import scan as S
 from lodesieve.plans.lines import PROGRAMS, code_files, code_files_sql, log_lines, log_lines_sql
+from lodesieve.plans.programs import CASES, project_files, rule_files, rule_sql
 from lodesieve.sources import code as C
 from lodesieve.sources import hits as H
 from lodesieve.sources.search import condition_sql, matched_total, search
@@ -137,10 +138,11 @@ def event_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: What each of PROGRAMS holds, by hand.
 PROGRAM_FINDINGS_SQL = """select * from (values
-    (0, 'BCR-JWT-001', 'CRITICAL', 'AUTHENTICATION', 'FIRM', 1, true, 'reviewed'), (0, 'BCR-MISC-003', 'LOW', 'MISCONFIGURATION', 'TENTATIVE', 2, false, null),
-    (1, 'BCR-TLS-001', 'CRITICAL', 'MISCONFIGURATION', 'FIRM', 1, false, null), (1, 'BCR-CRYPTO-001', 'MEDIUM', 'CRYPTO_WEAKNESS', 'TENTATIVE', 2, false, null),
-    (2, 'BCR-SSRF-001', 'CRITICAL', 'SSRF', 'FIRM', 2, false, null), (2, 'BCR-VAL-001', 'CRITICAL', 'VALIDATION', 'FIRM', 3, false, null)
-) p(n, rule_id, severity, category, confidence, line, suppressed, reason)"""
+    (0, 'BCR-JWT-001', 'CRITICAL', 'AUTHENTICATION', 'FIRM', 1, true, 'reviewed', 11, 'jwt.decode(token)'), (0, 'BCR-MISC-003', 'LOW', 'MISCONFIGURATION', 'TENTATIVE', 2, false, null, 9, 'helmet()'),
+    (1, 'BCR-TLS-001', 'CRITICAL', 'MISCONFIGURATION', 'FIRM', 1, false, null, 16, 'rejectUnauthorized: false'), (1, 'BCR-CRYPTO-001', 'MEDIUM', 'CRYPTO_WEAKNESS', 'TENTATIVE', 2, false, null, 11, 'crypto.createHash(''md5'')'),
+    (2, 'BCR-SSRF-001', 'CRITICAL', 'SSRF', 'FIRM', 2, false, null, 19, 'axios.get<User>(req.query.url)'), (2, 'BCR-VAL-001', 'CRITICAL', 'VALIDATION', 'CONFIRMED', 3, false, null, 10, 'db.query(`select * from t where id = ${req.query.id}`)'),
+    (2, 'BCR-AC-002', 'CRITICAL', 'ACCESS_CONTROL', 'TENTATIVE', 3, false, null, 49, 'req.query.id'), (2, 'BCR-AC-003', 'HIGH', 'ACCESS_CONTROL', 'FIRM', 3, false, null, 10, 'db.query(`select * from t where id = ${req.query.id}`)')
+) p(n, rule_id, severity, category, confidence, line, suppressed, reason, col, code)"""
 SEARCHES = {"search_terms": "the then* AND on", "search_phrase": '"of the"', "search_and_or_not": "(th?s OR by) -source:src1 NOT lang:fr +the", "search_field": 'source:src3 (lang:"en" OR lang:de)'}
 
 
@@ -197,16 +199,47 @@ def _code(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def code_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detectors.findings(C.nodes(_code(spark, sf_dir))).select("file", "rule_id", "severity", "category", "confidence", "line")
+    return detectors.findings(_code(spark, sf_dir)).select("file", "rule_id", "severity", "category", "confidence", "line", "column", "excerpt")
 
 
 def code_review(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = _code(spark, sf_dir)
-    return detectors.reviewed(files, C.nodes(files), heuristics=True).select("file", "rule_id", "line", "suppressed", "reason")
+    return detectors.reviewed(_code(spark, sf_dir), heuristics=True).select("file", "rule_id", "line", "suppressed", "reason")
+
+
+def code_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first of a code report: by severity, file, line and rule."""
+    visible = detectors.reviewed(_code(spark, sf_dir), heuristics=True).where("not suppressed")
+    return S.ordered(visible, by_line=True).limit(1000).select("file", "rule_id", "severity", "line")
+
+
+def code_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.nodes(_code(spark, sf_dir)).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+def code_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues by type, zero-filled: every fourth file is cut off in the middle, every fifth is too large."""
+    files = _code(spark, sf_dir).withColumn("n", F.regexp_extract("file", r"(\d+)", 1).cast("long"))
+    files = files.withColumn("content", F.when(F.col("n") % 4 == 1, F.expr("concat(content, '(')")).otherwise(F.col("content"))).withColumn("size", F.when(F.col("n") % 5 == 0, F.lit(6_000_000)).otherwise(10).cast("long"))
+    files = files.withColumn("content", F.when(F.col("size") < 1_000_000, F.col("content")))
+    return report.issue_counts(C.issues(files, C.nodes(files)))
+
+
+def _rule(rule: str) -> Query:
+    return lambda spark, sf_dir: detectors.findings(rule_files(spark, sf_dir, rule)).where(F.col("rule_id") == rule).select("file", "rule_id", "severity", "line")
+
+
+def code_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the imports of a project of five files stand for, over its barrel files."""
+    return symbols.resolved(project_files(spark, sf_dir))
+
+
+def code_across_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = project_files(spark, sf_dir)
+    return detectors.findings(files, symbols.dangerous(symbols.resolved(files))).select("file", "rule_id", "severity", "line")
 
 
 def code_file_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detectors.file_flags(detectors.findings(C.nodes(_code(spark, sf_dir))), ["BCR-TLS-001", "BCR-JWT-001"])
+    return detectors.file_flags(detectors.findings(_code(spark, sf_dir)), ["BCR-TLS-001", "BCR-JWT-001"])
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,12 +271,16 @@ def max_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.window_scan(H.event_hits(spark, sf_dir), "2024-01-05", "2024-02-01", None, 100).select("id", "container")
 
 
+def _rule_query(rule: str) -> str:
+    return "code_" + rule.lower().replace("-", "_")
+
+
 def queries() -> dict[str, Query]:
     return {f"log_{n}": _one(n) for n in names()} | {
         "scan_all_by_rule": all_by_rule, "scan_documents_by_rule": documents_by_rule, "gate_default": gate_default, "gate_heuristic": gate_heuristic, "gate_disabled": gate_disabled, "dedup_first": dedup_first,
         "baseline_split": baseline_split, "count_severity_dense": count_severity, "count_category_dense": count_category, "report_top": report_top, "mask_values": mask_values, "scalar_checks": values, "event_window": event_window,
         "enrich_rules": enrich, "count_rule": count_rule, "count_confidence_dense": count_confidence, "exploitable": exploitable, "sarif_results": exchange, "sarif_taxa": taxa, "chains_from_categories": chains, "inline_suppressions": suppressions,
-        "code_findings": code_findings, "code_review": code_review, "code_file_flags": code_file_flags, "resolve_message": messages, "resolve_timestamp": times, "deep_link": links, "hit_dedup": hit_dedup, "max_hits": max_hits, "matched_total": total, **{n: _search(q) for n, q in SEARCHES.items()},
+        "code_findings": code_findings, "code_review": code_review, "code_report": code_report, "code_nodes": code_nodes, "code_issues": code_issues, "code_file_flags": code_file_flags, "code_symbols": code_symbols, "code_across_files": code_across_files, **{_rule_query(r): _rule(r) for r in CASES}, "resolve_message": messages, "resolve_timestamp": times, "deep_link": links, "hit_dedup": hit_dedup, "max_hits": max_hits, "matched_total": total, **{n: _search(q) for n, q in SEARCHES.items()},
     }
 
 
@@ -287,9 +324,19 @@ def oracle_sql() -> dict[str, str]:
             m as (select file, n + 1 as line, n * 2 as pos, regexp_extract(text, '{report.SUPPRESS.replace("{where}", "next-line")}', ['ids', 'why']) as g from l union all select file, n, n * 2 + 1, regexp_extract(text, '{report.SUPPRESS.replace("{where}", "line")}', ['ids', 'why']) from l),
             i as (select file, line, pos, nullif(trim(g.why), '') as why, list_filter(list_transform(string_split(g.ids, ','), lambda x: upper(trim(x))), lambda x: x <> '') as ids from m)
             select file, line::int as line, array_to_string(list_sort(list_distinct(flatten(list(ids)))), ',') as rule_ids, arg_min(why, pos) filter (where why is not null) as reason from i where len(ids) > 0 group by 1, 2""",
-        "code_findings": f"select 'src/f' || o_orderkey || '.ts' as file, rule_id, severity, category, confidence, line::int as line from orders join ({PROGRAM_FINDINGS_SQL}) p on o_orderkey % 4 = p.n",
+        "code_findings": f"""select 'src/f' || o_orderkey || '.ts' as file, rule_id, severity, category, confidence, line::int as line, case when rule_id like 'BCR-JWT-001' or rule_id = 'BCR-CRYPTO-001' then col + length('' || o_orderkey) else col end::int as "column", code as excerpt from orders join ({PROGRAM_FINDINGS_SQL}) p on o_orderkey % 4 = p.n""",
         "code_review": f"select 'src/f' || o_orderkey || '.ts' as file, rule_id, line::int as line, suppressed, reason from orders join ({PROGRAM_FINDINGS_SQL}) p on o_orderkey % 4 = p.n where severity <> 'INFO'",
+        "code_report": f"select 'src/f' || o_orderkey || '.ts' as file, rule_id, severity, line::int as line from orders join ({PROGRAM_FINDINGS_SQL}) p on o_orderkey % 4 = p.n where not suppressed order by list_position(['CRITICAL', 'HIGH', 'MEDIUM', 'LOW', 'INFO'], severity), file, line, rule_id limit 1000",
+        "code_nodes": """select kind, sum(n)::bigint as n from (select o_orderkey % 4 as p from orders) join (values
+            (0, 'var', 1), (0, 'call', 3), (0, 'member', 2), (1, 'member', 2), (1, 'call', 2), (1, 'prop', 1), (1, 'var', 1), (1, 'literal', 1),
+            (2, 'function', 1), (2, 'param', 1), (2, 'var', 1), (2, 'call', 2), (2, 'member', 6), (2, 'literal', 1), (2, 'return', 1), (3, 'var', 1), (3, 'literal', 1)) v(q, kind, n) on p = q group by 1""",
+        "code_issues": "select k as type, count(p)::bigint as n from (values ('INVALID_TARGET'), ('PARSE_FAILURE'), ('DETECTOR_FAILURE'), ('POC_EXPORT_FAILURE'), ('REPORT_WRITE_FAILURE'), ('FATAL_ANALYSIS_FAILURE')) v(k) left join (select case when o_orderkey % 5 = 0 then 'INVALID_TARGET' when o_orderkey % 4 = 1 then 'PARSE_FAILURE' end as p from orders) on p = k group by k",
         "code_file_flags": "select 'src/f' || o_orderkey || '.ts' as file, o_orderkey % 4 = 1 as bcr_tls_001, o_orderkey % 4 = 0 as bcr_jwt_001 from orders where o_orderkey % 4 < 3",
+        "code_symbols": """select 'p/' || s_suppkey || '/' || path as file, local, case when own then './ids' else module end as module, name, taints from supplier, (values
+            ('api/orders.ts', 'readId', true, './ids', 'getId', true), ('api/orders.ts', 'fixedId', true, './ids', 'fixedId', false), ('api/jobs.ts', 'run', false, 'child_process', 'exec', false), ('api/jobs.ts', 'safe', false, './other', 'run', false)) v(path, local, own, module, name, taints)""",
+        "code_across_files": """select 'p/' || s_suppkey || '/' || path as file, rule_id, severity, line::int as line from supplier, (values
+            ('api/orders.ts', 'BCR-VAL-001', 'CRITICAL', 2), ('api/jobs.ts', 'BCR-VAL-002', 'CRITICAL', 3)) v(path, rule_id, severity, line)""",
+        **{_rule_query(r): rule_sql(r) for r in CASES},
         "resolve_message": """
             with s as (select event_id, case event_id % 3 when 0 then props when 1 then '{"message":"' || event_type || ' é"}' else '{"msg":"","log":{"message":"' || event_type || '"}}' end as source from events),
             p as (select event_id, source, coalesce(nullif(json_extract_string(source, '$.message'), ''), nullif(json_extract_string(source, '$.msg'), ''), nullif(json_extract_string(source, '$.event.original'), ''), nullif(json_extract_string(source, '$.log.message'), ''), '') as primary_text from s)
