@@ -38,7 +38,7 @@ class Pattern:
     rule: str
     severity: str
     category: str
-    regex: str  #: \b and \d mean ASCII, \s means Unicode's white space
+    regex: str  #: \b and \d mean ASCII, \s means Unicode's white space, case is ignored in ASCII only
     group: int = 0  #: what is reported; the span is always the whole match
     check: str = ""  #: a key of lodesieve.functions.checks.CHECKS
     fold: bool = False  #: ignore case
@@ -56,8 +56,8 @@ PATTERNS = [
     Pattern("iban", "LOG-PII-002", "HIGH", PII, r"\b[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b", 0, "iban"),
     Pattern("email", "LOG-PII-003", "MEDIUM", PII, r"\b[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,24}\b"),
     Pattern("uae_phone", "LOG-PII-004", "MEDIUM", PII, r"(?:\+971[- ]?|00971[- ]?|0)(?:50|52|54|55|56|58)[- ]?\d{7}\b"),
-    Pattern("passport", "LOG-PII-005", "HIGH", PII, r"\b(?:passport(?:[_-]?(?:no|number|id))?)\s*[:=]\s*" + r'"?([A-Z][0-9A-Z]{6,9})\b', 1, "", True),
-    Pattern("plaintext_password", "LOG-SEC-001", "CRITICAL", SEC, r"\b(?:password|passwd|pwd|userPassword)\s*[:=]\s*" + r"""("[^"\\]{6,}"|'[^'\\]{6,}'|[^\s,;)]+)""", 1, "password", True),
+    Pattern("passport", "LOG-PII-005", "HIGH", PII, r"""\b(?:passport(?:[_-]?(?:no|number|id))?)\s*[:=]\s*"?([A-Z][0-9A-Z]{6,9})\b""", 1, "", True),
+    Pattern("plaintext_password", "LOG-SEC-001", "CRITICAL", SEC, r"""\b(?:password|passwd|pwd|userPassword)\s*[:=]\s*("[^"\\]{6,}"|'[^'\\]{6,}'|[^\s,;)]+)""", 1, "password", True),
     Pattern("env_var_password", "LOG-SEC-001", "CRITICAL", SEC, r"""\b[A-Z][A-Z0-9_]{1,40}(?:PASSWORD|PASSWD|PWD|SECRET|KEY|TOKEN)=([^\s,;'"]+)""", 1, "env_value"),
     Pattern("bearer_or_jwt", "LOG-SEC-002", "CRITICAL", SEC, r"\bBearer\s+([A-Za-z0-9._\-/+=]{20,})", 1),
     Pattern("bearer_or_jwt", "LOG-SEC-002", "CRITICAL", SEC, r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{6,}\b"),
@@ -74,7 +74,7 @@ PATTERNS = [
     Pattern("sensitive_path", "LOG-OPS-002", "LOW", OPS, r"/[^\s:]*/(?:secrets|keys|vault|credentials|private)/[^\s:]+", 0, "", True),
     Pattern("customer_name", "LOG-PII-006", "MEDIUM", PII, r"\b(?:firstName|lastName|fullName|customerName|first_name|last_name|full_name|customer_name)" + LABEL + r"""([^,;'"\s]{2,}(?:[ \-][A-Z][A-Za-z]+){1,5})""", 1, "real", True),
     Pattern("date_of_birth", "LOG-PII-007", "HIGH", PII, r"\b(?:dob|dateOfBirth|date_of_birth|birthDate|birth_date)" + LABEL + r"(\d{4}[-/]\d{1,2}[-/]\d{1,2}|\d{1,2}[-/]\d{1,2}[-/]\d{2,4})", 1, "", True),
-    Pattern("address", "LOG-PII-008", "MEDIUM", PII, r'\b(?:address|streetAddress|street_address|homeAddress|home_address|customer_address)"?\s*[:=]\s*"' + r"""([A-Za-z0-9][A-Za-z0-9 ,.#\-/']{12,200})\"""", 1, "with_digit", True),
+    Pattern("address", "LOG-PII-008", "MEDIUM", PII, r"""\b(?:address|streetAddress|street_address|homeAddress|home_address|customer_address)"?\s*[:=]\s*"([A-Za-z0-9][A-Za-z0-9 ,.#\-/']{12,200})\"""", 1, "with_digit", True),
     Pattern("bank_account", "LOG-ACCT-001", "HIGH", PII, r"\b(?:account_?number|acc_?no|accountId)" + LABEL + r"(\d{8,18})", 1, "", True),
     Pattern("sort_code", "LOG-ACCT-002", "MEDIUM", PII, r"\b(?:sort_?code|routing_?number|aba)" + LABEL + r"(\d{2,3}[- ]?\d{2,3}[- ]?\d{2,4}|\d{6,9})", 1, "", True),
     Pattern("swift_bic", "LOG-ACCT-003", "MEDIUM", PII, r"\b(?:swift|bic|swiftCode|bicCode)" + LABEL + r"([A-Z]{4}[A-Z]{2}[A-Z0-9]{2}(?:[A-Z0-9]{3})?)\b", 1),
@@ -126,55 +126,30 @@ SEVERITIES = ["CRITICAL", "HIGH", "MEDIUM", "LOW", "INFO"]
 SPACES = r"\t-\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
 
 
-def portable(regex: str) -> str:
+def portable(regex: str, spaces: str = SPACES) -> str:
     """\\s spelled out, inside and outside brackets."""
-    out, i, inside = [], 0, False
-    while i < len(regex):
-        two = regex[i : i + 2]
-        if two == r"\s":
-            out.append(SPACES if inside else f"[{SPACES}]")
-            i += 2
-            continue
-        if two[0] == "\\":
-            out.append(two)
-            i += 2
-            continue
-        inside = True if two[0] == "[" else False if two[0] == "]" else inside
-        out.append(two[0])
-        i += 1
-    return "".join(out)
-
-
-#: Lower-case strings of which one is in every match of a pattern: lines without them skip the regular expression.
-NEEDLES = {
-    "cvv": ["cvv", "cvc", "csc", "verification"], "email": ["@"], "passport": ["passport"], "plaintext_password": ["password", "passwd", "pwd"], "env_var_password": ["password=", "passwd=", "pwd=", "secret=", "key=", "token="],
-    "bearer_or_jwt": ["bearer", "eyj"], "service_api_key": ["akia", "sk_", "gh", "aiza", "sg.", "ac"], "aws_session_token": ["fwogzxivyxdz", "iqojb3jpz2lux2vje"], "private_key": ["-----begin"], "db_connection": ["://"],
-    "sensitive_path": ["/secrets/", "/keys/", "/vault/", "/credentials/", "/private/"], "customer_name": ["name"], "date_of_birth": ["dob", "birth"], "address": ["address"], "bank_account": ["acc"], "sort_code": ["sort", "routing", "aba"],
-    "swift_bic": ["swift", "bic"], "driving_license": ["license", "dl"], "visa_permit": ["visa", "residenc"], "tax_number": ["trn", "tax"], "national_id": ["national", "number", "government"], "card_expiry": ["exp"], "cardholder": ["holder"],
-    "balance": ["balance"], "customer_ipv4": ["_ip", "remote_addr", "forwarded_for"], "customer_ipv6": ["_ip", "remote_addr", "forwarded_for"], "oauth_credentials": ["client", "refresh"], "session_token": ["sess", "sid"],
-    "csrf_token": ["csrf", "xsrf", "forgery"], "ssh_key": ["ssh-"], "azure_sas": ["?sv="], "gcp_service_account": ["service_account"], "api_token": ["token"], "high_entropy_secret": ["secret", "key", "token", "password", "credential"],
-    "basic_auth": ["basic"], "webhook_url": ["hooks.slack.com", "discord", "webhook.office.com"], "service_keys_extra": ["github_pat_", "npm_", "t3blbkfj", "heku_", "hesu_"], "presigned_url": ["-signature=", "&se="],
-    "pem_key_body": ["mii"], "indian_aadhaar": ["aadha", "uidai"], "url_encoded_pan": ["%3"],
-}
-EDGE = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
-
-
-def _word_end(body: str) -> bool:
-    """Whether a match of body surely ends with a word character."""
-    last = re.search(r"(\[[^\]]*\]|\\d)(?:\{[^}]*\})?\)*\??\)*$", body)
-    return last is not None and re.fullmatch(r"\\d|\[(?:.-.|\w)+\]", last[1]) is not None and not last[1].endswith("-]") and "+" not in last[1]
-
-
-def java(p: Pattern) -> str:
-    r"""For Spark: \b by look-around, since Java's own takes letters of all scripts for word characters."""
-    regex = portable(p.regex)
-    if regex.startswith(r"\b") and re.match(r"\\b(?:\(\?:)?(?:\w|\\d|\[A-Z)(?!.*@\[)", regex):
-        regex = "(?<![A-Za-z0-9_])" + regex[2:]
-    if regex.endswith(r"\b") and _word_end(regex[:-2]):
-        regex = regex[:-2] + "(?![A-Za-z0-9_])"
-    return ("(?i)" if p.fold else "") + regex.replace(r"\b", EDGE)
+    return re.sub(r"(\\.)|(\[\^?)|(\])", _spelled(spaces), regex)
+
+
+def _spelled(spaces: str):
+    inside = False
+
+    def one(m: re.Match) -> str:
+        nonlocal inside
+        if m[1] == r"\s":
+            return spaces if inside else f"[{spaces}]"
+        inside = inside if m[1] else m[2] is not None
+        return m[0]
+
+    return one
 
 
 def re2(p: Pattern) -> str:
-    """For DuckDB."""
+    """For engines of the RE2 kind: Arrow's, by which texts are told apart that may have a match, and DuckDB's."""
     return ("(?i)" if p.fold else "") + portable(p.regex)
+
+
+def compiled(p: Pattern) -> re.Pattern:
+    """For finding the matches of a text."""
+    spaces = re.sub(r"\\x\{(\w+)\}", lambda m: f"\\u{int(m[1], 16):04x}", SPACES)
+    return re.compile(portable(p.regex, spaces), re.ASCII | (re.IGNORECASE if p.fold else 0))

@@ -1,15 +1,21 @@
 """Finds spans in lines, and turns them into gated, redacted, ordered findings.
 
-Everything is a DataFrame expression.  A line's matches stay in one array until
-the excerpt has been cut, because an excerpt hides every match that it shows.
+Spans are found in Arrow batches: one pass of a linear-time engine over a batch for each pattern
+tells the few texts that may match, and only in those are matches looked for and checked.  All that
+follows is DataFrame expressions.  A line's matches stay in one array until the excerpt has been
+cut, because an excerpt hides every match that it shows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 from lodesieve.functions import patterns as P
 from lodesieve.functions import rules as R
@@ -20,47 +26,56 @@ SCANNED = 65_536
 #: Characters of context on either side of an excerpt's match.
 CONTEXT = 40
 SPAN = "array<struct<ord:int,rule_id:string,severity:string,category:string,start:int,end:int,match:string>>"
+_FIELDS = pa.list_(pa.struct([("ord", pa.int32()), ("rule_id", pa.string()), ("severity", pa.string()), ("category", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("match", pa.string())]))
+#: Rows that are looked at together.
+CHUNK = 2_000
+
+
+def spans(texts: pa.Array, numbers: list[int]) -> list[list[dict]]:
+    """The matches of each text, in order of patterns and places."""
+    out: list[list[dict]] = [[] for _ in range(len(texts))]
+    for k in numbers:
+        p = P.PATTERNS[k]
+        possible = pc.indices_nonzero(pc.match_substring_regex(texts, P.re2(p))).to_pylist()
+        if not possible:
+            continue
+        regex, check = P.compiled(p), CHECKS[p.check]
+        for i in possible:
+            for m in regex.finditer(texts[i].as_py()):
+                raw, value = m[0], m[p.group]
+                if check.holds(raw, value):
+                    severity = check.severity(raw, value) if check.severity else p.severity
+                    out[i].append({"ord": k, "rule_id": p.rule, "severity": severity, "category": p.category, "start": m.start(), "end": m.end(), "match": check.value(raw, value) if check.value else value})
+    return out
 
 
-def spans(line: Column, number: int, low: Column) -> Column:
-    """The matches of one pattern: structs of the fields of SPAN.  ``low``: the line in lower case."""
-    p = P.PATTERNS[number]
-    regex, check = P.java(p), CHECKS[p.check]
-    # bound as one lambda variable, so that each regular expression runs once a line
-    found = F.array(F.struct(F.regexp_extract_all(line, F.lit(regex), F.lit(0)).alias("m"), F.regexp_extract_all(line, F.lit(regex), F.lit(p.group)).alias("v"), F.split(line, regex, -1).alias("gaps")))
-    total = lambda parts: F.aggregate(parts, F.lit(0), lambda a, x: a + F.length(x))
-
-    def one(s: Column) -> Column:
-        made = F.transform(s["m"], lambda raw, i: F.struct((total(F.slice(s["gaps"], F.lit(1), i + 1)) + total(F.slice(s["m"], F.lit(1), i))).alias("start"), raw.alias("raw"), F.get(s["v"], i).alias("value")))
-        return F.transform(
-            F.filter(made, lambda x: check.holds(x["raw"], x["value"])),
-            lambda x: F.struct(
-                F.lit(number).alias("ord"), F.lit(p.rule).alias("rule_id"), (check.severity(x["raw"], x["value"]) if check.severity else F.lit(p.severity)).alias("severity"), F.lit(p.category).alias("category"),
-                x["start"].alias("start"), (x["start"] + F.length(x["raw"])).alias("end"), (check.value(x["raw"], x["value"]) if check.value else x["value"]).alias("match"),
-            ),
-        )
+def numbers_of(name: str) -> list[int]:
+    return [k for k, p in enumerate(P.PATTERNS) if p.name == name]
 
-    possible = line.rlike(regex)
-    if p.name in P.NEEDLES:
-        possible = reduce(lambda a, b: a | b, [F.contains(low, F.lit(n)) for n in P.NEEDLES[p.name]]) & possible
-    return F.when(possible, F.flatten(F.transform(found, one))).otherwise(F.array().cast(SPAN))
 
+def _scanned(column: int, numbers: list[int], most: int | None):
+    """mapInArrow: adds ``matches``, of the given column, to the others."""
 
-def scan_line(line: Column, low: Column, numbers: list[int] | None = None) -> Column:
-    """All matches of the given patterns (default: every one), in order of patterns and places."""
-    numbers = list(range(len(P.PATTERNS))) if numbers is None else numbers
-    return F.concat(*[spans(line, k, low) for k in numbers])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, CHUNK):
+                part = batch.slice(at, CHUNK)
+                texts = pc.fill_null(part.column(column).cast(pa.string()), "")
+                texts = pc.utf8_slice_codeunits(texts, 0, most) if most is not None else texts
+                found = pa.array(spans(texts, numbers), _FIELDS)
+                yield pa.RecordBatch.from_arrays([*part.columns, found], [*part.schema.names, "matches"])
 
-
-def numbers_of(name: str) -> list[int]:
-    return [k for k, p in enumerate(P.PATTERNS) if p.name == name]
+    return run
 
 
 def scan(hits: DataFrame, name: str | None = None, most: int | None = SCANNED) -> DataFrame:
-    """``hits`` has id, index and message; adds ``matches``, found in the first ``most`` characters (None: in the whole message)."""
-    message = F.coalesce("message", F.lit(""))
-    capped = hits.withColumn("_scanned", F.substring(message, 1, most) if most is not None else message).withColumn("_low", F.lower("_scanned"))
-    return capped.withColumn("matches", scan_line(F.col("_scanned"), F.col("_low"), numbers_of(name) if name else None)).drop("_scanned", "_low")
+    """``hits`` has id, index and message; adds ``matches``, found in the first ``most`` characters (None: in the whole message).
+
+    Null messages are empty; a message of any length is scanned whole unless ``most`` says otherwise.
+    """
+    numbers = numbers_of(name) if name else list(range(len(P.PATTERNS)))
+    schema = StructType([*hits.schema.fields, StructField("matches", DataType.fromDDL(SPAN))])
+    return hits.mapInArrow(_scanned(hits.columns.index("message"), numbers, most), schema)
 
 
 def redacted(line: Column, start: Column, end: Column, others: Column, lo: Column | None = None, hi: Column | None = None) -> Column:

@@ -33,9 +33,8 @@ def test_spans_are_those_of_each_pattern(spark, lines):
     got = {}
     for r in Q.matches(lines).collect():
         got.setdefault((r["id"], r["ord"]), []).append((r["start"], r["end"]))
-    spaces = re.sub(r"\\x\{(\w+)\}", lambda m: f"\\u{int(m[1], 16):04x}", P.SPACES)
     for number, p in enumerate(P.PATTERNS):
-        regex = re.compile(P.portable(p.regex).replace(P.SPACES, spaces), re.ASCII | (re.IGNORECASE if p.fold else 0))
+        regex = P.compiled(p)
         for k, t in enumerate(LINES):
             spans = [m.span() for m in regex.finditer((t or "")[: S.SCANNED])]
             found = got.get((k, number), [])
