@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodesieve.sources.hits import spread
+from lodesieve.sources.hits import resolved, spread
 
 H40 = "Zx9Yw8Vu7Ts6Rq5Po4Nm3Lk2Ji1Hg0Fe9Dc8Ba7"
 TEMPLATES = [
@@ -39,9 +39,9 @@ TEMPLATES = [
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, index, message."""
     templates = spark.createDataFrame(list(enumerate(TEMPLATES)), "n int, template string")  # a fixed list
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")
+    orders = spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey"))
     rows = orders.withColumn("n", (F.col("o_orderkey") % len(TEMPLATES)).cast("int")).join(F.broadcast(templates), "n")
-    return spread(rows).select(F.col("o_orderkey").alias("id"), F.lit("orders").alias("index"), F.replace("template", F.lit("{k}"), F.col("o_orderkey").cast("string")).alias("message"))
+    return rows.select(F.col("o_orderkey").alias("id"), F.lit("orders").alias("index"), F.replace("template", F.lit("{k}"), F.col("o_orderkey").cast("string")).alias("message"))
 
 
 def log_lines_sql() -> str:
@@ -49,6 +49,15 @@ def log_lines_sql() -> str:
     return f"select o_orderkey as id, 'orders' as index, replace(t.template, '{{k}}', o_orderkey::varchar) as message from orders join (values {values}) t(n, template) on o_orderkey % {len(TEMPLATES)} = t.n"
 
 
+def structured_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits whose message and whose further fields hold values, the latter shown after the former."""
+    k = F.col("o_orderkey").cast("string")
+    source = F.concat(F.lit('{"message":"card 4111111111111111 order '), k, F.lit('","note":"password=hunter'), k, F.lit(' and card 5555555555554444"}'))
+    message, length = resolved(source)
+    orders = spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey"))
+    return orders.select(F.col("o_orderkey").alias("id"), F.lit("orders").alias("index"), message.alias("message"), length.alias("message_field_length"))
+
+
 SOURCES = [
     "const a = 1; // bcr-disable-line BCR-VAL-001 -- known\n// bcr-disable-next-line bcr-auth-001,BCR-AUTH-002\nlet {n} = 2; // bcr-disable-line * -- all of it\n",
     "// bcr-disable-next-line BCR-KEY-001 -- first {n}\r\nx(); // bcr-disable-line BCR-KEY-001,BCR-KEY-002 -- second\r\ny();",
@@ -65,7 +74,7 @@ PROGRAMS = [
 
 def code_files(spark: SparkSession, sf_dir: str, texts: list[str] = SOURCES) -> DataFrame:
     """file, content."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    orders = spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey"))
     key = F.col("o_orderkey").cast("string")
     return orders.select(F.concat(F.lit("src/f"), key, F.lit(".ts")).alias("file"), F.replace(F.get(F.array(*map(F.lit, texts)), (F.col("o_orderkey") % len(texts)).cast("int")), F.lit("{n}"), key).alias("content"))
 

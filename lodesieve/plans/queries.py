@@ -13,10 +13,11 @@ from lodesieve.functions import rules as R
 from lodesieve.functions.checks import CHECKS, quoted
 from lodesieve.operators import detectors, report, symbols
 from lodesieve.operators import scan as S
-from lodesieve.plans.lines import PROGRAMS, code_files, code_files_sql, log_lines, log_lines_sql
+from lodesieve.plans.lines import PROGRAMS, code_files, code_files_sql, log_lines, log_lines_sql, structured_hits
 from lodesieve.plans.programs import CASES, project_files, rule_files, rule_sql
 from lodesieve.sources import code as C
 from lodesieve.sources import hits as H
+from lodesieve.sources.scratch import Scratch
 from lodesieve.sources.search import condition_sql, matched_total, search
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +72,34 @@ def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.findings(S.scan(log_lines(spark, sf_dir)), excerpts=False)
 
 
+def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every finding with the excerpt in which all values are masked."""
+    return S.findings(S.scan(log_lines(spark, sf_dir))).select("id", "ord", "rule_id", "column", "excerpt")
+
+
+def structured_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of hits with a structured part: columns count from their part's start, and excerpts stay in it."""
+    return S.findings(S.scan(structured_hits(spark, sf_dir))).select("id", "ord", "column", "excerpt")
+
+
+#: A search whose hits are shown, and how many.
+SHOWN_QUERY, SHOWN_HITS = "lang:en the", 200
+
+
+def search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest documents that a query holds for, with excerpts around it."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = docs.select(F.col("doc_id").alias("id"), F.lit("documents").alias("index"), F.col("source").alias("container"), "lang", F.timestamp_seconds(F.col("doc_id") * 7919 % 1000).alias("ts"), F.col("text").alias("message"))
+    return H.found(rows, SHOWN_QUERY, SHOWN_HITS).select("id", "container", "excerpt")
+
+
+def search_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a search's hits are cut at most: at as many as there are they count as cut, at one more they don't."""
+    n = F.count("*")
+    rows = search(_documents(spark, sf_dir), SEARCHES["search_phrase"]).agg(n.alias("matched"))
+    return rows.select("matched", F.least("matched", F.lit(SHOWN_HITS)).alias("returned"), (F.col("matched") >= SHOWN_HITS).alias("truncated"))
+
+
 def all_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches(log_lines(spark, sf_dir)).groupBy("rule_id", "severity").agg(F.count("*").alias("n"))
 
@@ -96,13 +125,23 @@ def dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.first_of_each(_findings(spark, sf_dir), ["id", "ord", "column"]).select(*SHOWN)
 
 
-def _baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _findings(spark, sf_dir).where("id % 3 = 0").select("fingerprint", "rule_id", F.when(F.col("id") % 2 == 0, F.col("file")).alias("file"))
+def _baseline(found: DataFrame) -> DataFrame:
+    return found.where("id % 3 = 0").select("fingerprint", "rule_id", F.when(F.col("id") % 2 == 0, F.col("file")).alias("file"))
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The findings, written once: they are both the baseline and what it is held against."""
+    return Scratch(spark, "findings").save(_findings(spark, sf_dir), "found")
 
 
 def baseline_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = S.first_of_each(S.gated(_findings(spark, sf_dir)), ["id", "ord", "column"])
-    return S.suppressed(rows, _baseline(spark, sf_dir)).select(*SHOWN, "suppressed")
+    found = _stored(spark, sf_dir)
+    return S.suppressed(S.first_of_each(S.gated(found), ["id", "ord", "column"]), _baseline(found)).select(*SHOWN, "suppressed")
+
+
+def baseline_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a baseline file of all findings holds."""
+    return report.baseline_entries(_findings(spark, sf_dir))
 
 
 def count_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,8 +214,9 @@ def exploitable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exchange(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = report.sarif_rows(S.suppressed(_findings(spark, sf_dir), _baseline(spark, sf_dir)))
-    return rows.withColumn("cwe", F.array_join("cwe", ",")).drop("snippet", "justification")
+    found = _stored(spark, sf_dir)
+    rows = report.sarif_rows(S.suppressed(found, _baseline(found)).withColumn("reason", F.when(F.col("suppressed"), F.concat(F.lit("known since "), F.col("id").cast("string")))))
+    return rows.withColumn("cwe", F.array_join("cwe", ",")).drop("snippet")
 
 
 def taxa(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -263,8 +303,10 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hit comes twice, later under another container: the first stays."""
     hits = H.event_hits(spark, sf_dir)
-    return H.window_scan(hits.unionByName(hits), "2024-01-01", "2025-01-01").groupBy("container").agg(F.count("*").alias("n"))
+    again = hits.withColumn("ts", F.expr("ts + interval 1 hour")).withColumn("container", F.lit("again"))
+    return H.window_scan(again.unionByName(hits), "2024-01-01", "2025-01-01").select("id", "container", F.unix_seconds(F.col("ts").cast("timestamp")).alias("seconds"))
 
 
 def max_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -278,13 +320,31 @@ def _rule_query(rule: str) -> str:
 def queries() -> dict[str, Query]:
     return {f"log_{n}": _one(n) for n in names()} | {
         "scan_all_by_rule": all_by_rule, "scan_documents_by_rule": documents_by_rule, "gate_default": gate_default, "gate_heuristic": gate_heuristic, "gate_disabled": gate_disabled, "dedup_first": dedup_first,
-        "baseline_split": baseline_split, "count_severity_dense": count_severity, "count_category_dense": count_category, "report_top": report_top, "mask_values": mask_values, "scalar_checks": values, "event_window": event_window,
+        "baseline_split": baseline_split, "baseline_entries": baseline_entries, "excerpts": excerpts, "structured_findings": structured_findings, "search_hits": search_hits, "search_truncated": search_truncated, "count_severity_dense": count_severity, "count_category_dense": count_category, "report_top": report_top, "mask_values": mask_values, "scalar_checks": values, "event_window": event_window,
         "enrich_rules": enrich, "count_rule": count_rule, "count_confidence_dense": count_confidence, "exploitable": exploitable, "sarif_results": exchange, "sarif_taxa": taxa, "chains_from_categories": chains, "inline_suppressions": suppressions,
         "code_findings": code_findings, "code_review": code_review, "code_report": code_report, "code_nodes": code_nodes, "code_issues": code_issues, "code_file_flags": code_file_flags, "code_symbols": code_symbols, "code_across_files": code_across_files, **{_rule_query(r): _rule(r) for r in CASES}, "resolve_message": messages, "resolve_timestamp": times, "deep_link": links, "hit_dedup": hit_dedup, "max_hits": max_hits, "matched_total": total, **{n: _search(q) for n, q in SEARCHES.items()},
     }
 
 
+MASK_SQL = "case when length({m}) <= 4 then repeat('*', length({m})) when length(regexp_replace({m}, '[^0-9]', '', 'g')) between 13 and 19 then ({m})[1:6] || repeat('*', greatest(0, length({m}) - 10)) || right({m}, 4) else ({m})[1:2] || repeat('*', length({m}) - 4) || right({m}, 2) end"
+
+
+def excerpts_sql(found: str, hidden: str) -> str:
+    """Excerpts character by character: ``found`` has rid, id, message, start, stop, lo and hi; ``hidden`` has id, start and stop.  Runs of hidden characters are masked each."""
+    mask = MASK_SQL.replace("{m}", "message[a + 1:b + 1]")
+    return f"""
+        bounds as (select *, greatest(lo, start - 40) as l, least(least(length(message), hi), stop + 40) as r, least(length(message), hi) as last from {found}),
+        places as (select rid, id, message, start, stop, unnest(range(l, r)) as pos from bounds),
+        covered as (select p.rid, p.message, p.pos, (p.pos >= p.start and p.pos < p.stop) or exists (select 1 from {hidden} h where h.id = p.id and h.start <= p.pos and p.pos < h.stop) as c from places p),
+        runs as (select rid, message, c, pos, pos - row_number() over (partition by rid, c order by pos) as g from covered),
+        pieces as (select rid, any_value(message) as message, c, min(pos) as a, max(pos) as b from runs group by rid, c, g),
+        texts as (select rid, string_agg(case when c then {mask} else message[a + 1:b + 1] end, '' order by a) as body from pieces group by rid),
+        shown as (select b.*, case when l <> lo then '…' else '' end || coalesce(t.body, '') || case when r <> last then '…' else '' end as excerpt from bounds b left join texts t using (rid))"""
+
+
 def oracle_sql() -> dict[str, str]:
+    structured = """lines as materialized (select id, source, message_text, message_text || chr(10) || source as message, length(message_text)::int as part from (
+            select o_orderkey as id, 'card 4111111111111111 order ' || o_orderkey as message_text, '{"message":"card 4111111111111111 order ' || o_orderkey || '","note":"password=hunter' || o_orderkey || ' and card 5555555555554444"}' as source from orders))"""
     out = {f"log_{n}": _with_lines("x as (select 1)") + matches_sql(S.numbers_of(n)) for n in names()}
     docs = "docs as (select doc_id as id, text as message from documents where text is not null)"
     first = "d as (select *, row_number() over (partition by fingerprint order by id, ord, start) as k from {rows})"
@@ -301,6 +361,19 @@ def oracle_sql() -> dict[str, str]:
         "gate_disabled": _all_matches(f"select {SHOWN_SQL} from findings where rule_id not in ('LOG-PCI-001', 'LOG-SEC-003') and rule_id not in {HEURISTIC_SQL} and rank >= 2"),
         "dedup_first": _all_matches(f", {first.format(rows='findings')} select {SHOWN_SQL} from d where k = 1"),
         "baseline_split": _all_matches(f", g as (select * from findings where {shown_gate}), {first.format(rows='g')}, b as (select distinct fingerprint, rule_id as r, case when id % 2 = 0 then file end as f from findings where id % 3 = 0) select {SHOWN_SQL}, exists (select 1 from b where b.fingerprint = d.fingerprint and b.r = d.rule_id and (b.f is null or b.f = d.file)) as suppressed from d where k = 1"),
+        "excerpts": _with_lines(f"""matches as materialized ({matches_sql(list(range(len(P.PATTERNS))))}),
+            f as materialized (select row_number() over () as rid, m.id, ord, rule_id, message, start, "end" as stop, 0 as lo, length(message) as hi from matches m join lines using (id)), h as materialized (select id, start, "end" as stop from matches),
+            {excerpts_sql('f', 'h')} select id, ord, rule_id, (start + 1)::int as "column", excerpt from shown"""),
+        "structured_findings": f"""with {structured}, matches as materialized ({matches_sql(list(range(len(P.PATTERNS))))}),
+            f as materialized (select row_number() over () as rid, m.id, ord, message, start, "end" as stop, start >= part as deep, case when start >= part then part + 1 else 0 end as lo, case when start >= part then length(message) else part end as hi from matches m join lines using (id)), h as materialized (select id, start, "end" as stop from matches),
+            {excerpts_sql('f', 'h')} select id, ord, (start - lo + 1)::int as "column", case when deep then '[_source] ' else '' end || excerpt as excerpt from shown""",
+        "search_hits": f"""with lines as materialized (select doc_id as id, source as container, text as message, position('the' in text) - 1 as spot from (select *, text as message from documents) where {condition_sql(SHOWN_QUERY)} order by doc_id * 7919 % 1000 desc, doc_id limit {SHOWN_HITS}),
+            matches as materialized ({matches_sql(list(range(len(P.PATTERNS))))}), h as materialized (select id, start, "end" as stop from matches), first as (select id, arg_min(start, ord * 1000000 + start) as start, arg_min("end", ord * 1000000 + start) as stop from matches group by id),
+            f as materialized (select row_number() over () as rid, id, container, message, case when spot >= 0 then spot else first.start end as start, case when spot >= 0 then least(length(message), spot + {len(SHOWN_QUERY)}) else first.stop end as stop, 0 as lo, length(message) as hi from lines left join first using (id) where spot >= 0 or first.start is not null),
+            {excerpts_sql('f', 'h')} select id, container, excerpt from shown
+            union all select id, container, string_split(message, chr(10))[1][1:200] from lines where spot < 0 and id not in (select id from h)""",
+        "search_truncated": f"select count(*)::bigint as matched, least(count(*), {SHOWN_HITS})::bigint as returned, count(*) >= {SHOWN_HITS} as truncated from (select *, text as message from documents) where {condition_sql(SEARCHES['search_phrase'])}",
+        "baseline_entries": _all_matches("select fingerprint, arg_min(rule_id, rule_id || chr(0) || file) as rule_id, arg_min(file, rule_id || chr(0) || file) as file from findings group by 1"),
         "count_severity_dense": _all_matches(dense("severity", P.SEVERITIES)),
         "count_category_dense": _all_matches(dense("category", R.CATEGORIES)),
         "report_top": _all_matches(f'select {SHOWN_SQL} from findings where {shown_gate} order by rank desc, file, rule_id, id, ord, "column" limit 5'),
@@ -315,7 +388,8 @@ def oracle_sql() -> dict[str, str]:
         "sarif_results": _all_matches(f"""
             select rule_id, ordinal as rule_index, case severity when 'CRITICAL' then 'error' when 'HIGH' then 'error' when 'MEDIUM' then 'warning' else 'note' end as level, case severity when 'CRITICAL' then '9.5' when 'HIGH' then '8.0' when 'MEDIUM' then '5.5' when 'LOW' then '3.0' else '0.0' end as security_severity,
                 file as uri, line as start_line, "column" as start_column, fingerprint, category, severity, coalesce(default_confidence, 'FIRM') as confidence, coalesce(cwe, '') as cwe, owasp,
-                case when exists (select 1 from findings b where b.id % 3 = 0 and b.fingerprint = f.fingerprint and b.rule_id = f.rule_id and (b.id % 2 <> 0 or b.file = f.file)) then 'external' end as suppression
+                case when exists (select 1 from findings b where b.id % 3 = 0 and b.fingerprint = f.fingerprint and b.rule_id = f.rule_id and (b.id % 2 <> 0 or b.file = f.file)) then 'external' end as suppression,
+                case when exists (select 1 from findings b where b.id % 3 = 0 and b.fingerprint = f.fingerprint and b.rule_id = f.rule_id and (b.id % 2 <> 0 or b.file = f.file)) then 'known since ' || f.id end as justification
             from findings f left join ({R.rules_sql()}) using (rule_id)"""),
         "sarif_taxa": f"with r as ({R.rules_sql()}), t as (select 'CWE' as taxonomy, unnest(string_split(cwe, ',')) as taxon, ordinal * 10 + generate_subscripts(string_split(cwe, ','), 1) - 1 as pos from r union all select 'OWASP', owasp, ordinal * 10 from r) select taxonomy, taxon, min(pos)::bigint as first_seen from t group by 1, 2",
         "chains_from_categories": f"with c as (select o_custkey, list(distinct [{', '.join(map(quoted, R.CATEGORIES))}][(o_orderkey % {len(R.CATEGORIES)})::int + 1]) as seen from orders group by 1) " + " union all ".join(f"select o_custkey, {quoted(n)} as chain from c where list_has_all(seen, [{', '.join(map(quoted, cs))}])" for n, cs in report.CHAINS),
@@ -345,7 +419,7 @@ def oracle_sql() -> dict[str, str]:
         "deep_link": """
             with e as (select event_id, chr(39) as q, replace(replace(replace(replace(replace(url_encode('é!' || chr(39) || '()*~/"&+% ' || event_id), '%21', '!'), '%27', chr(39)), '%28', '('), '%29', ')'), '%2A', '*') as name from events)
             select event_id, 'https://logs.example.com/app/discover#/?_g=(time:(from:' || q || url_encode('2024-01-01T00:00:00.000Z') || q || ',to:now))&_a=(index:' || q || 'app-*' || q || ',query:(language:kuery,query:' || q || '_id:"' || name || '"' || q || '))' as link from e""",
-        "hit_dedup": "select event_type as container, count(distinct event_id)::bigint as n from events where ts >= timestamp '2024-01-01' and ts < timestamp '2025-01-01' group by 1",
+        "hit_dedup": "select event_id as id, event_type as container, floor(epoch(ts))::bigint as seconds from events where ts >= timestamp '2024-01-01' and ts < timestamp '2025-01-01' union all select event_id, 'again', floor(epoch(ts))::bigint + 3600 from events where ts < timestamp '2024-01-01' and ts + interval 1 hour >= timestamp '2024-01-01'",
         "max_hits": "select event_id as id, event_type as container from events where ts >= timestamp '2024-01-05' and ts < timestamp '2024-02-01' order by ts, event_id limit 100",
         "event_window": "select event_type as container, count(*)::bigint as n, min(event_id) as first_id, max(event_id) as last_id from events where ts >= timestamp '2024-01-05' and ts < timestamp '2024-01-20' and event_type in ('click', 'purchase') group by 1",
     }

@@ -17,9 +17,10 @@ MESSAGE_FIELDS = ["$.message", "$.msg", "$.event.original", "$.log.message"]
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """Rows over all cores where the input has fewer partitions than there are cores; a large input stays as it was read.
+    """Rows of a plain read over all cores where it has fewer partitions than there are cores; a large input stays as it was read.
 
-    The scan costs far more than moving its lines once, and a small file is one partition.
+    The scan costs far more than moving its lines once, and a small file is one partition.  For reads only, whose
+    partitions are known without running anything.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
@@ -42,10 +43,15 @@ def event_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def window_scan(rows: DataFrame, start: str, stop: str, containers: list[str] | None = None, most: int | None = None) -> DataFrame:
-    """Hits from start (included) to stop (excluded), one for each id; with ``most``, the earliest so many in order of time."""
+    """Hits from start (included) to stop (excluded), one for each id, the first to arrive; with ``most``, the earliest so many in order of time.
+
+    Hits arrive in order of time; of those with equal times the one that sorts first comes first.  Null ids are left out.
+    """
     rows = rows.where((F.col("ts") >= F.lit(start).cast("timestamp")) & (F.col("ts") < F.lit(stop).cast("timestamp")))
     names = [c.strip() for c in containers or [] if c.strip()]
-    rows = (rows.where(F.col("container").isin(names)) if names else rows).dropDuplicates(["id"])
+    rows = rows.where(F.col("container").isin(names)) if names else rows
+    others = [c for c in rows.columns if c not in ("id", "ts")]
+    rows = rows.where("id is not null").groupBy("id").agg(F.min(F.struct("ts", *others)).alias("first")).select("id", "first.*").select(rows.columns)
     return rows.orderBy("ts", "id").limit(most) if most else rows
 
 
