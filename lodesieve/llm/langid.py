@@ -256,8 +256,9 @@ def _scored(models: Models, last: bool):
             for part in _pieces(batch.column("text").to_pylist()):
                 g, n = grams.of(part)
                 added = models.sums(g, n)
-                for own in before[at : at + len(part)]:
-                    rows.append((added[len(rows) - at] + own if own else added[len(rows) - at]).tolist())
+                if before[at] is not None:
+                    added += np.array(before[at : at + len(part)])
+                rows += added.tolist()
                 at += len(part)
                 sizes += n.tolist()
             columns = {**{c: batch.column(c) for c in ("doc_id", "lang", "text")}, "n": pa.array(sizes, pa.int64()), "sums": pa.array(rows, pa.list_(pa.float64()))}

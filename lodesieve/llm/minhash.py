@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from lodesieve.llm.components import components
 from lodesieve.llm.memory import tidy
-from lodesieve.llm.rows import row_key
+from lodesieve.llm.rows import row_key, without_rows
 from lodesieve.llm.skew import join_one
 from lodesieve.llm.words import Minima, mix, shingle_sets
 from lodesieve.sources.scratch import Scratch
@@ -314,9 +314,10 @@ def keep_one(spark: SparkSession, docs: DataFrame, percent: int = 85, bands: int
     rows = scratch.save(keyed.select("key", "id").join(found.where("n_shingles > 0").select(F.col("doc_id").alias("key"), "component_id"), "key"), "members")
     order = F.struct(F.col("id").isNull().alias("last"), "id", "key")
     first = rows.groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first.key").alias("key"))
-    gone = scratch.save(rows.select("key").distinct().join(first, "key", "left_anti"), "gone")
-    left = docs.withColumn("_row", row_key(docs)).join(gone.withColumnRenamed("key", "_row"), "_row", "left_anti")
+    gone = scratch.save(rows.select("key").distinct().join(first, "key", "left_anti").select(F.col("key").alias("doc_id")), "gone")
+    left = without_rows(docs, gone)
     repeated = scratch.save(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("_row")), "repeated")
     if repeated.head(1):
+        left = left.withColumn("_row", row_key(docs))
         left = left.join(repeated, "_row", "left_anti").unionByName(left.join(repeated, "_row", "left_semi").dropDuplicates(["_row"]))
     return left.select(docs.columns)

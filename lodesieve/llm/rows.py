@@ -15,6 +15,12 @@ def row_key(docs: DataFrame) -> Column:
     return F.xxhash64(*[F.col(c) for c in names], F.concat(*[F.col(c).isNull().cast("int").cast("string") for c in names]))
 
 
+#: Keys of 8 bytes that are sent to the executors; more of them meet the documents by key.
+SENT = 2_000_000
+
+
 def without_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """The documents whose key isn't among the keys (one column, doc_id)."""
-    return docs.withColumn("_row", row_key(docs)).join(keys.select(F.col("doc_id").alias("_row")), "_row", "left_anti").select(docs.columns)
+    """The documents whose key isn't among the keys (one column, doc_id; a written table, which is counted first)."""
+    gone = keys.select(F.col("doc_id").alias("_row"))
+    gone = F.broadcast(gone) if keys.count() <= SENT else gone
+    return docs.withColumn("_row", row_key(docs)).join(gone, "_row", "left_anti").select(docs.columns)
