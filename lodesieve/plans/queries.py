@@ -11,7 +11,7 @@ from lodesieve.functions import checks
 from lodesieve.functions import patterns as P
 from lodesieve.functions import rules as R
 from lodesieve.functions.checks import CHECKS, quoted
-from lodesieve.operators import detectors, report, symbols
+from lodesieve.operators import detectors, exploits, report, symbols
 from lodesieve.operators import scan as S
 from lodesieve.plans.lines import PROGRAMS, code_files, code_files_sql, log_lines, log_lines_sql, structured_hits
 from lodesieve.plans.programs import CASES, project_files, rule_files, rule_sql
@@ -313,6 +313,58 @@ def max_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.window_scan(H.event_hits(spark, sf_dir), "2024-01-05", "2024-02-01", None, 100).select("id", "container")
 
 
+#: Titles of exploits dealt to orders and suppliers.
+TITLES = ["Hardcoded Secret in Variable", "Potential Privilege Escalation (Vertical)", "SQL Injection in Query", "Unfiltered Data Exposure", "Role Assigned From Request", "Command Execution by Input", "Cache Key From Header", "Weak Limit"]
+PRIORITIES = {"1-URGENT": "CRITICAL", "2-HIGH": "HIGH", "3-MEDIUM": "MEDIUM", "4-NOT SPECIFIED": "LOW", "5-LOW": "INFO"}
+
+
+def _exploits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An exploit for each order: its customer is the project, its priority the severity."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    k = F.col("o_orderkey")
+    severity = F.element_at(F.create_map(*[F.lit(x) for kv in PRIORITIES.items() for x in kv]), F.col("o_orderpriority"))
+    title = F.get(F.array(*map(F.lit, TITLES)), (k % len(TITLES)).cast("int"))
+    return o.select(F.lpad(k.cast("string"), 10, "0").alias("id"), F.col("o_custkey").alias("project"), severity.alias("severity"), title.alias("title"), F.lit("").alias("type"), F.lit("").alias("root_cause"), F.when(k % 3 == 1, F.concat(F.lit("DATA-"), (k % 50).cast("string"))).alias("finding_id"), F.when(k % 3 == 0, F.concat(F.lit("f"), (k % 40).cast("string"))).alias("file"), F.when(k % 3 == 0, (k % 11).cast("int")).alias("line"))
+
+
+def exploit_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, k = spark.read.parquet(f"{sf_dir}/orders.parquet"), F.col("o_orderkey")
+    return o.select("o_orderkey", exploits.exploit_id(F.lit("auth"), F.concat(F.lit("src\\f"), k.cast("string")), k % 97, F.concat(F.lit(" a \n\t b"), F.col("o_orderpriority"), F.lit(" "))).alias("id"))
+
+
+def exploit_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _exploits(spark, sf_dir).groupBy("title").agg(F.array_join(F.any_value(exploits.stages(F.col("title"))), ",").alias("stages"), F.count("*").alias("n"))
+
+
+def exploit_severities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _exploits(spark, sf_dir)
+    return exploits.severity_summary(rows).join(F.broadcast(exploits.mean_score(rows).select(F.round("mean_score", 6).alias("mean_score"))))
+
+
+def exploit_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = exploits.chains(_exploits(spark, sf_dir), "project")
+    return made.select("project", "chain", F.array_join("ids", ",").alias("ids"), F.array_join("path", ",").alias("path"), "multiplier", "damage")
+
+
+def exploit_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    n = F.col("l_linenumber")
+    return exploits.payload_summary(rows.select("l_orderkey", F.concat(F.lit("p"), n.cast("string")).alias("name"), F.get(F.array(*map(F.lit, ["hard", "easy", "medium"])), (n % 4).cast("int")).alias("difficulty"), F.when(n % 5 != 0, F.col("l_quantity") * 2).alias("success_rate")), "l_orderkey")
+
+
+def exploit_needs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    step = F.struct(F.col("title").alias("description"), F.when(F.col("line").isNotNull(), F.lit("database")).alias("notes"), F.col("finding_id").alias("input"))
+    needs = exploits.prerequisites(F.array(step))
+    easiest = F.get(F.array(*map(F.lit, ["easy", "medium", "hard"])), (F.col("id").cast("long") % 3).cast("int"))
+    return _exploits(spark, sf_dir).select("id", F.array_join(needs, " ").alias("needs"), exploits.complexity(easiest, F.size(needs)).alias("complexity"))
+
+
+def exploits_of_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("s_suppkey")
+    found = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.concat(F.lit("f"), (key % 40).cast("string")).alias("file"), (key % 11).cast("int").alias("line"), F.lit("DATA").alias("category"), F.get(F.array(*map(F.lit, ["Hardcoded Key", "Privilege Escalation", "Data Exposure", "Weak Limit"])), (key % 4).cast("int")).alias("title"))
+    return exploits.of_findings(_exploits(spark, sf_dir), found).select("id")
+
+
 def _rule_query(rule: str) -> str:
     return "code_" + rule.lower().replace("-", "_")
 
@@ -322,7 +374,7 @@ def queries() -> dict[str, Query]:
         "scan_all_by_rule": all_by_rule, "scan_documents_by_rule": documents_by_rule, "gate_default": gate_default, "gate_heuristic": gate_heuristic, "gate_disabled": gate_disabled, "dedup_first": dedup_first,
         "baseline_split": baseline_split, "baseline_entries": baseline_entries, "excerpts": excerpts, "structured_findings": structured_findings, "search_hits": search_hits, "search_truncated": search_truncated, "count_severity_dense": count_severity, "count_category_dense": count_category, "report_top": report_top, "mask_values": mask_values, "scalar_checks": values, "event_window": event_window,
         "enrich_rules": enrich, "count_rule": count_rule, "count_confidence_dense": count_confidence, "exploitable": exploitable, "sarif_results": exchange, "sarif_taxa": taxa, "chains_from_categories": chains, "inline_suppressions": suppressions,
-        "code_findings": code_findings, "code_review": code_review, "code_report": code_report, "code_nodes": code_nodes, "code_issues": code_issues, "code_file_flags": code_file_flags, "code_symbols": code_symbols, "code_across_files": code_across_files, **{_rule_query(r): _rule(r) for r in CASES}, "resolve_message": messages, "resolve_timestamp": times, "deep_link": links, "hit_dedup": hit_dedup, "max_hits": max_hits, "matched_total": total, **{n: _search(q) for n, q in SEARCHES.items()},
+        "code_findings": code_findings, "code_review": code_review, "code_report": code_report, "code_nodes": code_nodes, "code_issues": code_issues, "code_file_flags": code_file_flags, "code_symbols": code_symbols, "code_across_files": code_across_files, "exploit_ids": exploit_ids, "exploit_stages": exploit_stages, "exploit_severities": exploit_severities, "exploit_chains": exploit_chains, "exploit_payloads": exploit_payloads, "exploit_needs": exploit_needs, "exploits_of_findings": exploits_of_findings, **{_rule_query(r): _rule(r) for r in CASES}, "resolve_message": messages, "resolve_timestamp": times, "deep_link": links, "hit_dedup": hit_dedup, "max_hits": max_hits, "matched_total": total, **{n: _search(q) for n, q in SEARCHES.items()},
     }
 
 
@@ -345,6 +397,25 @@ def excerpts_sql(found: str, hidden: str) -> str:
 def oracle_sql() -> dict[str, str]:
     structured = """lines as materialized (select id, source, message_text, message_text || chr(10) || source as message, length(message_text)::int as part from (
             select o_orderkey as id, 'card 4111111111111111 order ' || o_orderkey as message_text, '{"message":"card 4111111111111111 order ' || o_orderkey || '","note":"password=hunter' || o_orderkey || ' and card 5555555555554444"}' as source from orders))"""
+    titles = "[" + ", ".join(map(quoted, TITLES)) + "]"
+    stage_of = lambda text: "list_filter([" + ", ".join(f"case when regexp_matches(lower({text}), {quoted(r)}) then '{n}' end" for n, r in exploits.STAGES.items()) + "], lambda x: x is not null)"
+    spoken = stage_of("title || case when k % 3 = 1 then ' DATA-' else '' end")
+    dealt = f"""e as materialized (select lpad(o_orderkey::varchar, 10, '0') as id, o_orderkey as k, o_custkey as project, case o_orderpriority {" ".join(f"when '{p}' then '{v}'" for p, v in PRIORITIES.items())} end as severity, {titles}[(o_orderkey % {len(TITLES)})::int + 1] as title from orders),
+        g as materialized (select *, case when len({stage_of('title')}) > 0 then {stage_of('title')} else ['{exploits.OTHER_STAGE}'] end as titled, case when len({spoken}) > 0 then {spoken} else ['{exploits.OTHER_STAGE}'] end as stages, case severity {" ".join(f"when '{n}' then {v}" for n, v in exploits.SCORES.items())} end as score from e),
+        s as materialized (select project, id, title, severity, score, unnest(stages) as stage from g)"""
+    best = "(select project, arg_min(struct_pack(id := id, title := title, severity := severity), (-score, id)) as x from {rows} group by project)"
+    pick = lambda stage, taken: best.format(rows=f"(select s.* from s{' join ' + taken + ' t using (project)' if taken else ''} where stage = '{stage}'{' and not list_contains(t.ids, s.id)' if taken else ''})")
+    steps, last = [], []
+    for n, (_, wanted) in enumerate(exploits.CHAINS):
+        for m, stage in enumerate(wanted):
+            before = f"c{n}_{m - 1}" if m else None
+            grown = "list_append(t.ids, x.id) as ids, list_append(t.path, x.title) as path, t.severity" if m else "[x.id] as ids, [x.title] as path, x.severity"
+            steps.append(f"c{n}_{m} as materialized (select b.project, {grown} from {pick(stage, before)} b{f' join {before} t using (project)' if m else ''})")
+        last.append(f"select project, {n} as n, ids, path, severity from c{n}_{len(wanted) - 1}")
+    titled = " ".join(f"when {n} then {quoted(t)}" for n, (t, _) in enumerate(exploits.CHAINS))
+    final = f"least({exploits.MOST_RISK}, (case severity {' '.join(f'when {quoted(n)} then {v}' for n, v in exploits.SCORES.items())} end) * round(1 + (len(ids) - 1) * {exploits.STEP_RISK}, 2))"
+    damage = "case " + " ".join(f"when {final} >= {least} then {quoted(t)}" for least, t in exploits.DAMAGE[:-1]) + f" else {quoted(exploits.DAMAGE[-1][1])} end"
+    needed = "list_filter([" + ", ".join([quoted(exploits.REACHED), f"case when k % 3 = 1 then {quoted(exploits.FED)} end", *[f"case when regexp_matches(lower(title || ' ' || case when k % 3 = 0 then 'database' else '' end), {quoted(r)}) then {quoted(t)} end" for r, t in exploits.NEEDS]]) + "], lambda x: x is not null)"
     out = {f"log_{n}": _with_lines("x as (select 1)") + matches_sql(S.numbers_of(n)) for n in names()}
     docs = "docs as (select doc_id as id, text as message from documents where text is not null)"
     first = "d as (select *, row_number() over (partition by fingerprint order by id, ord, start) as k from {rows})"
@@ -411,6 +482,20 @@ def oracle_sql() -> dict[str, str]:
         "code_across_files": """select 'p/' || s_suppkey || '/' || path as file, rule_id, severity, line::int as line from supplier, (values
             ('api/orders.ts', 'BCR-VAL-001', 'CRITICAL', 2), ('api/jobs.ts', 'BCR-VAL-002', 'CRITICAL', 3)) v(path, rule_id, severity, line)""",
         **{_rule_query(r): rule_sql(r) for r in CASES},
+        "exploit_ids": r"""select o_orderkey, 'auth-' || (o_orderkey % 97) || '-' || sha256('auth' || chr(0) || 'src/f' || o_orderkey || chr(0) || (o_orderkey % 97) || chr(0) || 'a b' || o_orderpriority)[1:12] as id from orders""",
+        "exploit_stages": f"with {dealt} select title, array_to_string(any_value(titled), ',') as stages, count(*)::bigint as n from g group by title",
+        "exploit_severities": f"with {dealt} select count(*)::bigint as total, {', '.join(f'count(*) filter (severity = {quoted(x)})::bigint as {x.lower()}' for x in P.SEVERITIES[:4])}, round(avg(score), 6) as mean_score from g",
+        "exploit_chains": f"""with {dealt}, {', '.join(steps)}, c as ({' union all '.join(last)}), u as (select *, array_to_string(list_sort(ids), '|') as all_ids from c)
+            select project, case n {titled} end as chain, array_to_string(ids, ',') as ids, array_to_string(path, ',') as path, round(1 + (len(ids) - 1) * {exploits.STEP_RISK}, 2)::double as multiplier, {damage} as damage
+            from u where not exists (select 1 from u b where b.project = u.project and b.n < u.n and b.all_ids = u.all_ids)""",
+        "exploit_payloads": f"""with p as (select l_orderkey, 'p' || l_linenumber as name, case l_linenumber % 4 when 0 then 'hard' when 1 then 'easy' when 2 then 'medium' end as difficulty, case when l_linenumber % 5 <> 0 then l_quantity * 2 end as rate from lineitem),
+            r as (select *, case difficulty when 'easy' then 1 when 'hard' then 3 else 2 end as d, -coalesce(rate, 0) as m, row_number() over (partition by l_orderkey order by case difficulty when 'easy' then 1 when 'hard' then 3 else 2 end, -coalesce(rate, 0), name) as first from p)
+            select l_orderkey, count(*)::bigint as total, floor(avg(rate) + 0.5)::bigint as mean_rate, count(*) filter (coalesce(rate, 0) >= {exploits.RELIABLE})::bigint as reliable, any_value(difficulty) filter (first = 1) as easiest, any_value(name) filter (first = 1) as recommended from r group by 1""",
+        "exploit_needs": f"with {dealt}, n as (select id, k, {needed} as needs from e) select id, array_to_string(needs, ' ') as needs, case when k % 3 = 0 and len(needs) <= 3 then 'low' when k % 3 = 2 or len(needs) >= 5 then 'high' else 'medium' end as complexity from n",
+        "exploits_of_findings": f"""with {dealt}, f as (select 'f' || (s_suppkey % 40) as file, s_suppkey % 11 as line, ['Hardcoded Key', 'Privilege Escalation', 'Data Exposure', 'Weak Limit'][(s_suppkey % 4)::int + 1] as t from supplier),
+            w as (select *, list_filter(string_split_regex(regexp_replace(lower(title), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda x: length(x) >= 4) as words from e)
+            select id from w where (k % 3 = 0 and exists (select 1 from f where f.file = 'f' || (k % 40) and f.line = k % 11 and (f.t = title or (contains(lower(title), 'hardcoded') and contains(lower(f.t), 'hardcoded')) or len(list_intersect(words, list_filter(string_split(lower(f.t), ' '), lambda x: length(x) >= 4))) >= 2)))
+                or (k % 3 = 1 and exists (select 1 from f where 'DATA-' || f.line = 'DATA-' || (k % 50))) or (k % 3 = 2 and exists (select 1 from f where contains(title, f.t)))""",
         "resolve_message": """
             with s as (select event_id, case event_id % 3 when 0 then props when 1 then '{"message":"' || event_type || ' é"}' else '{"msg":"","log":{"message":"' || event_type || '"}}' end as source from events),
             p as (select event_id, source, coalesce(nullif(json_extract_string(source, '$.message'), ''), nullif(json_extract_string(source, '$.msg'), ''), nullif(json_extract_string(source, '$.event.original'), ''), nullif(json_extract_string(source, '$.log.message'), ''), '') as primary_text from s)
