@@ -205,6 +205,12 @@ def count_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.count_by_rule(_findings(spark, sf_dir))
 
 
+def count_clause(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings by the clause that their rule bears on."""
+    rows = report.count_by_rule(_findings(spark, sf_dir)).join(F.broadcast(R.clauses(spark)), "rule_id")
+    return rows.groupBy("regime", "clause").agg(F.sum("n").alias("n"))
+
+
 def count_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.dense_counts(report.enriched(_findings(spark, sf_dir)), "confidence", R.CONFIDENCES)
 
@@ -373,7 +379,7 @@ def queries() -> dict[str, Query]:
     return {f"log_{n}": _one(n) for n in names()} | {
         "scan_all_by_rule": all_by_rule, "scan_documents_by_rule": documents_by_rule, "gate_default": gate_default, "gate_heuristic": gate_heuristic, "gate_disabled": gate_disabled, "dedup_first": dedup_first,
         "baseline_split": baseline_split, "baseline_entries": baseline_entries, "excerpts": excerpts, "structured_findings": structured_findings, "search_hits": search_hits, "search_truncated": search_truncated, "count_severity_dense": count_severity, "count_category_dense": count_category, "report_top": report_top, "mask_values": mask_values, "scalar_checks": values, "event_window": event_window,
-        "enrich_rules": enrich, "count_rule": count_rule, "count_confidence_dense": count_confidence, "exploitable": exploitable, "sarif_results": exchange, "sarif_taxa": taxa, "chains_from_categories": chains, "inline_suppressions": suppressions,
+        "enrich_rules": enrich, "count_rule": count_rule, "count_clause": count_clause, "count_confidence_dense": count_confidence, "exploitable": exploitable, "sarif_results": exchange, "sarif_taxa": taxa, "chains_from_categories": chains, "inline_suppressions": suppressions,
         "code_findings": code_findings, "code_review": code_review, "code_report": code_report, "code_nodes": code_nodes, "code_issues": code_issues, "code_file_flags": code_file_flags, "code_symbols": code_symbols, "code_across_files": code_across_files, "exploit_ids": exploit_ids, "exploit_stages": exploit_stages, "exploit_severities": exploit_severities, "exploit_chains": exploit_chains, "exploit_payloads": exploit_payloads, "exploit_needs": exploit_needs, "exploits_of_findings": exploits_of_findings, **{_rule_query(r): _rule(r) for r in CASES}, "resolve_message": messages, "resolve_timestamp": times, "deep_link": links, "hit_dedup": hit_dedup, "max_hits": max_hits, "matched_total": total, **{n: _search(q) for n, q in SEARCHES.items()},
     }
 
@@ -454,6 +460,7 @@ def oracle_sql() -> dict[str, str]:
         "matched_total": f"select count(*)::bigint as value, 'eq' as relation from (select *, text as message from documents) where {condition_sql(SEARCHES['search_and_or_not'])}",
         "enrich_rules": _all_matches(f"select {SHOWN_SQL}, cwe, owasp, coalesce(heuristic, false) as heuristic, coalesce(default_confidence, 'FIRM') as confidence from findings left join ({R.rules_sql()}) using (rule_id)"),
         "count_rule": _all_matches("select rule_id, count(*)::bigint as n from findings group by 1"),
+        "count_clause": _all_matches(f"select regime, clause, count(*)::bigint as n from findings join ({R.clauses_sql()}) using (rule_id) group by 1, 2"),
         "count_confidence_dense": _all_matches(f"select k as confidence, count(c)::bigint as n from (values ('CONFIRMED'), ('FIRM'), ('TENTATIVE')) v(k) left join (select coalesce(default_confidence, 'FIRM') as c from findings left join ({R.rules_sql()}) using (rule_id)) on c = k group by k"),
         "exploitable": _all_matches(f"select {SHOWN_SQL} from findings where severity = 'CRITICAL' or severity = 'HIGH' and rule_id not in {HEURISTIC_SQL}"),
         "sarif_results": _all_matches(f"""

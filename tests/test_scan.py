@@ -155,3 +155,38 @@ def test_documents_are_scanned_whole(spark, tmp_path):
     con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
     assert got == set(con.execute(f"select rule_id, severity, n, n_docs from ({Q.oracle_sql()['scan_documents_by_rule']})").fetchall())
     assert ("LOG-PCI-002", "CRITICAL", 4, 3) in got and ("LOG-PCI-001", "CRITICAL", 1, 1) in got
+
+
+def test_progress_and_cancellation(spark, lines, tmp_path):
+    import threading
+    import time
+
+    from lodesieve.streaming import scan_stream as T
+
+    lines.withColumn("ts", F.current_timestamp()).write.parquet(f"{tmp_path}/in")
+    hits = spark.readStream.schema("id long, index string, message string, ts timestamp").parquet(f"{tmp_path}/in")
+    told = []
+    with T.progress(spark, told.append):
+        T.write_findings(T.stream_findings(hits), f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+        for _ in range(50):
+            if told and told[-1] >= len(LINES):
+                break
+            time.sleep(0.1)
+    assert told[-1] == len(LINES)
+    ended = []
+
+    def slow():
+        with T.cancellable(spark, "scan-1"):
+            try:
+                spark.range(4, numPartitions=4).mapInPandas(lambda it: (time.sleep(60) or x for x in it), "id long").count()
+            except Exception as error:
+                ended.append(error)
+
+    t = threading.Thread(target=slow)
+    t.start()
+    for _ in range(100):
+        time.sleep(0.2)
+        T.cancel(spark, "scan-1")
+        if not t.is_alive():
+            break
+    assert ended and not t.is_alive()
