@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import logging
 import sys
 from datetime import UTC, datetime, timedelta
 from pathlib import Path
@@ -58,6 +59,9 @@ def options(args: list[str]) -> argparse.Namespace:
     p.add_argument("--show-suppressed", action="store_true")
     p.add_argument("--no-gitignore", action="store_true")
     p.add_argument("--list-rules", action="store_true")
+    p.add_argument("--quiet", action="store_true")
+    p.add_argument("--verbose", action="store_true")
+    p.add_argument("--log-format", default="text", choices=["text", "json"])
     p.add_argument("--version", action="version", version=VERSION)
     try:
         o = p.parse_args(args)
@@ -81,6 +85,23 @@ def options(args: list[str]) -> argparse.Namespace:
     return o
 
 
+class _Lines(logging.Formatter):
+    """One JSON object a line."""
+
+    def format(self, record: logging.LogRecord) -> str:
+        return json.dumps({"time": self.formatTime(record), "level": record.levelname, "message": record.getMessage()})
+
+
+def log(o: argparse.Namespace | None = None) -> logging.Logger:
+    """What is told goes to the error stream, as text or JSON lines: errors only if quiet, details if verbose."""
+    out = logging.getLogger("lodesieve")
+    out.handlers[:] = [logging.StreamHandler(sys.stderr)]
+    out.propagate = False
+    out.handlers[0].setFormatter(_Lines() if o and o.log_format == "json" else logging.Formatter("%(levelname)s %(message)s"))
+    out.setLevel(logging.ERROR if o and o.quiet else logging.DEBUG if o and o.verbose else logging.INFO)
+    return out
+
+
 def _address(path: str) -> str:
     """A path of this machine as Spark may read it; an address stays as it is."""
     return path if "://" in path else Path(path).resolve().as_uri()
@@ -138,7 +159,11 @@ def run(spark: SparkSession, o: argparse.Namespace, out=print) -> int:
         report.write_sarif(rows, path, VERSION, o.show_suppressed)
     elif o.format == "text":
         Path(path).write_text(report.report_text(made), encoding="utf-8")
-    out(report.summary_text(made))
+    for issue in made["runtimeIssues"]:
+        log(o).log(logging.ERROR if issue["severity"] == "ERROR" else logging.WARNING, "%s %s: %s", issue["type"], issue["file"], issue["fix"])
+    log(o).debug("%s findings written to %s", made["totalIssues"], path)
+    if not o.quiet:
+        out(report.summary_text(made))
     if report.fails(visible, o.fail_on):
         return 1
     return int(o.fail_on_runtime_errors and made["hasRuntimeErrors"])
@@ -149,10 +174,10 @@ def main(args: list[str] | None = None) -> int:
         o = options(sys.argv[1:] if args is None else args)
         return run(SparkSession.builder.appName("lodesieve").getOrCreate(), o)
     except Usage as error:
-        print(error, file=sys.stderr)
+        log().error("%s", error)
         return 2
     except OSError as error:
-        print(f"REPORT_WRITE_FAILURE: {error}", file=sys.stderr)
+        log().error("REPORT_WRITE_FAILURE: %s (%s)", report.REMEDIES["REPORT_WRITE_FAILURE"], error)
         return 1
 
 

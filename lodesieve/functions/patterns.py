@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import cache
 
 # Patterns, labels, word lists and severities are part of the results' definition.
 
@@ -144,11 +145,13 @@ def _spelled(spaces: str):
     return one
 
 
+@cache
 def re2(p: Pattern) -> str:
     """For engines of the RE2 kind: Arrow's, by which texts are told apart that may have a match, and DuckDB's."""
     return ("(?i)" if p.fold else "") + portable(p.regex)
 
 
+@cache
 def compiled(p: Pattern) -> re.Pattern:
     """For finding the matches of a text."""
     spaces = re.sub(r"\\x\{(\w+)\}", lambda m: f"\\u{int(m[1], 16):04x}", SPACES)

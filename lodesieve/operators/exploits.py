@@ -90,13 +90,17 @@ def words_of(exploits: DataFrame) -> Column:
 
 
 def severity_summary(exploits: DataFrame) -> DataFrame:
-    """One row: how many exploits, and how many of them are critical, high, medium and low."""
-    return exploits.agg(F.count("*").alias("total"), *[F.count_if(F.col("severity") == s).alias(s.lower()) for s in P.SEVERITIES[:4]])
+    """One row: how many exploits, how many of them are critical, high, medium and low, and the mean of their scores."""
+    return exploits.agg(F.count("*").alias("total"), *[F.count_if(F.col("severity") == s).alias(s.lower()) for s in P.SEVERITIES[:4]], _mean())
+
+
+def _mean() -> Column:
+    return F.coalesce(F.avg(score(F.col("severity"))), F.lit(SCORES["MEDIUM"])).alias("mean_score")
 
 
 def mean_score(exploits: DataFrame, *keys: str) -> DataFrame:
     """The mean of the severities' scores, of each group if keys are given; that of MEDIUM where there are none."""
-    return exploits.groupBy(*keys).agg(F.coalesce(F.avg(score(F.col("severity"))), F.lit(SCORES["MEDIUM"])).alias("mean_score"))
+    return exploits.groupBy(*keys).agg(_mean())
 
 
 def payload_summary(payloads: DataFrame, *keys: str) -> DataFrame:

@@ -343,8 +343,7 @@ def exploit_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exploit_severities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _exploits(spark, sf_dir)
-    return exploits.severity_summary(rows).join(F.broadcast(exploits.mean_score(rows).select(F.round("mean_score", 6).alias("mean_score"))))
+    return exploits.severity_summary(_exploits(spark, sf_dir)).withColumn("mean_score", F.round("mean_score", 6))
 
 
 def exploit_chains(spark: SparkSession, sf_dir: str) -> DataFrame:

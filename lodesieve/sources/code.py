@@ -925,7 +925,7 @@ def innermost(ranges: list[tuple]):
 
 
 def source_files(spark: SparkSession, path: str, pattern: str = V.NAMES, ignored: list[str] | None = None) -> DataFrame:
-    """file, content, size of the source files under a folder, in order of their paths; or of one file, to which no rule of exclusion applies.
+    """file, content, size of the source files under a folder, or of one file, to which no rule of exclusion applies.  Contents are never sorted; reports are.
 
     Left out are generated files and folders, tests and reports unless the folder itself is inside one, and
     what ``ignored`` (patterns of ignore files, later ones winning) names.  Files over LARGEST keep a null content.
@@ -940,7 +940,7 @@ def source_files(spark: SparkSession, path: str, pattern: str = V.NAMES, ignored
         raw = raw.where(~inside.rlike(V.LEFT_OUT) & ~inside.rlike(rf"(?:^|/)(?:{'|'.join(scoped) or '(?!)'})/"))
         if ignored:
             raw = raw.where(~is_ignored(inside, ignored))
-    return raw.select(F.col("path").alias("file"), F.when(F.col("length") <= V.LARGEST, F.col("content").cast("string")).alias("content"), F.col("length").alias("size")).orderBy("file")
+    return raw.select(F.col("path").alias("file"), F.when(F.col("length") <= V.LARGEST, F.col("content").cast("string")).alias("content"), F.col("length").alias("size"))
 
 
 def is_ignored(path, patterns: list[str]):

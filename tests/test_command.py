@@ -24,6 +24,14 @@ def test_options():
     assert cli.main(["--path", "/no/such/folder"]) == 2
 
 
+def test_log(capsys):
+    cli.log(cli.options(["--log-format", "json"])).info("a %s", 1)
+    assert json.loads(capsys.readouterr().err)["message"] == "a 1"
+    cli.log(cli.options(["--quiet"])).warning("b")
+    cli.log(cli.options(["--verbose"])).debug("c")
+    assert capsys.readouterr().err == "DEBUG c\n"
+
+
 def test_code(spark, tmp_path, monkeypatch):
     monkeypatch.chdir(tmp_path)
     src = tmp_path / "src"
