@@ -119,7 +119,7 @@ def format_trees(nodes: DataFrame, scratch: Scratch, per_tree: int = 1, trained_
         higher = waiting.unionByName(_reached(done))
         higher = higher.select(F.col("node").alias("above"), F.col("above").alias("next"), F.col("total").alias("t"), F.col("sum").alias("s"), F.col("count").alias("c"))
         rounds += 1
-        reach = scratch.save(join_one(waiting, higher, ["above"]).select("tree", "node", F.col("next").alias("above"), (F.col("total") + F.col("t")).alias("total"), (F.col("sum") + F.col("s")).alias("sum"), (F.col("count") + F.col("c")).alias("count")), f"reach-{rounds}")
+        reach = scratch.save(join_one(waiting, higher, ["above"], left).select("tree", "node", F.col("next").alias("above"), (F.col("total") + F.col("t")).alias("total"), (F.col("sum") + F.col("s")).alias("sum"), (F.col("count") + F.col("c")).alias("count")), f"reach-{rounds}")
         done.append(reach.where("above is null"))
     rooted = _reached(done).join(up.select("node", "chars"), "node").select("tree", "node", "total", (F.col("count") - 1).alias("depth"), (F.col("sum") - F.col("chars")).alias("offset"))
     rooted = scratch.save(rooted, "rooted")

@@ -20,18 +20,18 @@ def _minima(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
 
 
-def _large_star(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+def _large_star(edges: DataFrame, scratch: Scratch, name: str, most: int) -> DataFrame:
     """Every node hands its larger neighbours to the least node around it."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = scratch.save(_minima(both), f"{name}-least")
-    return join_one(both, least, ["u"]).where("v > u").select(F.col("m").alias("u"), "v").where("u <> v").distinct()
+    return join_one(both, least, ["u"], most).where("v > u").select(F.col("m").alias("u"), "v").where("u <> v").distinct()
 
 
-def _small_star(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+def _small_star(edges: DataFrame, scratch: Scratch, name: str, most: int) -> DataFrame:
     """Every node hands its smaller neighbours, and itself, to the least of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = scratch.save(_minima(down), f"{name}-least")
-    moved = join_one(down, least, ["u"]).select(F.col("v").alias("w"), "m").unionByName(least.select(F.col("u").alias("w"), "m"))
+    moved = join_one(down, least, ["u"], most).select(F.col("v").alias("w"), "m").unionByName(least.select(F.col("u").alias("w"), "m"))
     return moved.where("w <> m").select(F.col("m").alias("u"), F.col("w").alias("v")).distinct()
 
 
@@ -51,8 +51,8 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFram
     step = 0
     while before[0]:
         step += 1
-        large = scratch.save(_large_star(now, scratch, f"{name}-{step}l"), f"{name}-{step}l")
-        now = scratch.save(_small_star(large, scratch, f"{name}-{step}s"), f"{name}-{step}")
+        large = scratch.save(_large_star(now, scratch, f"{name}-{step}l", 2 * before[0]), f"{name}-{step}l")
+        now = scratch.save(_small_star(large, scratch, f"{name}-{step}s", 2 * before[0]), f"{name}-{step}")
         scratch.drop(f"{name}-{step - 1}", f"{name}-{step}l", f"{name}-{step}l-least", f"{name}-{step}s-least")
         after = _digest(now)
         if after == before:

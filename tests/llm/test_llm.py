@@ -66,11 +66,11 @@ def closed(label, links):
 # components
 
 
-@pytest.mark.parametrize("hot", [50_000, 20])
-def test_components(spark, monkeypatch, hot):
-    monkeypatch.setattr(skew, "HOT", hot)
+def test_components(spark, monkeypatch):
+    """Among them a node with more neighbours than are joined by key (made few here)."""
+    monkeypatch.setattr(skew, "HOT", 20)
     r = random.Random(5)
-    links = [(r.randint(0, 300), r.randint(0, 300)) for _ in range(180)] + [(500, k) for k in range(501, 560)] + [(k, k + 1) for k in range(600, 700)]
+    links = [(r.randint(0, 300), r.randint(0, 300)) for _ in range(180)] + [(500, k) for k in range(501, 560)] + [(k, k + 1) for k in range(600, 640)]
     rows = [*links, (3, 3), (None, 4), links[0]]
     got = {x["node"]: x["component"] for x in components(spark.createDataFrame(rows, "u long, v long"), Scratch(spark, "t")).collect()}
     want = closed({k: k for link in links for k in link}, links)
@@ -611,11 +611,10 @@ def test_records(spark, monkeypatch, ranges):
 # 9 embeddings
 
 
-@pytest.mark.parametrize("centres", [10_000, 4])
-def test_linked_vectors(spark, monkeypatch, centres):
+def test_linked_vectors(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "TILE", 32)
     monkeypatch.setattr(embedding_dedup, "STRIP", 12)
-    monkeypatch.setattr(embedding_dedup, "CENTRES", centres)
+    monkeypatch.setattr(embedding_dedup, "CENTRES", 4)
     r = np.random.default_rng(4)
     centres = r.standard_normal((40, 16))
     rows = []
@@ -678,3 +677,23 @@ def test_pipeline_drops_near_copies_from_080(spark):
     assert 0.8 < close[0] < 0.85 and close[1] == 0.8 and close[2] < 0.8
     got = corpus_pipeline.near_duplicate_stage(spark, table(spark, texts), "")
     assert sorted(r["doc_id"] for r in got.collect()) == [0, 3, 4]
+
+
+def test_pipeline_judges_rows_whatever_their_ids(spark, tmp_path):
+    """Null ids pass no stage by being null, and of several texts under one id each is judged by itself."""
+    import corpus_pipeline
+
+    good, bad = prose(7000, 60) + ".", " ".join(w + "!!" for w in prose(7001, 60).upper().split())
+    docs = [(k, (prose(k, 60) + ".") if k % 4 else " ".join(w + "!!" for w in prose(k, 60).upper().split()), "en", "s", 1) for k in range(160)]
+    docs += [(None, bad, "en", "s", 1), (None, good, "en", "s", 1), (500, bad, "en", "s", 1), (500, good + " more", "en", "s", 1), (None, good, "en", "s", 1), (None, prose(7002, 30) + " " + prose(7003, 30), "en", "s", 1), (None, None, "en", "s", 1)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, int(k % 4 != 0), 0) for k in range(160)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(0, prose(7003, 30))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    frame, left = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, frame, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        frame = spark.read.parquet(f"{tmp_path}/{name}")
+        left.append([r["text"] for r in frame.where("doc_id is null or doc_id = 500").select("text").collect()])
+    mixed = prose(7002, 30) + " " + prose(7003, 30)
+    assert bad not in left[0] and left[0].count(good) == 2 and None not in left[1]
+    assert sorted(left[2]) == sorted([good + " more", mixed]) and left[3] == [good + " more"]
