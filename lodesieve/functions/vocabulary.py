@@ -50,6 +50,7 @@ TOKEN_VERIFIED = r"(?i)\bjwt\.verify\b|\bverify(?:token|jwt|signature)?\b|\bvali
 CREDENTIAL_NAME = r"(?i)secret|password|passwd|pwd|token|apikey|api[_-]key|access[_-]?token|refresh[_-]?token|private[_-]?key|client[_-]?secret|jwt[_-]?secret|encryption[_-]?key|signing[_-]?key|cipher[_-]?key"
 SENTINEL_PASSWORD = r"(?i)^(?:changeme|placeholder|example|sample|todo|none|null|undefined|password)$"
 SENTINEL_SECRET = r"(?i)^(?:changeme|your[_-]?(?:secret|key|token)|placeholder|example|sample|test|todo|fix(?:me)?)(?:[_-].*)?$"
+SENTINEL_KEY = r"(?i)^(?:changeme|your[_-]?(?:secret|key|token)|placeholder|example|sample|test|todo)(?:[_-].*)?$"
 LABEL_WORDS = r"(?i)^[a-z]+(?:[-_][a-z]+)*$"
 LABEL_PAIR = r"(?i)^[a-z]+(?:[-_][a-z]+)+$"
 HEADER_NAME = r"^[A-Z][A-Za-z0-9]*(?:[-_][A-Z][A-Za-z0-9]*)+$"
@@ -94,6 +95,7 @@ QUERY_NAME = r"(?i)find|findById|findOne|query|select|where"
 PRIVILEGED_NAME = r"(?i)^(?:admin|delete|destroy|remove|grant|revoke|impersonate|assignrole|setrole|setpermissions|escalate)"
 PRIVILEGED_BODY = r"(?i)(?:req|request)\.(?:body|params|query|headers|cookies)|db\.|database\.|repository\.|repo\.|model\.|service\.|\.save\(|\.delete(?:all|many|one)?\(|\.update(?:many|one)?\(|\.insert(?:many|one)?\(|\.create(?:many|one)?\("
 DIRECT_LOOKUP = r"(?i)findById|getById|getOne|findOne"
+DIRECT_LOOKUP_NAME = r"(?i)^(?:findById|getById|getOne|findOne)$"
 SERVICE_RECEIVER = r"(?i)(?:service|repository|repo|dao|store|manager|provider|gateway|datasource)$"
 SERVICE_VERB = r"(?i)^(?:get|find|fetch|load|read|retrieve|lookup|select|delete|remove|update|patch|modify|edit)"
 OWNER_CONTEXT = r"(?i)\b(?:req\.user|currentuser|user[_-]?id|owner|owner[_-]?id|tenant|tenant[_-]?id|org[_-]?id|organization[_-]?id|account[_-]?id)\b"

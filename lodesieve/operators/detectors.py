@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -105,7 +106,7 @@ def classes(text: str) -> int:
 
 def secret_value(text: str) -> bool:
     """Whether a value looks like a key, by its characters."""
-    if len(text) < 12 or has(r"\s", text) or has(V.SENTINEL_SECRET.replace("|fix(?:me)?", ""), text):
+    if len(text) < 12 or has(r"\s", text) or has(V.SENTINEL_KEY, text):
         return False
     if not has(r"\d", text) and (has(V.LABEL_PAIR, text) or has(V.HEADER_NAME, text)) or has(V.X_HEADER, text):
         return False
@@ -369,7 +370,7 @@ def direct_lookup(u: Unit, n: Node) -> bool:
 
 def service_lookup(u: Unit, n: Node) -> bool:
     base = u.receiver(n).removeprefix("this.")
-    if not base or not n.args or not has(V.SERVICE_RECEIVER, base) or not has(V.SERVICE_VERB, n.name) or has(rf"(?i)^(?:{V.DIRECT_LOOKUP[4:]})$", n.name):
+    if not base or not n.args or not has(V.SERVICE_RECEIVER, base) or not has(V.SERVICE_VERB, n.name) or has(V.DIRECT_LOOKUP_NAME, n.name):
         return False
     return u.user_controlled(n.args[0]) and not any(has(V.OWNER_CONTEXT, u.cut(a)) for a in n.args) and not scope_owned(u, n)
 
@@ -745,17 +746,19 @@ for _k, _d in enumerate(DETECTORS):
         BY_KIND.setdefault(_kind, []).append((_k, _d))
 
 
+@lru_cache(100_000)
+def asked(kind: str, name: str) -> list[tuple[int, Detector]]:
+    """The detectors that nodes of a kind and a name are put before, remembered over files."""
+    return [(k, d) for k, d in BY_KIND[kind] if d.names is None or has(d.names, name)]
+
+
 def found(u: Unit) -> list[dict]:
     """The findings of a file, by detector and place."""
     out: list[dict] = []
     seen: set[tuple] = set()
-    asked: dict[str, list[tuple[int, Detector]]] = {}
-    for kind, detectors in BY_KIND.items():
-        asked.clear()
+    for kind in BY_KIND:
         for n in u.nodes.get(kind, ()):
-            if n.name not in asked:
-                asked[n.name] = [(k, d) for k, d in detectors if d.names is None or has(d.names, n.name)]
-            for k, d in asked[n.name]:
+            for k, d in asked(kind, n.name):
                 hit = d.holds(u, n)
                 if not hit:
                     continue
@@ -781,11 +784,15 @@ FOUND = pa.schema([("file", pa.string()), ("ord", pa.int32()), ("rule_id", pa.st
 def _findings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         resolved = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * batch.num_rows
+        rows: list[dict] = []
         for file, content, symbols in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), resolved, strict=True):
             u = Unit(file, content, {s["local"]: (s["module"], s["name"], s["taints"]) for s in symbols or ()})
-            rows = found(u) if u.s.whole else []
-            if rows:
+            rows += found(u) if u.s.whole else []
+            if len(rows) >= 1000:
                 yield pa.RecordBatch.from_pylist(rows, schema=FOUND)
+                rows = []
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=FOUND)
 
 
 def findings(files: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
