@@ -297,8 +297,9 @@ def _digests(path: str, with_ids: bool):
 def encoded(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` and, if asked for, ``ids`` for every row.
 
-    Null and empty texts have no ids and digests of empty strings; repeated rows
-    and null ids stay as they are; further columns are ignored.
+    Null and empty texts have no ids and digests of empty strings; very long texts are encoded
+    whole, in time that grows with their length; repeated rows and null ids stay as they are;
+    an empty table gives no rows; further columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_digests(tokenizer, with_ids), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
