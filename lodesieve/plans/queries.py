@@ -262,6 +262,10 @@ def code_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.nodes(_code(spark, sf_dir)).groupBy("kind").agg(F.count("*").alias("n"))
 
 
+def code_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.nodes(_code(spark, sf_dir)).where("kind = 'call' and name in ('get', 'createHash', 'query')").select("file", "name", "snippet")
+
+
 def code_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Issues by type, zero-filled: every fourth file is cut off in the middle, every fifth is too large."""
     files = _code(spark, sf_dir).withColumn("n", F.regexp_extract("file", r"(\d+)", 1).cast("long"))
@@ -379,7 +383,7 @@ def queries() -> dict[str, Query]:
         "scan_all_by_rule": all_by_rule, "scan_documents_by_rule": documents_by_rule, "gate_default": gate_default, "gate_heuristic": gate_heuristic, "gate_disabled": gate_disabled, "dedup_first": dedup_first,
         "baseline_split": baseline_split, "baseline_entries": baseline_entries, "excerpts": excerpts, "structured_findings": structured_findings, "search_hits": search_hits, "search_truncated": search_truncated, "count_severity_dense": count_severity, "count_category_dense": count_category, "report_top": report_top, "mask_values": mask_values, "scalar_checks": values, "event_window": event_window,
         "enrich_rules": enrich, "count_rule": count_rule, "count_clause": count_clause, "count_confidence_dense": count_confidence, "exploitable": exploitable, "sarif_results": exchange, "sarif_taxa": taxa, "chains_from_categories": chains, "inline_suppressions": suppressions,
-        "code_findings": code_findings, "code_review": code_review, "code_report": code_report, "code_nodes": code_nodes, "code_issues": code_issues, "code_file_flags": code_file_flags, "code_symbols": code_symbols, "code_across_files": code_across_files, "exploit_ids": exploit_ids, "exploit_stages": exploit_stages, "exploit_severities": exploit_severities, "exploit_chains": exploit_chains, "exploit_payloads": exploit_payloads, "exploit_needs": exploit_needs, "exploits_of_findings": exploits_of_findings, **{_rule_query(r): _rule(r) for r in CASES}, "resolve_message": messages, "resolve_timestamp": times, "deep_link": links, "hit_dedup": hit_dedup, "max_hits": max_hits, "matched_total": total, **{n: _search(q) for n, q in SEARCHES.items()},
+        "code_findings": code_findings, "code_review": code_review, "code_report": code_report, "code_nodes": code_nodes, "code_snippets": code_snippets, "code_issues": code_issues, "code_file_flags": code_file_flags, "code_symbols": code_symbols, "code_across_files": code_across_files, "exploit_ids": exploit_ids, "exploit_stages": exploit_stages, "exploit_severities": exploit_severities, "exploit_chains": exploit_chains, "exploit_payloads": exploit_payloads, "exploit_needs": exploit_needs, "exploits_of_findings": exploits_of_findings, **{_rule_query(r): _rule(r) for r in CASES}, "resolve_message": messages, "resolve_timestamp": times, "deep_link": links, "hit_dedup": hit_dedup, "max_hits": max_hits, "matched_total": total, **{n: _search(q) for n, q in SEARCHES.items()},
     }
 
 
@@ -481,6 +485,9 @@ def oracle_sql() -> dict[str, str]:
         "code_nodes": """select kind, sum(n)::bigint as n from (select o_orderkey % 4 as p from orders) join (values
             (0, 'var', 1), (0, 'call', 3), (0, 'member', 2), (1, 'member', 2), (1, 'call', 2), (1, 'prop', 1), (1, 'var', 1), (1, 'literal', 1),
             (2, 'function', 1), (2, 'param', 1), (2, 'var', 1), (2, 'call', 2), (2, 'member', 6), (2, 'literal', 1), (2, 'return', 1), (3, 'var', 1), (3, 'literal', 1)) v(q, kind, n) on p = q group by 1""",
+        "code_snippets": f"""with f as (select o_orderkey % 4 as p, 'src/f' || o_orderkey || '.ts' as file, replace([{', '.join(quoted(t).replace(chr(10), "' || chr(10) || '") for t in PROGRAMS)}][(o_orderkey % 4)::int + 1], '{{n}}', o_orderkey::varchar) as content from orders),
+            n as (select file, content, name, instr(content, word) - 1 as spot from f join (values (1, 'get', 'https.get'), (1, 'createHash', 'crypto.'), (2, 'get', 'axios.get'), (2, 'query', 'db.query')) v(q, name, word) on p = q)
+            select file, name, trim(content[greatest(0, spot - 10) + 1:spot + 60], ' ' || chr(10)) as snippet from n""",
         "code_issues": "select k as type, count(p)::bigint as n from (values ('INVALID_TARGET'), ('PARSE_FAILURE'), ('DETECTOR_FAILURE'), ('POC_EXPORT_FAILURE'), ('REPORT_WRITE_FAILURE'), ('FATAL_ANALYSIS_FAILURE')) v(k) left join (select case when o_orderkey % 5 = 0 then 'INVALID_TARGET' when o_orderkey % 4 = 1 then 'PARSE_FAILURE' end as p from orders) on p = k group by k",
         "code_file_flags": "select 'src/f' || o_orderkey || '.ts' as file, o_orderkey % 4 = 1 as bcr_tls_001, o_orderkey % 4 = 0 as bcr_jwt_001 from orders where o_orderkey % 4 < 3",
         "code_symbols": """select 'p/' || s_suppkey || '/' || path as file, local, case when own then './ids' else module end as module, name, taints from supplier, (values

@@ -346,6 +346,10 @@ class Unit:
         """The text between two places, without comments."""
         return self.clean[span[0] : span[1]] if span else ""
 
+    def snippet(self, at: int, length: int | None = None) -> str:
+        """What stands at a place, with a little on either side."""
+        return self.text[max(0, at - AROUND) : at + (SNIPPET if length is None else length) + AROUND].strip()
+
     def of(self, node: Node) -> str:
         return self.clean[node.start : node.end]
 
@@ -965,7 +969,9 @@ def issues(files: DataFrame, nodes: DataFrame) -> DataFrame:
     return large.unionByName(nodes.where("kind = 'issue'").select("file", F.lit("PARSE_FAILURE").alias("type"), F.lit("ERROR").alias("severity")))
 
 
-NODES = pa.schema([("file", pa.string()), ("kind", pa.string()), ("name", pa.string()), ("receiver", pa.string()), ("n_args", pa.int32()), ("tainted_args", pa.list_(pa.int32())), ("context", pa.string()), ("function", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("line", pa.int32()), ("column", pa.int32())])
+NODES = pa.schema([("file", pa.string()), ("kind", pa.string()), ("name", pa.string()), ("receiver", pa.string()), ("n_args", pa.int32()), ("tainted_args", pa.list_(pa.int32())), ("context", pa.string()), ("function", pa.string()), ("snippet", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("line", pa.int32()), ("column", pa.int32())])
+#: Characters of a snippet from its place on, and more on either side.
+SNIPPET, AROUND = 50, 10
 #: Characters of a node's receiver, context and name that a row shows; the places give the whole.
 SHOWN = 120
 
@@ -974,13 +980,13 @@ def rows_of(file: str, text: str) -> list[dict]:
     """The nodes of a file as rows of fixed size; lines are left out."""
     u = Unit(file, text)
     if not u.s.whole:
-        return [{"file": file, "kind": "issue", "name": "", "receiver": "", "n_args": 0, "tainted_args": [], "context": "", "function": "", "start": 0, "stop": 0, "line": 1, "column": 1}]
+        return [{"file": file, "kind": "issue", "name": "", "receiver": "", "n_args": 0, "tainted_args": [], "context": "", "function": "", "snippet": "", "start": 0, "stop": 0, "line": 1, "column": 1}]
     out = []
     for kind, nodes in u.nodes.items():
         for n in nodes if kind != "line" else ():
             f = u.function(n)
             line, column = u.s.line(n.start)
-            out.append({"file": file, "kind": kind, "name": n.name[:SHOWN], "receiver": u.receiver(n)[:SHOWN], "n_args": len(n.args), "tainted_args": [k for k, a in enumerate(n.args) if u.dirty(a)], "context": u.context(n)[:SHOWN], "function": f.name[:SHOWN] if f else "", "start": n.start, "stop": n.end, "line": line, "column": column})
+            out.append({"file": file, "kind": kind, "name": n.name[:SHOWN], "receiver": u.receiver(n)[:SHOWN], "n_args": len(n.args), "tainted_args": [k for k, a in enumerate(n.args) if u.dirty(a)], "context": u.context(n)[:SHOWN], "function": f.name[:SHOWN] if f else "", "snippet": u.snippet(n.start), "start": n.start, "stop": n.end, "line": line, "column": column})
     return out
 
 
@@ -993,5 +999,5 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def nodes(files: DataFrame) -> DataFrame:
     """One row a node."""
-    schema = "file string, kind string, name string, receiver string, n_args int, tainted_args array<int>, context string, function string, start int, stop int, line int, column int"
+    schema = "file string, kind string, name string, receiver string, n_args int, tainted_args array<int>, context string, function string, snippet string, start int, stop int, line int, column int"
     return files.select("file", "content").where("content is not null").mapInArrow(_rows, schema)
